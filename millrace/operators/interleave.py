@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.prefix import hash_bucket, with_running_totals
+from millrace.session import broadcast_if_small, materialize
 
 CHUNK = 10_000
 
@@ -38,7 +39,7 @@ def round_robin(
         F.count("*").over(every).alias("_subsets"),
         (F.row_number().over(Window.orderBy(subset)) - 1).alias("subset_index"),
     )
-    rows = numbered.join(sizes, subset)
+    rows = numbered.join(broadcast_if_small(materialize(sizes)), subset)
     last_repeat = F.floor((F.col("_longest") - 1 - F.col("_i")) / F.col("_n"))
     chunks = F.sequence(F.lit(0).cast("bigint"), F.floor(last_repeat / CHUNK))
     spread = (

@@ -17,7 +17,8 @@ from millrace.functions.text import col
 
 # 16^4 buckets of an evenly spread hash: about 50,000 rows each at 3 billion rows.
 HASH_BUCKET_DIGITS = 4
-RANGE_BUCKETS = 1024
+ROWS_PER_BUCKET = 200_000
+MAX_BUCKETS = 16_384
 
 
 def hash_bucket(order_hash: Column | str, digits: int = HASH_BUCKET_DIGITS) -> Column:
@@ -25,23 +26,32 @@ def hash_bucket(order_hash: Column | str, digits: int = HASH_BUCKET_DIGITS) -> C
     return F.substring(col(order_hash), 1, digits)
 
 
-def range_bounds(df: DataFrame, order: str, buckets: int = RANGE_BUCKETS) -> list:
-    """At most ``buckets - 1`` upper bounds splitting ``order`` into even ranges.
+def array_literal(values: Sequence, kind: str) -> Column:
+    """A constant array that reaches the planner as one string, however long it is."""
+    return F.split(F.lit("\n".join(map(str, values))), "\n").cast(f"array<{kind}>")
 
-    One aggregate over one column; the driver receives only the bounds.
+
+def range_bounds(
+    df: DataFrame, order: str, rows_per_bucket: int = ROWS_PER_BUCKET, max_buckets: int = MAX_BUCKETS
+) -> list:
+    """Upper bounds that split ``order`` into even ranges, none for a small table.
+
+    A count and, if the table is large, one sketch over one column; the driver
+    receives fewer than ``max_buckets`` values.
     """
+    buckets = min(max_buckets, -(-df.count() // rows_per_bucket))
     if buckets < 2:
         return []
-    shares = [i / buckets for i in range(1, buckets)]
-    found = df.select(F.percentile_approx(order, shares, 100 * buckets)).first()[0]
+    shares = array_literal([i / buckets for i in range(1, buckets)], "double")
+    found = df.select(F.percentile_approx(order, shares, 10 * buckets)).first()[0]
     return sorted(set(found or []))
 
 
-def range_bucket(order: Column | str, bounds: Sequence) -> Column:
-    """Number of bounds below the value: a binary search over a literal array."""
+def range_bucket(order: Column | str, bounds: Sequence, kind: str = "bigint") -> Column:
+    """Number of bounds below the value: a binary search over one array literal."""
     if not bounds:
         return F.lit(0)
-    table = F.array(*[F.lit(b) for b in bounds])
+    table = array_literal(bounds, kind)
     steps, step = [], 1
     while step <= len(bounds):
         steps.insert(0, step)

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.operators import profile, select
 from millrace.operators.budget import within_budget
-from millrace.plans import registry, reports
+from millrace.plans import mixing, packing, registry, reports
 from millrace.plans.registry import QueryFn
 
-MODULES = (reports,)
+MODULES = (reports, mixing, packing)
 
 
 def queries() -> dict[str, QueryFn]:
