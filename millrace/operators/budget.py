@@ -43,9 +43,11 @@ def budget_cuts(
     target, so the crossing row stays.  ``floor`` keeps rows whose inclusive
     sum is at most the target, and at least the first row of the group.
 
-    Two narrow passes: totals per (group, bucket) find the bucket where the
-    budget runs out, then only that bucket of each group is walked row by row.
-    No text is shuffled and no task sees more than one bucket of a group.
+    The narrow rows (group, order key, tokens) are written once, so that tokens
+    derived from text are derived once.  Totals per (group, bucket) find the
+    bucket where the budget runs out, then only that bucket of each group is
+    walked row by row.  No text is shuffled and no task sees more than one
+    bucket of a group.
     """
     if mode not in ("cross", "floor"):
         raise ValueError(f"unknown budget mode {mode!r}")
@@ -57,6 +59,7 @@ def budget_cuts(
         target_of(group, targets).alias("_target"),
         bucket.alias("_bucket"),
     ).filter(F.col("_target") > 0)
+    rows = materialize(rows)
 
     totals = rows.groupBy(group, "_bucket").agg(
         F.sum("_n").alias("_sum"),

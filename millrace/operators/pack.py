@@ -25,7 +25,7 @@ def encode_documents(df: DataFrame, text: str, encoder: Encoder, keep: Sequence[
 def _pieces(rows: DataFrame, unit: Sequence[str], block_size: int) -> DataFrame:
     """Cut each document where its span ``[start, start + n)`` crosses a block border."""
     last = F.floor((F.col("_start") + F.col("_n") - 1) / block_size)
-    cut = rows.withColumn("_block", F.explode(F.sequence(F.floor(F.col("_start") / block_size), last)))
+    cut = rows.filter(F.col("_n") > 0).withColumn("_block", F.explode(F.sequence(F.floor(F.col("_start") / block_size), last)))
     low = F.greatest(F.col("_block") * block_size, F.col("_start"))
     high = F.least((F.col("_block") + 1) * block_size, F.col("_start") + F.col("_n"))
     piece = F.slice("input_ids", (low - F.col("_start") + 1).cast("int"), (high - low).cast("int"))
@@ -65,7 +65,8 @@ def pack_blocks(
     every ``batch_records`` records.  ``order`` is a unique integer column, or
     an evenly spread hash string with ``hashed=True``.
 
-    Documents move once, to the bucket that holds their stretch of the order.
+    ``encoded`` is read more than once, lengths first: pass a stored table, not
+    a slow encoder's plan.  Documents move once, to the bucket that holds their stretch of the order.
     Blocks inside a bucket are finished there; only the pieces at the bucket
     borders, at most two blocks per bucket, meet in a second small shuffle.
     """
@@ -75,7 +76,7 @@ def pack_blocks(
         bucket = hash_bucket(order)
     else:
         bucket = range_bucket(order, range_bounds(encoded, order, rows_per_bucket))
-    rows = encoded.filter(F.size("input_ids") > 0).select(
+    rows = encoded.select(
         F.col(order), "input_ids", F.size("input_ids").cast("bigint").alias("_n"), bucket.alias("_bucket")
     )
     totals = rows.groupBy("_bucket").agg(F.sum("_n").alias("_tokens"), F.count("*").alias("_rows"))

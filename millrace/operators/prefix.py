@@ -62,7 +62,8 @@ def range_bucket(order: Column | str, bounds: Sequence, kind: str = "bigint") ->
         probe = below + width
         return F.when((probe <= len(bounds)) & (F.get(table, probe - 1) < value), probe).otherwise(below)
 
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), descend)
+    found = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), descend)
+    return F.coalesce(found, F.lit(0))
 
 
 def with_running_totals(

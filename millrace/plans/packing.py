@@ -52,6 +52,10 @@ def encoded_documents(spark, sf_dir):
     return pack.encode_documents(d, "text", code_points(eos=0), ["doc_id"])
 
 
+def stored_documents(spark, sf_dir):
+    return materialize(encoded_documents(spark, sf_dir))
+
+
 STREAM = """chars AS (SELECT doc_id, unnest(list_transform(string_split(text, ''), lambda c: unicode(c)) || [0]) AS id,
     generate_subscripts(string_split(text, '') || ['x'], 1) AS p FROM documents WHERE text <> ''),
 stream AS (SELECT id, row_number() OVER (ORDER BY doc_id, p) - 1 AS pos FROM chars)"""
@@ -60,7 +64,7 @@ BLOCKS_SQL = f"""{STREAM}, blocks AS (SELECT pos // {BLOCK} AS block_id, string_
 
 
 def packed(spark, sf_dir):
-    return pack.pack_blocks(encoded_documents(spark, sf_dir), "doc_id", BLOCK, rows_per_bucket=BUCKET_ROWS)
+    return pack.pack_blocks(stored_documents(spark, sf_dir), "doc_id", BLOCK, rows_per_bucket=BUCKET_ROWS)
 
 
 @query("""
@@ -86,7 +90,7 @@ SELECT batch, pos // {BLOCK} AS block_id, string_agg(CAST(id AS VARCHAR), ',' OR
 FROM stream GROUP BY ALL HAVING count(*) = {BLOCK}""")
 def pack_blocks_by_batch(spark, sf_dir):
     b = pack.pack_blocks(
-        encoded_documents(spark, sf_dir), "doc_id", BLOCK, "batch", batch_records=300, rows_per_bucket=BUCKET_ROWS
+        stored_documents(spark, sf_dir), "doc_id", BLOCK, "batch", batch_records=300, rows_per_bucket=BUCKET_ROWS
     )
     return b.select("batch", "block_id", joined("input_ids").alias("input_ids"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,16 +46,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and cut its lineage there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared checkpoint folder and read it back.
+
+    Cuts the lineage, survives lost executors, and unlike an RDD checkpoint is
+    columnar: later passes read only the columns they use.  The folder's
+    retention is the cluster's, as for any checkpoint.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Hint a broadcast only after counting that ``df`` has at most ``max_rows`` rows.
 
-    Meant for small derived tables that were materialized, so the count reads
-    checkpoint files.  Past the bound the frame comes back without a hint and
+    Meant for small derived tables that were materialized, so that the count
+    reads file footers.  Past the bound the frame comes back without a hint and
     the join is a shuffled one.
     """
     if df.limit(max_rows + 1).count() <= max_rows:
