@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.ngrams import dedup_tokens, ngram_set, sha1_head, word_ngrams
+from millrace.functions.ngrams import dedup_tokens, ngram_set, sha1_heads
 from millrace.operators import neardup, profile, select
 from millrace.operators.minhash import (
     HASH_MASK,
-    NUM_PERM,
     PRIME,
     THRESHOLD,
     band_plan,
@@ -20,6 +19,8 @@ from millrace.operators.reuse import evaluate_once, program_text
 from millrace.plans.registry import joined, query, rounded, table
 
 SAMPLE_SEED = 77
+# Fewer permutations than the default of the job, so that plain SQL can follow.
+SHORT_PERM = 64
 
 
 def deduplicate(
@@ -38,7 +39,7 @@ def _permutation_rows(num_perm: int) -> str:
 
 TOKENS_SQL = "toks AS (SELECT doc_id, regexp_split_to_array(text, '[^A-Za-z_0-9]') AS t FROM documents)"
 GRAMS_SQL = f"""{TOKENS_SQL}, sets AS (SELECT doc_id, len(t) AS n_tokens,
-  list_distinct(list_transform(range(1, greatest(len(t) - 3, 1)), lambda i: array_to_string(t[i:i + 4], ' '))) AS g FROM toks)"""
+  list_distinct(list_transform(range(1, greatest(len(t) - 3, 1)), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] || ' ' || t[i + 3] || ' ' || t[i + 4])) AS g FROM toks)"""
 HASH_SQL = """hashes AS (SELECT doc_id, CAST('0x' || x[7:8] || x[5:6] || x[3:4] || x[1:2] AS BIGINT) AS h
   FROM (SELECT doc_id, sha1(g) AS x FROM (SELECT doc_id, unnest(g) AS g FROM sets)))"""
 
@@ -54,7 +55,7 @@ sig AS (SELECT d.doc_id, p.i, coalesce(s, {HASH_MASK}) AS s FROM documents d CRO
 def cluster_sql(num_perm: int, threshold: float) -> str:
     bands, rows = band_plan(threshold, num_perm)
     return f"""{signature_sql(num_perm)},
-members AS (SELECT doc_id, i // {rows} AS band, string_agg(CAST(s AS VARCHAR), ',' ORDER BY i) AS key FROM sig
+members AS (SELECT doc_id, CAST(i // {rows} AS BIGINT) AS band, string_agg(CAST(s AS VARCHAR), ',' ORDER BY i) AS key FROM sig
   WHERE i < {bands * rows} GROUP BY doc_id, i // {rows}),
 bucket AS (SELECT band, key, count(*) AS members, min(doc_id) AS low FROM members GROUP BY band, key HAVING count(*) > 1),
 star AS (SELECT DISTINCT m.doc_id AS src, b.low AS dst FROM members m JOIN bucket b ON b.band = m.band AND b.key = m.key),
@@ -74,8 +75,10 @@ def ngram_sets(spark, sf_dir):
 @query(f"WITH {GRAMS_SQL}, {HASH_SQL} SELECT doc_id, count(*) AS n_hashes, min(h) AS low, max(h) AS high FROM hashes GROUP BY doc_id")
 def ngram_hashes(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", dedup_tokens("text").alias("t"))
-    h = d.select("doc_id", F.transform(F.array_distinct(word_ngrams("t", 5)), sha1_head).alias("h"))
-    return h.filter(F.size("h") > 0).select(
+    # The filter is on the token count: one on the hashes would be pushed below
+    # the split and repeat it for every n-gram.
+    h = d.filter(F.size("t") >= 5).select("doc_id", sha1_heads(ngram_set("t", 5)).alias("h"))
+    return h.select(
         "doc_id",
         F.size("h").cast("bigint").alias("n_hashes"),
         F.array_min("h").alias("low"),
@@ -83,7 +86,6 @@ def ngram_hashes(spark, sf_dir):
     )
 
 
-SHORT_PERM = 64
 
 
 @query(f"WITH {signature_sql(SHORT_PERM)} SELECT doc_id, string_agg(CAST(s AS VARCHAR), ',' ORDER BY i) AS signature FROM sig GROUP BY doc_id")
@@ -102,26 +104,26 @@ def band_buckets(spark, sf_dir):
     return found.select(F.col("band").cast("bigint").alias("band"), "low", "members")
 
 
-@query(f"WITH RECURSIVE {cluster_sql(NUM_PERM, THRESHOLD)} SELECT id, cluster FROM clusters")
+@query(f"WITH RECURSIVE {cluster_sql(SHORT_PERM, THRESHOLD)} SELECT id, cluster FROM clusters")
 def near_duplicate_clusters(spark, sf_dir):
-    return neardup.near_duplicate_clusters(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return neardup.near_duplicate_clusters(table(spark, sf_dir, "documents"), "doc_id", "text", num_perm=SHORT_PERM)
 
 
 @query(f"""
-WITH RECURSIVE {cluster_sql(NUM_PERM, THRESHOLD)} SELECT doc_id, source, lang FROM documents
+WITH RECURSIVE {cluster_sql(SHORT_PERM, THRESHOLD)} SELECT doc_id, source, lang FROM documents
 WHERE doc_id NOT IN (SELECT id FROM clusters WHERE id <> cluster)""")
 def near_dedup(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    clusters = neardup.near_duplicate_clusters(d, "doc_id", "text")
+    clusters = neardup.near_duplicate_clusters(d, "doc_id", "text", num_perm=SHORT_PERM)
     return neardup.without_near_duplicates(d.select("doc_id", "source", "lang"), "doc_id", "text", clusters)
 
 
 @query(f"""
-WITH RECURSIVE {cluster_sql(NUM_PERM, THRESHOLD)}, t AS (SELECT (SELECT count(*) FROM documents) AS rows_before,
+WITH RECURSIVE {cluster_sql(SHORT_PERM, THRESHOLD)}, t AS (SELECT (SELECT count(*) FROM documents) AS rows_before,
   (SELECT count(*) FROM clusters WHERE id <> cluster) AS gone)
 SELECT rows_before, rows_before - gone AS rows_after, gone AS rows_dropped, round(gone * 100.0 / rows_before, 6) AS dropped_pct FROM t""")
 def near_dedup_report(spark, sf_dir):
-    _, report = deduplicate(table(spark, sf_dir, "documents"), "doc_id", "text")
+    _, report = deduplicate(table(spark, sf_dir, "documents"), "doc_id", "text", num_perm=SHORT_PERM)
     return rounded(report, "dropped_pct")
 
 
