@@ -97,3 +97,8 @@ def lines(c: Column | str) -> Column:
 def literal_pattern(text: str) -> str:
     """A regular expression matching ``text`` itself, in Java syntax."""
     return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
