@@ -40,7 +40,7 @@ def line_numbers(header: Column | str) -> Column:
     """Struct (l1, s1, l2, s2); sizes default to 1, null without both line numbers."""
     header = col(header)
     found = [F.regexp_extract(header, LINE_NUMBERS, i) for i in range(1, 5)]
-    number = [F.nullif(f, F.lit("")).cast("int") for f in found]
+    number = [F.nullif(f, F.lit("")).try_cast("int") for f in found]
     one = F.lit(1)
     parts = F.struct(
         number[0].alias("l1"),
@@ -135,7 +135,8 @@ def _text_missing(file: Column, before: Column) -> Column:
 
 def _wrong_numbers(h: Column) -> Column:
     n = h["numbers"]
-    return (n["l1"] <= 0) | (_text_lines(h["before"]) != n["s1"]) | (_text_lines(h["after"]) != n["s2"])
+    off = (n["l1"] <= 0) | (_text_lines(h["before"]) != n["s1"]) | (_text_lines(h["after"]) != n["s2"])
+    return F.coalesce(off, F.lit(True))
 
 
 def diff_state(content: Column | str) -> Column:

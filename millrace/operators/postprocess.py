@@ -349,12 +349,14 @@ def unused_setup(setup: Column | str, code: Column | str) -> Column:
 def go_packages_used(program: Column | str) -> Column:
     """Known packages that code lines use and the program does not declare, by last path part."""
     code_lines = F.filter(lines(program), lambda x: ~F.startswith(lstrip(x), F.lit("//")))
-    wanted = []
-    for package in GO_PACKAGES:
+
+    def wanted_name(package: str) -> Column:
         name = package.rsplit("/", 1)[-1]
-        used = F.exists(code_lines, lambda x, n=name: F.contains(x, F.lit(n + ".")))
+        used = F.exists(code_lines, lambda x: F.contains(x, F.lit(name + ".")))
         declared = F.contains(col(program), F.lit(f'"{package}"'))
-        wanted.append(F.when(used & ~declared, F.lit(name)))
+        return F.when(used & ~declared, F.lit(name))
+
+    wanted = [wanted_name(p) for p in GO_PACKAGES]
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*wanted))))
 
 
