@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
-from millrace.operators.budget import Targets, target_of
+from millrace.operators.budget import Targets, target_of, within_budget
 from millrace.operators.select import skip_reason
 from millrace.sources.readers import DOCUMENT_SCHEMA
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# No leading underscore: such names are changed on the way into pandas.
+GATE_COLUMN = "gate_target"
 
 
 def stream_shards(
@@ -41,16 +43,13 @@ class _TokenBudget(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         state = self._total.get() if self._total.exists() else None
         total = int(state[0]) if state else 0
-        # Rows arrive sorted by the order column (see stream_budget), batch by batch.
-        for batch in rows:
-            target = int(batch["_target"].iloc[0])
-            if total >= target:
-                continue
-            before = total + batch[self._tokens].cumsum() - batch[self._tokens]
-            kept = batch[before < target]
-            total += int(kept[self._tokens].sum())
-            if len(kept):
-                yield kept.drop(columns="_target")
+        # Arrival order inside a trigger is undefined: the trigger's rows are sorted.
+        batch = pd.concat(list(rows)).sort_values(self._order)
+        before = total + batch[self._tokens].cumsum() - batch[self._tokens]
+        kept = batch[before < batch[GATE_COLUMN]]
+        total += int(kept[self._tokens].sum())
+        if len(kept):
+            yield kept.drop(columns=GATE_COLUMN)
         self._total.update((total,))
 
     def close(self) -> None:
@@ -62,12 +61,14 @@ def stream_budget(
 ) -> DataFrame:
     """Stateful budget gate over a stream: the running total per source survives restarts.
 
-    Takes rows in arrival order until the crossing one, as an endless source
-    does.  Only narrow columns should come in: the rows of a source within a
+    Takes the rows of each trigger in ``order`` until the crossing one, as an
+    endless source does.  Only narrow columns should come in: the rows of a source within a
     trigger meet in one task, which ``files_per_trigger`` bounds.  For a stored
-    corpus use the batch gate, which spreads a source over many tasks.
+    corpus use the batch gate, and for large triggers
+    :func:`with_batch_budget`; both spread a source over many tasks.
     """
-    funded = docs.withColumn("_target", target_of(group, targets)).filter("_target > 0")
+    docs.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
+    funded = docs.withColumn(GATE_COLUMN, target_of(group, targets)).filter(F.col(GATE_COLUMN) > 0)
     return funded.groupBy(group).transformWithStateInPandas(
         statefulProcessor=_TokenBudget(order, tokens),
         outputStructType=docs.schema,
@@ -85,8 +86,6 @@ def with_batch_budget(
     table, one folder per batch, so that a repeated batch replaces its own
     entry.  Each batch is cut by the distributed batch gate at what is left.
     """
-    from millrace.operators.budget import within_budget
-
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         names = {r[0] for r in batch.select(group).distinct().limit(10_001).collect()}
