@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import sha1
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.ngrams import NON_WORD
+
 # Modulus, hash width and seed of the permutation family.
 PRIME = (1 << 61) - 1
 HASH_MASK = (1 << 32) - 1
@@ -20,7 +24,9 @@ NUM_PERM = 256
 THRESHOLD = 0.7
 NGRAM = 5
 KEY_BYTES = 4
-CHUNK = 2048
+SPLIT = re.compile(NON_WORD)
+# Hashes per step: 128 x 256 words stay inside the second-level cache.
+CHUNK = 128
 
 
 @lru_cache
@@ -32,42 +38,62 @@ def permutations(num_perm: int, seed: int = PERMUTATION_SEED) -> tuple[np.ndarra
     return table[0::2], table[1::2]
 
 
-def _mod_prime(x: np.ndarray) -> np.ndarray:
-    """Remainder modulo 2^61 - 1 without a division."""
-    x = (x & np.uint64(PRIME)) + (x >> np.uint64(61))
-    return np.where(x >= np.uint64(PRIME), x - np.uint64(PRIME), x)
-
-
 def signature_of(hashes: np.ndarray, num_perm: int, seed: int = PERMUTATION_SEED) -> np.ndarray:
     """Per permutation the smallest permuted hash; all ones for an empty set.
 
     The 64-bit product wraps, as it does in the family this must agree with.
-    Long documents go through in chunks, so memory stays at one chunk.
+    Documents go through in small chunks, so memory stays at one chunk.
     """
     mult, add = permutations(num_perm, seed)
+    prime, mask = np.uint64(PRIME), np.uint64(HASH_MASK)
     lowest = np.full(num_perm, HASH_MASK, dtype=np.uint64)
     for at in range(0, len(hashes), CHUNK):
-        part = hashes[at : at + CHUNK].astype(np.uint64)
-        permuted = _mod_prime(part[:, None] * mult[None, :] + add[None, :]) & np.uint64(HASH_MASK)
-        np.minimum(lowest, permuted.min(axis=0), out=lowest)
+        x = np.multiply.outer(hashes[at : at + CHUNK].astype(np.uint64), mult)
+        x += add
+        # Remainder modulo 2^61 - 1: fold the top bits, then take the prime off
+        # once; below the prime that wraps to a huge value and loses.
+        high = x >> np.uint64(61)
+        x &= prime
+        x += high
+        np.subtract(x, prime, out=high)
+        np.minimum(x, high, out=x)
+        x &= mask
+        np.minimum(lowest, x.min(axis=0), out=lowest)
     return lowest
 
 
-def signature(ngram_hashes: Column, num_perm: int = NUM_PERM, seed: int = PERMUTATION_SEED) -> Column:
-    """Signature as ``num_perm`` big-endian 4-byte words in one binary."""
+def hashes_of(text: str, ngram: int, min_tokens: int) -> np.ndarray:
+    """SHA-1 heads of the distinct word n-grams of one text."""
+    tokens = SPLIT.split(text)
+    if len(tokens) < max(ngram, min_tokens):
+        return np.zeros(0, dtype="<u4")
+    grams = {" ".join(tokens[i : i + ngram]) for i in range(len(tokens) - ngram + 1)}
+    return np.frombuffer(b"".join(sha1(g.encode()).digest()[:4] for g in grams), dtype="<u4")
+
+
+def signature(
+    text: Column,
+    num_perm: int = NUM_PERM,
+    ngram: int = NGRAM,
+    min_tokens: int = NGRAM,
+    seed: int = PERMUTATION_SEED,
+) -> Column:
+    """Signature of a text as ``num_perm`` big-endian 4-byte words in one binary.
+
+    The n-grams are hashed in the same Arrow batch function: as SQL lambdas
+    over arrays they cost several times more, and would cross to Python too.
+    """
 
     @F.arrow_udf(T.BinaryType())
     def kernel(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            values = batch.values.to_numpy(zero_copy_only=False)
-            ends = batch.offsets.to_numpy()
             found = [
-                signature_of(values[a:b], num_perm, seed).astype(">u4").tobytes()
-                for a, b in zip(ends[:-1], ends[1:])
+                signature_of(hashes_of(t or "", ngram, min_tokens), num_perm, seed).astype(">u4").tobytes()
+                for t in batch.to_pylist()
             ]
             yield pa.array(found, type=pa.binary())
 
-    return kernel(ngram_hashes)
+    return kernel(text)
 
 
 def signature_words(sig: Column, num_perm: int) -> Column:

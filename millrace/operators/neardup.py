@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.ngrams import dedup_tokens, ngram_hashes
+from millrace.functions.ngrams import dedup_tokens
 from millrace.operators.components import connected_components
 from millrace.operators.minhash import NGRAM, NUM_PERM, THRESHOLD, band_keys, band_plan, signature
-from millrace.session import join_unique_side, materialize
+from millrace.session import join_unique_side, materialize, spread_small
 
 HOT_ROWS = 1_000_000
 
@@ -29,10 +29,10 @@ def signatures(
     ``short="keep"`` or ``"drop"`` leaves them out of the comparison (see
     :func:`without_near_duplicates` for what happens to them then).
     """
-    rows = df.select(F.col(key).alias("id"), dedup_tokens(text).alias("_t"))
+    rows = df.select(F.col(key).alias("id"), F.col(text).alias("_text"))
     if short != "collapse":
-        rows = rows.filter(F.size("_t") >= max(ngram, min_tokens))
-    return rows.select("id", signature(ngram_hashes("_t", ngram, min_tokens), num_perm).alias("signature"))
+        rows = rows.filter(F.size(dedup_tokens("_text")) >= max(ngram, min_tokens))
+    return spread_small(rows).select("id", signature(F.col("_text"), num_perm, ngram, min_tokens).alias("signature"))
 
 
 def signature_groups(sigs: DataFrame) -> DataFrame:

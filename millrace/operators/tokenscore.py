@@ -9,11 +9,19 @@ from millrace.functions.text import col
 from millrace.operators.instruct import IGNORE
 
 
-def next_token_pairs(preds: Column | str, labels: Column | str) -> Column:
-    """Predictions without the last position beside labels without the first."""
+def next_token_hits(preds: Column | str, labels: Column | str, ignore_masked: bool = False) -> Column:
+    """Per position whether the prediction equals the *next* label.
+
+    Predictions lose their last position, labels their first.  Ignored labels
+    are misses, or null with ``ignore_masked``.
+    """
     shifted = F.slice(col(labels), 2, F.greatest(F.size(labels) - 1, F.lit(0)))
     cut = F.slice(col(preds), 1, F.greatest(F.size(preds) - 1, F.lit(0)))
-    return F.zip_with(cut, shifted, lambda p, l: F.struct(p.alias("p"), l.alias("l")))
+
+    def hit(p: Column, l: Column) -> Column:
+        return F.when(l != IGNORE, p == l) if ignore_masked else p == l
+
+    return F.zip_with(cut, shifted, hit)
 
 
 def token_accuracy(df: DataFrame, preds: str = "preds", labels: str = "labels", ignore_masked: bool = False) -> DataFrame:
@@ -22,12 +30,11 @@ def token_accuracy(df: DataFrame, preds: str = "preds", labels: str = "labels",
     Ignored labels count as misses unless ``ignore_masked`` is set.  Counted
     per row, so one sum per task is shuffled.
     """
-    pairs = F.col("_pairs")
-    if ignore_masked:
-        pairs = F.filter(pairs, lambda x: x["l"] != IGNORE)
-    scored = df.select(next_token_pairs(preds, labels).alias("_pairs")).select(
-        F.size(F.filter(pairs, lambda x: x["p"] == x["l"])).cast("bigint").alias("hits"),
-        F.size(pairs).cast("bigint").alias("positions"),
+    hits = F.col("_hits")
+    counted = F.filter(hits, lambda h: h.isNotNull()) if ignore_masked else hits
+    scored = df.select(next_token_hits(preds, labels, ignore_masked).alias("_hits")).select(
+        F.size(F.filter(hits, lambda h: h)).cast("bigint").alias("hits"),
+        F.size(counted).cast("bigint").alias("positions"),
     )
     sums = scored.agg(F.sum("hits").alias("hits"), F.sum("positions").alias("positions"))
     return sums.withColumn("accuracy", F.when(F.col("positions") > 0, F.col("hits") / F.col("positions")))

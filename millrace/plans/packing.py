@@ -11,7 +11,7 @@ from millrace.operators import instruct, pack, profile
 from millrace.operators.extract import DEFAULT_LABELS, SourceLabels, assemble_text
 from millrace.plans.mixing import TURN_PAIRS, turn_pairs
 from millrace.plans.registry import joined, query, rounded, sql_order, table
-from millrace.session import materialize
+from millrace.session import materialize, spread_small
 
 BLOCK = 512
 # Small buckets, so that the queries cross bucket borders on small tables too.
@@ -33,7 +33,7 @@ def tokenize_corpus(
     once although packing reads lengths first and ids later.
     """
     texts = unified.select(key, assemble_text(unified, labels).alias("text")).filter(has_text("text"))
-    encoded = materialize(pack.encode_documents(texts, "text", encoder, [key]))
+    encoded = materialize(pack.encode_documents(spread_small(texts), "text", encoder, [key]))
     blocks = pack.pack_blocks(encoded, key, block_size, scope)
     blocks = profile.require_rows(materialize(blocks))
     block_key = "block_id"
@@ -48,7 +48,7 @@ def tokenize_corpus(
 
 
 def encoded_documents(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter(has_text("text"))
+    d = spread_small(table(spark, sf_dir, "documents").filter(has_text("text")).select("doc_id", "text"))
     return pack.encode_documents(d, "text", code_points(eos=0), ["doc_id"])
 
 

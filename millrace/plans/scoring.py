@@ -8,6 +8,7 @@ from millrace.functions.encoders import code_points
 from millrace.operators import passk, status, textscore, tokenscore
 from millrace.plans.mixing import TURN_PAIRS, turn_pairs
 from millrace.plans.registry import joined, query, rounded, table
+from millrace.session import spread_small
 
 
 def outcomes(spark, sf_dir):
@@ -299,7 +300,8 @@ def rouge_pairs(spark, sf_dir):
 
 def predictions(spark, sf_dir):
     """Code points of documents as labels; every 7th prediction is off and every 11th label ignored."""
-    d = table(spark, sf_dir, "documents").select("doc_id", code_points()("text").alias("ids"))
+    d = spread_small(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = d.select("doc_id", code_points()("text").alias("ids"))
     return d.select(
         "doc_id",
         F.transform("ids", lambda x, i: F.when(i % 11 == 0, -100).otherwise(x)).alias("labels"),

@@ -58,6 +58,21 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_small(df: DataFrame, max_bytes: int = 1 << 30) -> DataFrame:
+    """Use all cores on an input too small to be split by the scan.
+
+    A table of a few files or row groups reads in a few tasks.  Below
+    ``max_bytes`` (the planner's estimate) it is dealt out over the cores
+    before costly per-row work; anything larger already reads in many tasks
+    and stays where it is, unshuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if len(df.inputFiles()) >= cores or int(str(size)) > max_bytes:
+        return df
+    return df.repartition(cores)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Hint a broadcast only after counting that ``df`` has at most ``max_rows`` rows.
 
