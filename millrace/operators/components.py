@@ -10,7 +10,7 @@ from millrace.session import join_unique_side, materialize
 MAX_ROUNDS = 60
 
 
-def _to_smallest(links: DataFrame, hot_rows: int, larger_only: bool) -> DataFrame:
+def _to_smallest(links: DataFrame, hot_rows: int, rows: int, larger_only: bool) -> DataFrame:
     """Hang the neighbours of every node onto the smallest of them and the node itself.
 
     ``links`` holds (u, v).  The smallest neighbour is a map-side combined
@@ -19,7 +19,7 @@ def _to_smallest(links: DataFrame, hot_rows: int, larger_only: bool) -> DataFram
     lowest = links.groupBy("u").agg(
         F.least(F.col("u"), F.min("v")).alias("low"), F.count("*").alias("_rows")
     )
-    linked = join_unique_side(links, lowest, ["u"], "_rows", hot_rows)
+    linked = join_unique_side(links, lowest, ["u"], "_rows", hot_rows, rows)
     out = linked.select(F.col("v").alias("a"), F.col("low").alias("b"))
     if larger_only:
         return linked.filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("low").alias("b"))
@@ -40,12 +40,12 @@ def connected_components(
     high, low = F.greatest(src, dst), F.least(src, dst)
     current = edges.select(high.alias("u"), low.alias("v")).filter("u <> v").distinct()
     current = materialize(current)
-    before = None
+    rows, before = current.count(), None
     for _ in range(max_rounds):
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _to_smallest(both, hot_rows, larger_only=True).filter("a <> b").distinct()
+        large = _to_smallest(both, hot_rows, 2 * rows, larger_only=True).filter("a <> b").distinct()
         downward = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        small = _to_smallest(downward, hot_rows, larger_only=False).filter("a <> b").distinct()
+        small = _to_smallest(downward, hot_rows, 2 * rows, larger_only=False).filter("a <> b").distinct()
         current = materialize(small.select(F.col("a").alias("u"), F.col("b").alias("v")))
         state = tuple(
             current.agg(
@@ -56,7 +56,7 @@ def connected_components(
         )
         if state == before:
             break
-        before = state
+        rows, before = state[0], state
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = current.select(F.col("v").alias("id"), F.col("v").alias("cluster")).distinct()

@@ -59,19 +59,19 @@ def buckets(members: DataFrame) -> DataFrame:
     return grouped.filter(F.col("members") > 1)
 
 
-def bucket_edges(members: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def bucket_edges(members: DataFrame, hot_rows: int = HOT_ROWS, rows: int | None = None) -> DataFrame:
     """Star edges from each bucket member to the smallest id of its bucket.
 
     Linear in the bucket size, and hot buckets are split off.
     """
-    linked = join_unique_side(members, buckets(members), ["band", "key"], "members", hot_rows)
+    linked = join_unique_side(members, buckets(members), ["band", "key"], "members", hot_rows, rows)
     return linked.filter(F.col("id") > F.col("low")).select(F.col("id").alias("src"), F.col("low").alias("dst")).distinct()
 
 
-def copy_edges(sigs: DataFrame, groups: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def copy_edges(sigs: DataFrame, groups: DataFrame, hot_rows: int = HOT_ROWS, rows: int | None = None) -> DataFrame:
     """Edges from every further document of a signature to its smallest id."""
     repeated = groups.filter(F.col("copies") > 1)
-    linked = join_unique_side(sigs, repeated, ["signature"], "copies", hot_rows)
+    linked = join_unique_side(sigs, repeated, ["signature"], "copies", hot_rows, rows)
     return linked.filter(F.col("id") > F.col("rep")).select(F.col("id").alias("src"), F.col("rep").alias("dst"))
 
 
@@ -92,9 +92,9 @@ def near_duplicate_clusters(
     groups = materialize(signature_groups(sigs))
     members = materialize(band_members(groups, bands, rows))
     # Components run over representatives only; copies take their representative's cluster after.
-    linked = connected_components(bucket_edges(members, hot_rows), hot_rows=hot_rows)
+    linked = connected_components(bucket_edges(members, hot_rows, members.count()), hot_rows=hot_rows)
     linked = materialize(linked)
-    copies = copy_edges(sigs, groups, hot_rows)
+    copies = copy_edges(sigs, groups, hot_rows, sigs.count())
     moved = copies.join(linked.withColumnRenamed("id", "dst"), "dst", "left").select(
         F.col("src").alias("id"), F.coalesce("cluster", "dst").alias("cluster")
     )

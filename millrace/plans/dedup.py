@@ -45,9 +45,11 @@ HASH_SQL = """hashes AS (SELECT doc_id, CAST('0x' || x[7:8] || x[5:6] || x[3:4]
 
 
 def signature_sql(num_perm: int) -> str:
-    wrapped = "((CAST(h AS HUGEINT) * a) + b) % 18446744073709551616"
+    # The product modulo 2^64, then modulo the prime 2^61 - 1 by folding the top bits.
     return f"""{GRAMS_SQL}, {HASH_SQL}, perms(i, a, b) AS (VALUES {_permutation_rows(num_perm)}),
-found AS (SELECT doc_id, i, min(CAST((({wrapped}) % {PRIME}) & {HASH_MASK} AS BIGINT)) AS s FROM hashes, perms GROUP BY doc_id, i),
+wrapped AS (SELECT doc_id, i, ((CAST(h AS HUGEINT) * a) + b) & 18446744073709551615 AS w FROM hashes, perms),
+folded AS (SELECT doc_id, i, CAST(w & {PRIME} AS BIGINT) + CAST(w >> 61 AS BIGINT) AS f FROM wrapped),
+found AS (SELECT doc_id, i, min((CASE WHEN f >= {PRIME} THEN f - {PRIME} ELSE f END) & {HASH_MASK}) AS s FROM folded GROUP BY doc_id, i),
 sig AS (SELECT d.doc_id, p.i, coalesce(s, {HASH_MASK}) AS s FROM documents d CROSS JOIN perms p
   LEFT JOIN found f ON f.doc_id = d.doc_id AND f.i = p.i)"""
 

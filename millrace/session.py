@@ -91,6 +91,7 @@ def join_unique_side(
     on: list[str],
     rows_col: str,
     hot_rows: int = 1_000_000,
+    left_rows: int | None = None,
 ) -> DataFrame:
     """Inner join of ``left`` with a ``right`` side that has one row per key.
 
@@ -99,7 +100,11 @@ def join_unique_side(
     ``count(left) / hot_rows`` of them, so the broadcast side is bounded, and
     the hot left rows stay where they are instead of meeting in one task.
     All other keys take the shuffled join, with at most ``hot_rows`` rows each.
+    A caller that knows ``left_rows`` to be within ``hot_rows`` gets the plain
+    join: no key can be hot then.
     """
+    if left_rows is not None and left_rows <= hot_rows:
+        return left.join(right.drop(rows_col), on, "inner")
     hot = right.filter(F.col(rows_col) > hot_rows).drop(rows_col)
     cold = right.filter(F.col(rows_col) <= hot_rows).drop(rows_col)
     return left.join(cold, on, "inner").unionByName(left.join(F.broadcast(hot), on, "inner"))
