@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import col
+from millrace.operators.prefix import ROWS_PER_BUCKET, range_bounds, range_bucket, with_running_totals
 
 KS = (1, 10, 25)
 
@@ -113,8 +114,9 @@ def robust_pass(
     )
 
 
-def number_samples(outcomes: DataFrame, unit: Sequence[str], order: str) -> DataFrame:
-    """Number the attempts of each unit from 0; units are single problems, so the windows are small."""
-    return outcomes.withColumn(
-        "sample_id", F.row_number().over(Window.partitionBy(*unit).orderBy(order)) - 1
-    )
+def number_samples(
+    outcomes: DataFrame, unit: Sequence[str], order: str, rows_per_bucket: int = ROWS_PER_BUCKET
+) -> DataFrame:
+    """Number the attempts of each unit from 0 in ``order``; a unit may be of any size."""
+    bucket = range_bucket(order, range_bounds(outcomes, order, rows_per_bucket))
+    return with_running_totals(outcomes, {"sample_id": F.lit(1)}, [order], bucket, unit)

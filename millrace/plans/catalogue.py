@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.operators import profile, select
 from millrace.operators.budget import within_budget
-from millrace.plans import dedup, evaluation, live, mixing, packing, registry, reports, scoring
+from millrace.plans import dedup, evaluation, live, mixing, packing, registry, reports, scoring, storage
 from millrace.plans.registry import QueryFn
 
-MODULES = (reports, mixing, packing, dedup, scoring, evaluation, live)
+MODULES = (reports, mixing, packing, dedup, scoring, evaluation, live, storage)
 
 
 def queries() -> dict[str, QueryFn]:
