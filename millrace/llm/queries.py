@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import secrets
+from millrace.llm import html, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_html_extraction": html.op4_html_extraction,
     "op10_secret_scan": secrets.op10_secret_scan,
 }
 ORACLES: dict[str, str] = {}
