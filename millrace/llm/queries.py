@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import html, secrets
+from millrace.llm import html, mixing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html_extraction": html.op4_html_extraction,
+    "op6_source_mixing": mixing.op6_source_mixing,
     "op10_secret_scan": secrets.op10_secret_scan,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_source_mixing": mixing.SQL}
