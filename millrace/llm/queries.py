@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import html, mixing, secrets
+from millrace.llm import decontaminate, html, mixing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html_extraction": html.op4_html_extraction,
+    "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op6_source_mixing": mixing.op6_source_mixing,
     "op10_secret_scan": secrets.op10_secret_scan,
 }
-ORACLES: dict[str, str] = {"op6_source_mixing": mixing.SQL}
+ORACLES: dict[str, str] = {
+    "op5_benchmark_decontamination": decontaminate.SQL,
+    "op6_source_mixing": mixing.SQL,
+}
