@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontaminate, fingerprints, html, mixing, secrets, simhash
+from millrace.llm import decontaminate, fingerprints, html, linededup, mixing, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_dedup": linededup.op2_line_dedup,
     "op4_html_extraction": html.op4_html_extraction,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op6_source_mixing": mixing.op6_source_mixing,
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": secrets.op10_secret_scan,
 }
 ORACLES: dict[str, str] = {
+    "op2_line_dedup": linededup.SQL,
     "op5_benchmark_decontamination": decontaminate.SQL,
     "op6_source_mixing": mixing.SQL,
 }
