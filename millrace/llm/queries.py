@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontaminate, fingerprints, html, linededup, mixing, secrets, simhash
+from millrace.llm import decontaminate, fingerprints, html, langid, linededup, mixing, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": linededup.op2_line_dedup,
+    "op3_language_id": langid.op3_language_id,
     "op4_html_extraction": html.op4_html_extraction,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op6_source_mixing": mixing.op6_source_mixing,
