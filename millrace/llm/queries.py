@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontaminate, fingerprints, html, langid, linededup, mixing, secrets, simhash
+from millrace.llm import decontaminate, fingerprints, html, langid, linededup, mixing, quality, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": linededup.op2_line_dedup,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html_extraction": html.op4_html_extraction,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op6_source_mixing": mixing.op6_source_mixing,
+    "op7_quality_classifier": quality.op7_quality_classifier,
     "op8_simhash_dedup": simhash.op8_simhash_dedup,
     "op9_order_minhash": fingerprints.op9_order_minhash,
     "op10_secret_scan": secrets.op10_secret_scan,
