@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontaminate, fingerprints, html, langid, linededup, mixing, quality, secrets, simhash
+from millrace.llm import decontaminate, fingerprints, html, langid, licenses, linededup, mixing, quality, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": licenses.op1_license_scan,
     "op2_line_dedup": linededup.op2_line_dedup,
     "op3_language_id": langid.op3_language_id,
     "op4_html_extraction": html.op4_html_extraction,
