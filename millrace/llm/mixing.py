@@ -52,13 +52,14 @@ def seeded(value: Column, seed: int) -> Column:
 
 
 def sized(df: DataFrame, key: str, text: str, source: str, seed: int = SEED) -> DataFrame:
-    """(key, source, source_key, order_key, size): the only pass over the texts."""
+    """(key, source, source_key, order_key, size, tie): the only pass over the texts; tie is a digest."""
     return df.select(
         F.col(key).alias("key"),
         F.col(source).alias("source"),
         F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("")).alias("source_key"),
         seeded(F.col(key), seed).alias("order_key"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("bigint").alias("size"),
+        F.xxhash64(F.col(text)).alias("tie"),
     )
 
 
@@ -148,7 +149,7 @@ def mix(
     shards: int = SHARDS,
     seed: int = SEED,
 ) -> DataFrame:
-    """(key, source, size, source_size, target, shard_tokens) per row of ``df``.
+    """(key, source, size, source_size, target, shard_tokens, tie) per row of ``df``.
 
     ``shard_tokens`` has what the row gives to each shard, repeats counted;
     never more than ``limit`` times its size in all.
@@ -175,7 +176,7 @@ def mix(
         F.col("upto"), F.concat(F.array(F.lit(0).cast("bigint")), F.slice("upto", 1, shards - 1)), lambda a, b: a - b
     )
     return joined.withColumn("upto", upto).select(
-        F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", per_shard.alias("shard_tokens")
+        F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", per_shard.alias("shard_tokens"), "tie"
     )
 
 
@@ -183,6 +184,22 @@ def total(tokens: Column | str) -> Column:
     return F.aggregate(tokens, F.lit(0).cast("bigint"), lambda a, b: a + b)
 
 
+def mixed_documents(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``df`` with size, source_size, target, taken and shard_tokens.
+
+    Columns of these names are replaced.  Rows that repeat key and text get the
+    numbers of the one the mix takes most of.
+    """
+    found = mix(df, key, text, **options)
+    numbers = ("size", "source_size", "target", "shard_tokens")
+    best = found.groupBy(F.col(key).alias("_key"), F.col("tie").alias("_tie")).agg(
+        F.max_by(F.struct(*numbers), total("shard_tokens")).alias("_mix")
+    )
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(F.col(text)) == F.col("_tie"))
+    own = [c for c in df.columns if c not in (*numbers, "taken")]
+    return df.select(*own).join(best, same).select(*own, "_mix.*", total(F.col("_mix.shard_tokens")).alias("taken"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's size, its source's size and target, and the words that the mix takes of it."""
     return mix(table(spark, sf_dir, "documents")).select(

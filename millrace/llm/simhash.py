@@ -253,10 +253,40 @@ def rows_hot(rows: int) -> int:
 
 
 def without_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One row of each component stays, its smallest key; rows of null key in a component with keys go."""
-    found = near_duplicates(df, key, text, **options)
-    gone = found.filter(F.col("id") != F.col("component")).select(F.col("id").alias("_id")).distinct()
-    return df.join(gone, F.col(key) == F.col("_id"), "left_anti")
+    """One row of each component stays: the smallest key, and one row of it if several have it.
+
+    Rows of null key stay only where their whole component has no key.
+    """
+    found = materialize(near_duplicates(df, key, text, **options))
+    named = F.col("id").isNotNull() | F.col("component").isNull()
+    gone = found.filter(~(F.col("id").eqNullSafe(F.col("component")) & named)).select(
+        F.col("id").alias("_id"), F.col("fp").alias("_fp")
+    )
+    lost = materialize(gone.filter("_id IS NOT NULL").select("_id").distinct())
+    kept = df.join(lost, F.col(key) == F.col("_id"), "left_anti")
+    odd = gone.filter("_id IS NULL").select("_fp").distinct()
+    if not odd.isEmpty():
+        # a null key does not tell rows apart; their fingerprints do
+        nameless = fingerprints_beside(kept.filter(F.col(key).isNull()), text).join(odd, "_fp", "left_anti").drop("_fp")
+        kept = kept.filter(F.col(key).isNotNull()).unionByName(nameless)
+    repeated = materialize(found.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1 AND id IS NOT NULL").select(F.col("id").alias("_id")))
+    if not repeated.isEmpty():
+        again = F.col(key) == F.col("_id")
+        once = kept.join(repeated, again, "left_semi").dropDuplicates([key])
+        kept = kept.join(repeated, again, "left_anti").unionByName(once)
+    return kept
+
+
+def fingerprints_beside(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with ``_fp``, the fingerprint of each row."""
+    columns = df.columns
+    at = columns.index(text)
+
+    def run(*row):
+        value = fingerprint(row[at])
+        return (*row, value - (1 << 64) if value >> 63 else value)
+
+    return map_rows(df, run, df.select("*", F.lit(0).cast("bigint").alias("_fp")).schema)
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
