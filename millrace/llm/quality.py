@@ -40,7 +40,7 @@ MIN_TEXTS = 5
 GRADES = 3
 STEPS = 300
 RATE = 0.08
-RIDGE = 1e-4
+RIDGE = 5e-4
 #: Rarer grades count more: by the inverse of their share to this power.
 BALANCE = 0.5
 FOLDS = 5
