@@ -9,23 +9,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.keys import order_hash
-from millrace.functions.text import col
 from millrace.operators.prefix import hash_bucket
-from millrace.session import broadcast_if_small, materialize
+from millrace.session import broadcast_if_small, join_null_safe, materialize
 
-Targets = Mapping[str, int] | int
+#: One budget for every group, budgets by name, or a table (group, target).
+Targets = Mapping[str, int] | int | DataFrame
 SAMPLE_ROWS = 200
-MAX_GROUPS = 100_000
 
 
-def target_of(group: Column | str, targets: Targets) -> Column:
-    """Budget of each row's group; null where the group has none."""
+def targets_table(df: DataFrame, targets: Mapping[str, int], group: str = "source") -> DataFrame:
+    return df.sparkSession.createDataFrame(
+        [(k, int(v)) for k, v in targets.items()], f"`{group}` string, target_tokens bigint"
+    )
+
+
+def with_target(df: DataFrame, targets: Targets, group: str = "source", name: str = "_target") -> DataFrame:
+    """Rows of ``df`` whose group has a positive budget, with that budget.
+
+    Budgets are joined as a table, broadcast after its size is checked, so that
+    neither the plan nor the cost per row grows with the number of groups.
+    """
     if isinstance(targets, int):
-        return F.lit(targets).cast("bigint")
-    if not targets:
-        return F.lit(None).cast("bigint")
-    table = F.create_map(*[F.lit(x) for k, v in targets.items() for x in (k, int(v))])
-    return table[col(group)].cast("bigint")
+        return df.withColumn(name, F.lit(targets).cast("bigint")).filter(F.col(name) > 0)
+    table = targets if isinstance(targets, DataFrame) else targets_table(df, targets, group)
+    value = next(c for c in table.columns if c != group)
+    funded = table.select(F.col(group), F.col(value).cast("bigint").alias(name)).filter(F.col(name) > 0)
+    return join_null_safe(df, broadcast_if_small(funded), [group])
 
 
 def budget_cuts(
@@ -56,10 +65,9 @@ def budget_cuts(
         F.col(group),
         F.col(order),
         F.coalesce(F.col(tokens), F.lit(0)).cast("bigint").alias("_n"),
-        target_of(group, targets).alias("_target"),
         bucket.alias("_bucket"),
-    ).filter(F.col("_target") > 0)
-    rows = materialize(rows)
+    )
+    rows = materialize(with_target(rows, targets, group))
 
     totals = rows.groupBy(group, "_bucket").agg(
         F.sum("_n").alias("_sum"),
@@ -87,7 +95,7 @@ def budget_cuts(
     )
     edge = materialize(edge.select(group, "_first_key", "_edge.*"))
 
-    walked = rows.join(broadcast_if_small(edge.drop("_first_key", "_last_key")), [group, "_bucket"])
+    walked = join_null_safe(rows, broadcast_if_small(edge.drop("_first_key", "_last_key")), [group, "_bucket"])
     inside = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
     fits = before < F.col("_target") if mode == "cross" else before + F.col("_n") <= F.col("_target")
@@ -98,7 +106,7 @@ def budget_cuts(
         .agg(F.max(order).alias("_fit_key"))
     )
     cut = F.coalesce("_fit_key", "_last_key", "_first_key")
-    return edge.join(last_fit, group, "left").select(group, cut.alias("_cut"))
+    return join_null_safe(edge, last_fit, [group], "left").select(group, cut.alias("_cut"))
 
 
 def within_budget(
@@ -113,10 +121,11 @@ def within_budget(
     """Rows of ``df`` inside their group's token budget, in ``order``.
 
     The result is a map-side filter: ``df`` joined with one broadcast row per
-    group, the size of which is checked first.
+    group, the size of which is checked first.  Rows of a null group are a
+    group of their own.  Runs several jobs while the result is put together.
     """
     cuts = materialize(budget_cuts(df, targets, group, order, tokens, mode, bucket))
-    kept = df.join(broadcast_if_small(cuts), group).filter(F.col(order) <= F.col("_cut"))
+    kept = join_null_safe(df, broadcast_if_small(cuts), [group]).filter(F.col(order) <= F.col("_cut"))
     return kept.select(*df.columns)
 
 
@@ -151,40 +160,37 @@ def availability(
         .groupBy(group)
         .agg(F.coalesce(F.avg("_n"), F.lit(0.0)).alias("avg_tokens"))
     )
-    return counts.join(sample, group).withColumn(
+    return join_null_safe(counts, sample, [group]).withColumn(
         "available", F.floor(F.col("n_rows") * F.col("avg_tokens")).cast("bigint")
     )
 
 
-def balanced_targets(available: Mapping[str, int], total: int) -> dict[str, int]:
-    """Equal shares, with what small groups leave unused handed to groups with room."""
-    if not available:
-        return {}
-    target = dict.fromkeys(sorted(available), total // len(available))
-    for _ in range(len(target)):
-        granted = {g: min(t, available[g]) for g, t in target.items()}
-        unused = sum(target.values()) - sum(granted.values())
-        hungry = [g for g, t in granted.items() if t < available[g]]
-        if unused == 0 or not hungry:
-            break
-        extra = unused // len(hungry)
-        target = {
-            g: min(t + extra, available[g]) if g in set(hungry) else t for g, t in granted.items()
-        }
-    return target
-
-
-def balanced_targets_for(avail: DataFrame, group: str, total: int) -> dict[str, int]:
-    """:func:`balanced_targets` over a group-level table, which must be small."""
-    found = avail.select(group, "available").limit(MAX_GROUPS + 1).collect()
-    if len(found) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups to balance")
-    return balanced_targets({r[0]: r[1] for r in found}, total)
-
+def balanced_targets(avail: DataFrame, group: str, total: int, available: str = "available") -> DataFrame:
+    """(group, target_tokens): equal shares, where no group gets more than it has.
 
-def targets_table(df: DataFrame, targets: Mapping[str, int], group: str = "source") -> DataFrame:
-    return df.sparkSession.createDataFrame(
-        [(k, int(v)) for k, v in targets.items()], f"{group} string, target_tokens bigint"
+    With groups in order of what they have, prefix sums give the level at which
+    ``total`` would be spent if every group from here on got that level; the
+    groups that have less than the level of their place are full, and the first
+    one that has not sets the level of all the rest.  Levels are rounded down:
+    fewer tokens than groups stay unspent.  If ``total`` exceeds all that there
+    is, the surplus is added evenly, since availability is an estimate.
+    One window over the table of groups; nothing is collected.
+    """
+    have = F.greatest(F.coalesce(F.col(available), F.lit(0)), F.lit(0)).cast("bigint")
+    everything = Window.partitionBy(F.lit(0))
+    order = everything.orderBy("_have", F.col(group).asc_nulls_first())
+    placed = avail.select(F.col(group), have.alias("_have")).select(
+        "*",
+        F.coalesce(F.sum("_have").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.count("*").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("_rest"),
+        F.sum("_have").over(everything).alias("_sum"),
+        F.count("*").over(everything).alias("_groups"),
+    )
+    level = F.floor((F.lit(total) - F.col("_before")) / F.col("_rest")).cast("bigint")
+    water = F.max(F.when(F.col("_have") > level, level)).over(everything)
+    surplus = F.floor(F.greatest(F.lit(total) - F.col("_sum"), F.lit(0)) / F.col("_groups")).cast("bigint")
+    return placed.withColumn("_water", water).select(
+        group, (F.least(F.col("_have"), F.coalesce("_water", "_have")) + surplus).alias("target_tokens")
     )
 
 

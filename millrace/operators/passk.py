@@ -32,8 +32,8 @@ def task_tallies(outcomes: DataFrame, task: str = "task_id", passed: Column | st
 def pass_at_k(total: Column | str, correct: Column | str, k: int) -> Column:
     """Chance that one of ``k`` draws without replacement passes."""
     n, c = col(total), col(correct)
-    misses = F.aggregate(F.sequence(n - c + 1, n), F.lit(1.0), lambda acc, i: acc * (F.lit(1.0) - F.lit(float(k)) / i))
-    # c = 0 would turn the sequence around; nothing passes then.
+    draws = F.array(*[F.lit(j) for j in range(k)])
+    misses = F.aggregate(draws, F.lit(1.0), lambda acc, j: acc * (n - c - j) / (n - j))
     return F.when(n - c < k, F.lit(1.0)).when(c == 0, F.lit(0.0)).otherwise(F.lit(1.0) - misses)
 
 
@@ -51,8 +51,35 @@ def passed_run(status: Column | str = "status", exit_code: Column | str = "exit_
     return F.coalesce((col(status) == "OK") & (col(exit_code) == 0), F.lit(False))
 
 
+def candidate_outcomes(
+    runs: DataFrame,
+    task: str = "task_id",
+    candidate: str = "candidate",
+    phase: str = "phase",
+    status: str = "status",
+    exit_code: str = "exit_code",
+    order: str | None = None,
+) -> DataFrame:
+    """One row (task, candidate, status, exit_code) per candidate from its build and run rows.
+
+    A failed build decides; after a good one the first failed run does, in
+    ``order``; without failures the candidate is OK if it ran at all.  A
+    candidate that was built and never run is an Exception.
+    """
+    built = F.col(phase) == "build"
+    failed = ~F.coalesce((F.col(status) == "OK") & (F.col(exit_code) == 0), F.lit(False))
+    place = F.struct(F.when(built, 0).otherwise(1), F.col(order) if order else F.lit(0))
+    result = F.struct(F.col(status).alias("status"), F.col(exit_code).alias("exit_code"))
+    folded = runs.groupBy(task, candidate).agg(
+        F.min_by(result, F.when(failed, place)).alias("_failed"),
+        F.min_by(result, F.when(~built, place)).alias("_ran"),
+    )
+    never = F.struct(F.lit("Exception").alias("status"), F.lit(None).cast("int").alias("exit_code"))
+    return folded.select(task, candidate, F.coalesce("_failed", "_ran", never).alias("_out")).select(task, candidate, "_out.*")
+
+
 def pass_at_k_of_runs(runs: DataFrame, task: str, first_task: object, ks: Sequence[int] = KS) -> DataFrame:
-    """Pass@k from run results; reported for each ``k`` up to the candidates of ``first_task``."""
+    """Pass@k from candidate outcomes; reported for each ``k`` up to the candidates of ``first_task``."""
     tallies = task_tallies(runs, task, passed_run())
     of_first = F.max(F.when(F.col(task) == first_task, F.col("total")))
     return tallies.agg(

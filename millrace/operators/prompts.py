@@ -256,4 +256,4 @@ def numbered_batches(df: DataFrame, order: str, size: int, rows_per_bucket: int
 def problems_with_descriptions(problems: DataFrame, descriptions: DataFrame, key: str = "task_id", candidates: str = "descriptions") -> DataFrame:
     """One problem row per candidate description, matched by key."""
     listed = descriptions.select(key, F.posexplode(candidates).alias("candidate_id", "description"))
-    return problems.join(listed.filter(has_text("description")), key)
+    return problems.join(listed, key)

@@ -42,6 +42,7 @@ EXTENSIONS = {
     "pl": ".pl",
     "sh": ".sh",
     "scala": ".scala",
+    "go_test.go": "_test.go",
 }
 # Seconds per candidate, and parallel workers, by language.
 TIMEOUT_SECONDS = {"python": 10, "cpp": 60, "js": 10, "java": 10, "go": 60, "rust": 300}
@@ -81,6 +82,11 @@ def _script_errors(has: Callable[[str], Column]) -> list[Rule]:
 
 def _rules(r: _Run) -> dict[str, list[Rule]]:
     """Per file extension the rules in order; a row that meets none is an Exception."""
+    go = [
+        (r.timeout, TIMEOUT),
+        (r.out_has("[setup failed]") | r.out_has("[build failed]"), SYNTAX),
+        (~r.out_has("FAIL"), OK),
+    ]
     late, ok = (r.timeout, TIMEOUT), (r.zero, OK)
     silent = F.length(r.err) == 0
     compiled = [*_build_first(r), late, ok]
@@ -96,11 +102,8 @@ def _rules(r: _Run) -> dict[str, list[Rule]]:
         ".ts": [*compiled, *_script_errors(r.err_has)],
         ".js": [late, ok, *_script_errors(r.any_has)],
         ".d": [late, ok, (r.err_has("Error:"), SYNTAX)],
-        ".go": [
-            late,
-            (r.out_has("[setup failed]") | r.out_has("[build failed]"), SYNTAX),
-            (~r.out_has("FAIL"), OK),
-        ],
+        ".go": go,
+        "_test.go": go,
         ".jl": [late, ok, (~silent, SYNTAX)],
         ".rb": [late, ok, (~silent, SYNTAX)],
         ".lua": [late, ok],

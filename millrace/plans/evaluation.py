@@ -14,7 +14,7 @@ STYLES = tuple(prompts.STYLE_LAYOUTS)
 
 
 def problems(spark, sf_dir):
-    """documents as problems: the text is the solution, its head the docstring."""
+    """documents as problems: the text is the solution, and the docstring as well."""
     d = table(spark, sf_dir, "documents")
 
     def pick(values):
@@ -25,7 +25,7 @@ def problems(spark, sf_dir):
         F.col("source").alias("entry_point"),
         F.concat(F.lit("def "), "source", F.lit("():\n")).alias("declaration"),
         F.concat(F.lit("def "), "source", F.lit("():\n    # "), "lang", F.lit("\n")).alias("prompt"),
-        F.substring("text", 1, 60).alias("docstring"),
+        F.col("text").alias("docstring"),
         "text",
         pick(LANGUAGES).alias("language"),
         pick(STYLES).alias("style"),
@@ -46,7 +46,7 @@ def sql_strip(s: str) -> str:
 
 
 PROBLEMS_SQL = f"""problems AS (SELECT doc_id, source AS entry_point, 'def ' || source || '():' || chr(10) AS declaration,
-  'def ' || source || '():' || chr(10) || '    # ' || lang || chr(10) AS prompt, substr(text, 1, 60) AS docstring, text,
+  'def ' || source || '():' || chr(10) || '    # ' || lang || chr(10) AS prompt, text AS docstring, text,
   {list(LANGUAGES)}[doc_id % {len(LANGUAGES)} + 1] AS language, {list(STYLES)}[doc_id % {len(STYLES)} + 1] AS style FROM documents)"""
 BASE_SQL = "CASE WHEN language = 'rust' THEN 'fn main(){}' || chr(10) || declaration ELSE declaration END"
 
@@ -123,7 +123,7 @@ def explain_prompts(spark, sf_dir):
 
 
 @query("""
-WITH d AS (SELECT doc_id, source, text, substr(text, 1, 40) AS doc FROM documents WHERE length(text) > 45),
+WITH d AS (SELECT doc_id, source, text, text AS doc FROM documents),
 c AS (SELECT *, 'def ' || source || '():' || chr(10) || '    \"\"\"' || doc || '\"\"\"' || chr(10) || '    return' || text AS code FROM d),
 s AS (SELECT *, chr(10) || '    return' || text AS after FROM c)
 SELECT doc_id, 'def ' || source || '():' || after || chr(10) || '\"\"\" The goal of this function is to:' || chr(10) AS body,
@@ -131,8 +131,8 @@ SELECT doc_id, 'def ' || source || '():' || after || chr(10) || '\"\"\" The goal
   code || chr(10) || '=begin The goal of this function is to:' || chr(10) AS ruby,
   code || chr(10) || '/* The goal of this function is to:' || chr(10) AS php FROM s""".replace('\\"', '"'))
 def code_to_text_prompts(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter(F.length("text") > 45)
-    doc = F.substring("text", 1, 40)
+    d = table(spark, sf_dir, "documents")
+    doc = F.col("text")
     code = F.concat(F.lit("def "), "source", F.lit('():\n    """'), doc, F.lit('"""\n    return'), "text")
     c = d.select("doc_id", doc.alias("doc"), code.alias("code"))
     return c.select(
@@ -231,7 +231,7 @@ def cleaned_generations(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     raw = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<s>"), F.lit("[gMASK]  "), F.lit("p:"), "text")).otherwise(F.col("text"))
     cleaned = postprocess.clean_generation("raw", "<s>", "[gMASK]", "p:")
-    return d.filter("text rlike '^[^ ]'").select("doc_id", raw.alias("raw")).select("doc_id", cleaned.alias("cleaned"))
+    return d.select("doc_id", raw.alias("raw")).select("doc_id", cleaned.alias("cleaned"))
 
 
 # Every line but each 5th is indented, so that functions end inside the text.
@@ -290,26 +290,23 @@ def brace_close(spark, sf_dir):
     return d.select("doc_id", code.alias("code")).select("doc_id", postprocess.close_code("code", "js").alias("closed"))
 
 
-@query("""
-WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), l AS (SELECT doc_id, ls[1] AS first, ls[-1] AS last FROM d),
-g AS (SELECT doc_id, substr(trim('about ' || first || ' code', chr(10) || ' '), 1, 500) AS own, regexp_replace(last, '^\\s+|\\s+$', '', 'g') AS gone,
-  regexp_replace(first, '^\\s+|\\s+$', '', 'g') AS first FROM l)
-SELECT doc_id, replace(CASE WHEN length(first) > 20 THEN replace(rtrim(own, chr(10) || ' '), first, '') ELSE rtrim(own, chr(10) || ' ') END,
-  CASE WHEN length(gone) > 20 THEN gone ELSE chr(1) END, '') AS description FROM g""")
+@query(f"""
+WITH g AS (SELECT doc_id, {sql_strip("('about ' || text || ' code')")} AS own, string_split(text, chr(10)) AS ls FROM documents)
+SELECT doc_id, list_reduce(list_prepend(own, ls), lambda acc, x: CASE WHEN length({sql_strip('x')}) > 20
+  THEN replace(acc, {sql_strip('x')}, '') ELSE acc END) AS description FROM g""")
 def remove_code(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    parts = d.select("doc_id", F.get(lines("text"), F.lit(0)).alias("first"), F.element_at(lines("text"), -1).alias("last"))
-    generation = F.concat(F.lit("PROMPT about "), "first", F.lit(" code"))
-    solution = F.concat("first", F.lit("\n"), "last")
-    made = postprocess.description(generation, F.lit("PROMPT"), F.lit("x" * 500), solution)
-    return parts.select("doc_id", made.alias("description"))
+    generation = F.concat(F.lit("PROMPT about "), "text", F.lit(" code"))
+    docstring = F.concat("text", F.lit("room for more than the description"))
+    made = postprocess.description(generation, F.lit("PROMPT"), docstring, "text")
+    return d.select("doc_id", made.alias("description"))
 
 
 @query("""
 SELECT doc_id, split_part(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10), 1) AS described,
-  regexp_replace(split_part(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10), 1), '\\s+$', '') AS quoted FROM documents WHERE text NOT LIKE '%\"\"\"%'""".replace('\\"', '"'))
+  regexp_replace(split_part(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10), 1), '\\s+$', '') AS quoted FROM documents""".replace('\\"', '"'))
 def description_lines(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("NOT contains(text, '\"\"\"')")
+    d = table(spark, sf_dir, "documents")
     mark = prompts.DESCRIBE_SUFFIX_OTHER
     return d.select(
         "doc_id",
@@ -338,10 +335,9 @@ def runnable_code(spark, sf_dir):
 SELECT doc_id, 'package main' || chr(10) || 'import (' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '' ELSE '"testing"' END || chr(10) || ')' || chr(10)
   || 'import (' || chr(10) || '    "sort"' || chr(10) || ')' || chr(10) || chr(10) || text || chr(10) || 'sort.Ints(x)' || chr(10) || '// math.Pi'
   || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '"testing"' ELSE '' END AS program
-FROM documents WHERE NOT regexp_matches(text, '(math|strings|fmt|strconv|time|bytes|regexp|sort|rand|md5)[.]')""")
+FROM documents""")
 def go_imports(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    d = d.filter("NOT text rlike '(math|strings|fmt|strconv|time|bytes|regexp|sort|rand|md5)[.]'")
     code = F.concat(
         F.lit("package main\n"),
         "text",
@@ -371,7 +367,7 @@ def problem_descriptions(spark, sf_dir):
 
 
 def chat_answers_of(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("NOT contains(text, 'run_case') AND NOT contains(text, '```')")
+    d = table(spark, sf_dir, "documents")
     content = F.element_at(
         F.array(
             F.concat(F.lit("Here:\n```py\ndef runCase(x):\n"), "text", F.lit("\n```\nbye")),
@@ -386,7 +382,7 @@ def chat_answers_of(spark, sf_dir):
 
 
 CHAT_SQL = """chat AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text || chr(10) WHEN 1 THEN text END AS answer
-  FROM documents WHERE NOT contains(text, 'run_case') AND NOT contains(text, '```'))"""
+  FROM documents)"""
 
 
 @query(f"WITH {CHAT_SQL} SELECT * FROM chat")

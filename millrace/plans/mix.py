@@ -51,7 +51,9 @@ def source_documents(
         raw = raw.filter(select.sampled(item.key, seed, spec.keep_prob))
     docs = extract(raw, spec, F.col(item.key).cast("string"))
     docs = docs.filter(has_text("text") & select.within_length("est_tokens", low, high))
-    return docs.withColumn("order_key", order_hash(F.concat_ws("/", "source", "key"), seed))
+    # A row id is unique inside its source only; doc_key is unique in the mix.
+    named = docs.withColumn("doc_key", F.concat_ws("/", "source", "key"))
+    return named.withColumn("order_key", order_hash("doc_key", seed))
 
 
 def build_mix(
@@ -103,9 +105,9 @@ def balanced_pairs(
     )
     valid = has_text("_src") & has_text("_ir")
     avail = budget.availability(rows, "group", "key", "est_tokens", valid, seed)
-    targets = budget.balanced_targets_for(avail, "group", total)
+    targets = budget.balanced_targets(avail, "group", total)
     usable = rows.filter(valid & (F.col("est_tokens") >= low))
-    kept = budget.within_budget(usable, select.funded(targets), group="group", mode="floor")
+    kept = budget.within_budget(usable, targets, group="group", mode="floor")
     return kept.select(
         "key",
         pair_text("_src", "_ir").alias("text"),

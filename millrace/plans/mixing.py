@@ -85,18 +85,17 @@ AVAILABILITY_SQL = f"""{KEYED_DOCS}, grouped AS (SELECT *, source || '/' || lang
 avail AS (SELECT grp, count(*) AS n_rows, avg(est_tokens) FILTER (r <= 200 AND est_tokens > 0) AS avg_tokens,
   CAST(floor(count(*) * coalesce(avg(est_tokens) FILTER (r <= 200 AND est_tokens > 0), 0)) AS BIGINT) AS available
   FROM grouped GROUP BY grp)"""
-ALLOCATION_SQL = f"""{AVAILABILITY_SQL}, n AS (SELECT count(*) AS g FROM avail),
-steps AS (
-  SELECT 0 AS step, grp, available, CAST({BALANCE_TOTAL} // (SELECT g FROM n) AS BIGINT) AS budget, true AS more FROM avail
-  UNION ALL
-  SELECT step + 1, grp, available, CASE WHEN more AND granted < available
-      THEN least(granted + CAST(unused // room AS BIGINT), available) WHEN more THEN granted ELSE budget END, more
-  FROM (SELECT step, grp, available, budget, granted, unused, room, unused > 0 AND room > 0 AS more FROM (
-    SELECT step, grp, available, budget, least(budget, available) AS granted,
-      sum(budget - least(budget, available)) OVER () AS unused,
-      sum(CASE WHEN least(budget, available) < available THEN 1 ELSE 0 END) OVER () AS room
-    FROM steps WHERE more AND step < (SELECT g FROM n)))),
-alloc AS (SELECT grp, arg_max(budget, step) AS budget, max(available) AS available FROM steps GROUP BY grp)"""
+def allocation_sql(total: int) -> str:
+    """Equal shares up to what groups have, from the level at which the total is spent."""
+    return f"""levels AS (SELECT grp, available, floor(({total} - coalesce(sum(available) OVER (ORDER BY available, grp
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (count(*) OVER (ORDER BY available, grp
+    ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))) AS level FROM avail),
+water AS (SELECT max(level) AS level FROM levels WHERE available > level),
+alloc AS (SELECT grp, available, CAST(least(available, coalesce((SELECT level FROM water), available))
+  + floor(greatest({total} - (SELECT sum(available) FROM avail), 0) / (SELECT count(*) FROM avail)) AS BIGINT) AS budget FROM avail)"""
+
+
+ALLOCATION_SQL = f"{AVAILABILITY_SQL}, {allocation_sql(BALANCE_TOTAL)}"
 
 
 def grouped_documents(spark, sf_dir):
@@ -113,23 +112,21 @@ def group_availability(spark, sf_dir):
     return rounded(document_availability(spark, sf_dir), "avg_tokens")
 
 
-@query(f"WITH RECURSIVE {ALLOCATION_SQL} SELECT grp, budget AS target_tokens FROM alloc")
+@query(f"WITH {ALLOCATION_SQL} SELECT grp, budget AS target_tokens FROM alloc")
 def balanced_allocation(spark, sf_dir):
-    avail = document_availability(spark, sf_dir)
-    targets = budget.balanced_targets_for(avail, "grp", BALANCE_TOTAL)
-    return avail.select("grp", budget.target_of("grp", targets).alias("target_tokens"))
+    return budget.balanced_targets(document_availability(spark, sf_dir), "grp", BALANCE_TOTAL)
 
 
 @query(f"""
-WITH RECURSIVE {ALLOCATION_SQL}, run AS (
+WITH {ALLOCATION_SQL}, run AS (
   SELECT g.doc_id, g.grp, g.est_tokens, a.budget, sum(g.est_tokens) OVER w AS upto, row_number() OVER w AS rn
   FROM grouped g JOIN alloc a ON g.grp = a.grp WHERE g.est_tokens >= 32
   WINDOW w AS (PARTITION BY g.grp ORDER BY g.k ROWS UNBOUNDED PRECEDING))
 SELECT doc_id, grp, est_tokens FROM run WHERE budget > 0 AND (upto <= budget OR rn = 1)""")
 def balanced_mix(spark, sf_dir):
-    targets = budget.balanced_targets_for(document_availability(spark, sf_dir), "grp", BALANCE_TOTAL)
+    targets = budget.balanced_targets(document_availability(spark, sf_dir), "grp", BALANCE_TOTAL)
     usable = grouped_documents(spark, sf_dir).filter(select.within_length(high=None))
-    kept = budget.within_budget(usable, select.funded(targets), group="grp", mode="floor")
+    kept = budget.within_budget(usable, targets, group="grp", mode="floor")
     return kept.select("doc_id", "grp", "est_tokens")
 
 
@@ -229,23 +226,12 @@ PAIR_TOKENS = f"CAST(trunc(({sql_words('asked')} + {sql_words('answered')} + 5)
 
 
 @query(f"""
-WITH RECURSIVE {TURN_PAIRS}, rows_in AS (SELECT conv_id || ':' || turn AS pair_id, asked, answered, {PAIR_TOKENS} AS t,
+WITH {TURN_PAIRS}, rows_in AS (SELECT conv_id || ':' || turn AS pair_id, asked, answered, {PAIR_TOKENS} AS t,
   'lang' || (conv_id % 3) AS language, CASE WHEN conv_id % 2 = 0 THEN 'Perf_Optimized' ELSE 'Size_Optimized' END AS ir_type FROM pairs),
 grouped AS (SELECT *, language || '/' || ir_type AS grp, md5('42:' || pair_id) AS k,
   row_number() OVER (PARTITION BY language || '/' || ir_type ORDER BY md5('42:' || pair_id)) AS r FROM rows_in),
 avail AS (SELECT grp, CAST(floor(count(*) * avg(t) FILTER (r <= 200)) AS BIGINT) AS available FROM grouped GROUP BY grp),
-n AS (SELECT count(*) AS g FROM avail),
-steps AS (
-  SELECT 0 AS step, grp, available, CAST(30000 // (SELECT g FROM n) AS BIGINT) AS budget, true AS more FROM avail
-  UNION ALL
-  SELECT step + 1, grp, available, CASE WHEN more AND granted < available
-      THEN least(granted + CAST(unused // room AS BIGINT), available) WHEN more THEN granted ELSE budget END, more
-  FROM (SELECT *, unused > 0 AND room > 0 AS more FROM (
-    SELECT step, grp, available, budget, least(budget, available) AS granted,
-      sum(budget - least(budget, available)) OVER () AS unused,
-      sum(CASE WHEN least(budget, available) < available THEN 1 ELSE 0 END) OVER () AS room
-    FROM steps WHERE more AND step < (SELECT g FROM n)))),
-alloc AS (SELECT grp, arg_max(budget, step) AS budget FROM steps GROUP BY grp),
+{allocation_sql(30_000)},
 run AS (SELECT g.*, budget, sum(t) OVER w AS upto, row_number() OVER w AS rn FROM grouped g JOIN alloc a ON g.grp = a.grp
   WHERE t >= 32 WINDOW w AS (PARTITION BY g.grp ORDER BY k ROWS UNBOUNDED PRECEDING))
 SELECT pair_id AS key, language, ir_type, t AS est_tokens, {PAIR_SQL} AS text FROM run WHERE budget > 0 AND (upto <= budget OR rn = 1)""")

@@ -176,10 +176,10 @@ def source_metadata(spark, sf_dir):
     )
 
 
-@query("SELECT page_id, url FROM pages WHERE url <> ''")
+@query("SELECT page_id, coalesce(url, '') AS url FROM pages")
 def web_metadata(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
-    return p.select("page_id", web_meta(p)["url"].alias("url")).filter("url <> ''")
+    return p.select("page_id", web_meta(p)["url"].alias("url"))
 
 
 @query(f"""

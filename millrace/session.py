@@ -85,6 +85,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     return df
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null; the result has the left side's keys once."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in on})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in on]
+    return left.join(named, same, how).drop(*[f"_right_{k}" for k in on])
+
+
 def join_unique_side(
     left: DataFrame,
     right: DataFrame,

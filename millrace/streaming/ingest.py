@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
-from millrace.operators.budget import Targets, target_of, within_budget
+from millrace.operators.budget import Targets, with_target, within_budget
 from millrace.operators.select import skip_reason
 from millrace.sources.readers import DOCUMENT_SCHEMA
 
@@ -67,8 +67,10 @@ def stream_budget(
     corpus use the batch gate, and for large triggers
     :func:`with_batch_budget`; both spread a source over many tasks.
     """
-    docs.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
-    funded = docs.withColumn(GATE_COLUMN, target_of(group, targets)).filter(F.col(GATE_COLUMN) > 0)
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    if docs.sparkSession.conf.get(setting, None) != STATE_PROVIDER:
+        raise ValueError(f"set {setting} to {STATE_PROVIDER}")
+    funded = with_target(docs, targets, group, GATE_COLUMN)
     return funded.groupBy(group).transformWithStateInPandas(
         statefulProcessor=_TokenBudget(order, tokens),
         outputStructType=docs.schema,

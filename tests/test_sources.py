@@ -115,11 +115,18 @@ def test_stream_gate_over_triggers(spark, tmp_path, kind):
     out, check = str(tmp_path / "out"), str(tmp_path / "check")
     targets = {"s0": 52, "s1": 10**6}
     if kind == "state":
+        setting = "spark.sql.streaming.stateStore.providerClass"
+        before = spark.conf.get(setting)
+        with pytest.raises(ValueError, match=setting):
+            ingest.stream_budget(stream, targets)
+        spark.conf.set(setting, ingest.STATE_PROVIDER)
         kept = ingest.stream_budget(stream, targets)
         writer = kept.writeStream.format("parquet").option("path", out)
     else:
         keyed = stream.withColumn("order_key", order_hash("key", 1))
         writer = keyed.writeStream.foreachBatch(ingest.with_batch_budget(str(tmp_path / "totals"), out, targets))
     writer.option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    if kind == "state":
+        spark.conf.set(setting, before)
     got = {r[0]: r[1] for r in spark.read.parquet(out).groupBy("source").agg(F.sum("est_tokens")).collect()}
     assert got == {"s0": 55, "s1": 100}
