@@ -22,7 +22,7 @@ def signatures(
     min_tokens: int = NGRAM,
     short: str = "collapse",
 ) -> DataFrame:
-    """(id, signature) per document.
+    """(id, signature, digest) per document; equal signatures have equal digests of 16 bytes.
 
     Documents with fewer than ``min_tokens`` tokens have no n-grams.  By
     default they share the all-ones signature and so end up as one cluster;
@@ -32,7 +32,8 @@ def signatures(
     rows = df.select(F.col(key).alias("id"), F.col(text).alias("_text"))
     if short != "collapse":
         rows = rows.filter(F.size(dedup_tokens("_text")) >= max(ngram, min_tokens))
-    return spread_small(rows).select("id", signature(F.col("_text"), num_perm, ngram, min_tokens).alias("signature"))
+    signed = spread_small(rows).select("id", signature(F.col("_text"), num_perm, ngram, min_tokens).alias("signature"))
+    return signed.withColumn("digest", F.unhex(F.md5("signature")))
 
 
 def signature_groups(sigs: DataFrame) -> DataFrame:
@@ -42,7 +43,9 @@ def signature_groups(sigs: DataFrame) -> DataFrame:
     keeps a text copied a billion times out of the buckets; the aggregate
     combines on the map side.
     """
-    return sigs.groupBy("signature").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    return sigs.groupBy("digest").agg(
+        F.min("id").alias("rep"), F.count("*").alias("copies"), F.any_value("signature").alias("signature")
+    )
 
 
 def band_members(reps: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -71,7 +74,9 @@ def bucket_edges(members: DataFrame, hot_rows: int = HOT_ROWS, rows: int | None
 def copy_edges(sigs: DataFrame, groups: DataFrame, hot_rows: int = HOT_ROWS, rows: int | None = None) -> DataFrame:
     """Edges from every further document of a signature to its smallest id."""
     repeated = groups.filter(F.col("copies") > 1)
-    linked = join_unique_side(sigs, repeated, ["signature"], "copies", hot_rows, rows)
+    linked = join_unique_side(
+        sigs.select("id", "digest"), repeated.select("digest", "rep", "copies"), ["digest"], "copies", hot_rows, rows
+    )
     return linked.filter(F.col("id") > F.col("rep")).select(F.col("id").alias("src"), F.col("rep").alias("dst"))
 
 

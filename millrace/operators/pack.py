@@ -17,6 +17,8 @@ from millrace.operators.budget import budget_cuts
 from millrace.operators.prefix import ROWS_PER_BUCKET, hash_bucket, range_bounds, range_bucket
 
 BATCH_RECORDS = 5_000
+# A bucket is sorted in one task: at most about 64 MB of ids, or one document.
+TOKENS_PER_BUCKET = 1 << 24
 SPLIT_SEED = 42
 
 
@@ -89,12 +91,16 @@ def pack_blocks(
     batch_records: int = BATCH_RECORDS,
     rows_per_bucket: int = ROWS_PER_BUCKET,
     hashed: bool = False,
+    tokens_per_bucket: int = TOKENS_PER_BUCKET,
 ) -> DataFrame:
     """Concatenate ``input_ids`` in ``order`` and cut them into blocks; the tail is dropped.
 
     ``scope="global"`` treats the table as one stream, ``"batch"`` restarts
-    every ``batch_records`` records.  ``order`` is a unique integer column, or
-    an evenly spread hash string with ``hashed=True``.
+    every ``batch_records`` records.  ``order`` is a unique column of numbers,
+    text, dates or timestamps, taken in Spark's order of that type (numbers as
+    text are ordered as text), or an evenly spread hash string with
+    ``hashed=True``.  Ranges of it are bounded by rows and by tokens.  Runs
+    several jobs while the result is put together.
 
     ``encoded`` is read more than once, lengths first: pass a stored table, not
     a slow encoder's plan.  Documents move once, to the bucket that holds their stretch of the order.
@@ -106,7 +112,9 @@ def pack_blocks(
     if hashed:
         bucket = hash_bucket(order)
     else:
-        bucket = range_bucket(order, range_bounds(encoded, order, rows_per_bucket))
+        size = F.size("input_ids")
+        bounds = range_bounds(encoded, order, rows_per_bucket, weight=size, weight_per_bucket=tokens_per_bucket)
+        bucket = range_bucket(order, bounds)
     rows = encoded.select(
         F.col(order), "input_ids", F.size("input_ids").cast("bigint").alias("_n"), bucket.alias("_bucket")
     )
@@ -162,14 +170,20 @@ def _split_at(df: DataFrame, order: str, n: int, bucket: Column) -> Column:
     return F.when(F.col(order) <= F.lit(cut["_cut"]), "validation").otherwise("train")
 
 
-def split_random(df: DataFrame, key: str, fraction: float, seed: int = SPLIT_SEED, exact: bool = True) -> DataFrame:
-    """Seeded train/validation split; ``exact`` holds out ``ceil(fraction * rows)`` rows."""
+def split_random(
+    df: DataFrame, key: str, fraction: float, seed: int = SPLIT_SEED, exact: bool = True, keys: DataFrame | None = None
+) -> DataFrame:
+    """Seeded train/validation split; ``exact`` holds out ``ceil(fraction * rows)`` rows.
+
+    ``keys`` is a table of the same keys that is cheaper to read than ``df``.
+    """
     if not exact:
         held_out = unit_hash(key, seed) < fraction
         return df.withColumn("split", F.when(held_out, "validation").otherwise("train"))
     keyed = df.withColumn("_h", order_hash(key, seed))
-    n = math.ceil(fraction * df.count())
-    return keyed.withColumn("split", _split_at(keyed, "_h", n, hash_bucket("_h"))).drop("_h")
+    counted = keyed if keys is None else keys.withColumn("_h", order_hash(key, seed))
+    n = math.ceil(fraction * counted.count())
+    return keyed.withColumn("split", _split_at(counted, "_h", n, hash_bucket("_h"))).drop("_h")
 
 
 def split_head(df: DataFrame, order: str, percent: float, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:

@@ -16,6 +16,8 @@ from millrace.operators.minhash import (
     signature_words,
 )
 from millrace.operators.reuse import evaluate_once, program_text
+from millrace.plans.mix import build_mix
+from millrace.plans.mixing import MIX_SQL, MIX_TARGETS, mix_sources
 from millrace.plans.registry import joined, query, rounded, table
 
 SAMPLE_SEED = 77
@@ -129,6 +131,22 @@ def near_dedup_report(spark, sf_dir):
     return rounded(report, "dropped_pct")
 
 
+# Two sources of the mix share row ids and texts; doc_key tells their rows apart.
+MIX_CLUSTERS_SQL = (
+    f"{MIX_SQL}, mixed_docs AS (SELECT source || '/' || key AS doc_id, text FROM mix), "
+    + cluster_sql(SHORT_PERM, THRESHOLD).replace("FROM documents", "FROM mixed_docs")
+)
+
+
+@query(f"""
+WITH RECURSIVE {MIX_CLUSTERS_SQL} SELECT m.source, m.key, m.est_tokens FROM mix m
+WHERE m.source || '/' || m.key NOT IN (SELECT id FROM clusters WHERE id <> cluster)""")
+def dedup_mix(spark, sf_dir):
+    mix = build_mix(mix_sources(spark, sf_dir), MIX_TARGETS)
+    kept, _ = deduplicate(mix, "doc_key", "text", num_perm=SHORT_PERM)
+    return kept.select("source", "key", "est_tokens")
+
+
 @query("""
 SELECT doc_id, CASE WHEN length(text || chr(10) || lang) % 3 = 0 THEN 'OK' ELSE 'Exception' END AS status FROM documents""")
 def exact_dedup_reuse(spark, sf_dir):

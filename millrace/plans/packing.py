@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from millrace.functions.encoders import Encoder, code_points
 from millrace.functions.text import has_text
 from millrace.operators import instruct, pack, profile
-from millrace.operators.extract import DEFAULT_LABELS, SourceLabels, assemble_text
-from millrace.plans.mixing import TURN_PAIRS, turn_pairs
+from millrace.operators.extract import DEFAULT_LABELS, SourceLabels, assemble_text, unify
+from millrace.operators.prefix import ROWS_PER_BUCKET
+from millrace.plans.mix import build_mix
+from millrace.plans.mixing import MIX_SQL, MIX_TARGETS, TURN_PAIRS, mix_sources, turn_pairs
 from millrace.plans.registry import joined, query, rounded, sql_order, table
 from millrace.session import materialize, spread_small
 
@@ -26,22 +28,29 @@ def tokenize_corpus(
     validation: float = 0.0,
     scope: str = "global",
     labels: SourceLabels = DEFAULT_LABELS,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """Unified table to training blocks with a ``split`` column.
+    """Unified table to training blocks with a ``split`` column, in the order of ``key``.
 
-    The encoded documents are written once, so that a slow tokenizer runs
-    once although packing reads lengths first and ids later.
+    ``key`` may be the mix's ``order_key``.  The encoded documents are written
+    once, so that a slow tokenizer runs once although packing reads lengths
+    first and ids later.  The number of blocks follows from the lengths; no
+    block is written only to be counted or split.
     """
     texts = unified.select(key, assemble_text(unified, labels).alias("text")).filter(has_text("text"))
     encoded = materialize(pack.encode_documents(spread_small(texts), "text", encoder, [key]))
-    blocks = pack.pack_blocks(encoded, key, block_size, scope)
-    blocks = profile.require_rows(materialize(blocks))
-    block_key = "block_id"
+    blocks = pack.pack_blocks(encoded, key, block_size, scope, rows_per_bucket=rows_per_bucket)
+    block_key, keys = "block_id", None
     if scope == "batch":
-        blocks = blocks.withColumn("block_key", F.concat_ws("/", "batch", "block_id"))
+        # how many blocks a batch gives is known from the packing only
+        blocks = profile.require_rows(materialize(blocks)).withColumn("block_key", F.concat_ws("/", "batch", "block_id"))
         block_key = "block_key"
+    else:
+        tokens = encoded.agg(F.sum(F.size("input_ids").cast("bigint"))).first()[0] or 0
+        keys = encoded.sparkSession.range(tokens // block_size).withColumnRenamed("id", "block_id")
+        profile.require_rows(keys)
     if validation > 0:
-        blocks = pack.split_random(blocks, block_key, validation)
+        blocks = pack.split_random(blocks, block_key, validation, keys=keys)
     else:
         blocks = blocks.withColumn("split", F.lit("train"))
     return pack.training_columns(blocks)
@@ -128,6 +137,22 @@ def assemble_report(spark, sf_dir):
     return rounded(profile.before_after(unified, texts.filter(has_text("text"))), "dropped_pct")
 
 
+@query(f"""
+WITH {MIX_SQL}, chars AS (SELECT k, unnest(list_transform(string_split(text, ''), lambda c: unicode(c)) || [0]) AS id,
+  generate_subscripts(string_split(text, '') || ['x'], 1) AS p FROM mix),
+stream AS (SELECT id, row_number() OVER (ORDER BY k, p) - 1 AS pos FROM chars),
+blocks AS (SELECT pos // {BLOCK} AS block_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY pos) AS input_ids
+  FROM stream GROUP BY 1 HAVING count(*) = {BLOCK}),
+r AS (SELECT *, row_number() OVER (ORDER BY {sql_order('block_id', 42)}) AS r, count(*) OVER () AS n FROM blocks)
+SELECT block_id, input_ids, CASE WHEN r <= ceil(0.1 * n) THEN 'validation' ELSE 'train' END AS split FROM r""")
+def tokenize_mix(spark, sf_dir):
+    """Mix, unify, tokenize and pack in the mix's own order."""
+    mix = build_mix(mix_sources(spark, sf_dir), MIX_TARGETS)
+    unified = unify(mix, keep=("order_key",))
+    b = tokenize_corpus(unified, "order_key", code_points(eos=0), BLOCK, 0.1, rows_per_bucket=BUCKET_ROWS)
+    return b.select("block_id", joined("input_ids").alias("input_ids"), "split")
+
+
 MAX_IDS = 600
 EXAMPLES_SQL = f"""{TURN_PAIRS}, asked AS (SELECT conv_id * 1000 + turn AS pair_id,
     '### Instruction:' || chr(10) || asked || chr(10) || chr(10) || '### Response:' || chr(10) AS p, answered || chr(3) AS a FROM pairs),
