@@ -125,6 +125,11 @@ def within_budget(
     group of their own.  Runs several jobs while the result is put together.
     """
     cuts = materialize(budget_cuts(df, targets, group, order, tokens, mode, bucket))
+    return up_to_cut(df, cuts, group, order)
+
+
+def up_to_cut(df: DataFrame, cuts: DataFrame, group: str = "source", order: str = "order_key") -> DataFrame:
+    """Rows up to their group's cut key; ``cuts`` is a stored result of :func:`budget_cuts`."""
     kept = join_null_safe(df, broadcast_if_small(cuts), [group]).filter(F.col(order) <= F.col("_cut"))
     return kept.select(*df.columns)
 

@@ -15,7 +15,6 @@ from pyspark.sql import types as T
 
 from millrace.functions.ngrams import NON_WORD
 
-# Modulus, hash width and seed of the permutation family.
 PRIME = (1 << 61) - 1
 HASH_MASK = (1 << 32) - 1
 PERMUTATION_SEED = 77
@@ -31,18 +30,18 @@ CHUNK = 128
 
 @lru_cache
 def permutations(num_perm: int, seed: int = PERMUTATION_SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Multipliers and addends, drawn in turn from one seeded generator."""
-    rng = np.random.RandomState(seed)
-    drawn = [rng.randint(low, PRIME, dtype=np.uint64) for _ in range(num_perm) for low in (1, 0)]
-    table = np.array(drawn, dtype=np.uint64)
-    return table[0::2], table[1::2]
+    """Odd multipliers and addends from one seeded generator."""
+    rng = np.random.default_rng(seed)
+    mult, add = rng.integers(0, PRIME, (2, num_perm), dtype=np.uint64)
+    return mult | np.uint64(1), add
 
 
 def signature_of(hashes: np.ndarray, num_perm: int, seed: int = PERMUTATION_SEED) -> np.ndarray:
     """Per permutation the smallest permuted hash; all ones for an empty set.
 
-    The 64-bit product wraps, as it does in the family this must agree with.
-    Documents go through in small chunks, so memory stays at one chunk.
+    The 64-bit product wraps: with odd multipliers that is a bijection of 64-bit
+    numbers, and one multiplication in place of a 128-bit remainder.  Documents
+    go through in small chunks, so memory stays at one chunk.
     """
     mult, add = permutations(num_perm, seed)
     prime, mask = np.uint64(PRIME), np.uint64(HASH_MASK)

@@ -21,6 +21,7 @@ from millrace.operators.extract import (
     SourceSpec,
     extract,
 )
+from millrace.session import materialize
 
 
 @dataclass(frozen=True)
@@ -104,10 +105,16 @@ def balanced_pairs(
         }
     )
     valid = has_text("_src") & has_text("_ir")
-    avail = budget.availability(rows, "group", "key", "est_tokens", valid, seed)
-    targets = budget.balanced_targets(avail, "group", total)
-    usable = rows.filter(valid & (F.col("est_tokens") >= low))
-    kept = budget.within_budget(usable, targets, group="group", mode="floor")
+    # the probe and the gate read what is counted here once
+    counted = materialize(rows.select("key", "group", "order_key", "est_tokens", valid.alias("_valid")))
+    avail = budget.availability(counted, "group", "key", "est_tokens", F.col("_valid"), seed)
+    usable = F.col("est_tokens") >= low
+    cuts = materialize(
+        budget.budget_cuts(
+            counted.filter(F.col("_valid") & usable), budget.balanced_targets(avail, "group", total), group="group", mode="floor"
+        )
+    )
+    kept = budget.up_to_cut(rows.filter(valid & usable), cuts, "group")
     return kept.select(
         "key",
         pair_text("_src", "_ir").alias("text"),

@@ -32,6 +32,7 @@ from millrace.plans.registry import (
     table,
     token_documents,
 )
+from millrace.session import materialize
 
 GATE_TARGET = 20_000
 REPORT_TARGETS = budget.fraction_targets(60_000, {"src0": 0.5, "src1": 0.25, "src2": 0.25}) | {
@@ -103,7 +104,10 @@ def grouped_documents(spark, sf_dir):
 
 
 def document_availability(spark, sf_dir):
-    d = grouped_documents(spark, sf_dir)
+    return availability_of(grouped_documents(spark, sf_dir))
+
+
+def availability_of(d):
     return budget.availability(d, "grp", "doc_id", "est_tokens", F.col("est_tokens") > 0, 42)
 
 
@@ -124,8 +128,10 @@ WITH {ALLOCATION_SQL}, run AS (
   WINDOW w AS (PARTITION BY g.grp ORDER BY g.k ROWS UNBOUNDED PRECEDING))
 SELECT doc_id, grp, est_tokens FROM run WHERE budget > 0 AND (upto <= budget OR rn = 1)""")
 def balanced_mix(spark, sf_dir):
-    targets = budget.balanced_targets(document_availability(spark, sf_dir), "grp", BALANCE_TOTAL)
-    usable = grouped_documents(spark, sf_dir).filter(select.within_length(high=None))
+    # words are counted once: probe, gate and result read the narrow table
+    d = materialize(grouped_documents(spark, sf_dir))
+    targets = budget.balanced_targets(availability_of(d), "grp", BALANCE_TOTAL)
+    usable = d.filter(select.within_length(high=None))
     kept = budget.within_budget(usable, targets, group="grp", mode="floor")
     return kept.select("doc_id", "grp", "est_tokens")
 
