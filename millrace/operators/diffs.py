@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import col, drop_chars, let, lines
+from millrace.functions.text import col, drop_chars, let, lines, rstrip
+from millrace.operators.postprocess import close_code, style_stop_words
 
 # Layout of a diff bundle, of hunk headers, and of lines to ignore.
 BUNDLE = r"(?s)^<NME> ([^\n]*?)\n<BEF> (.*?)\n<MSG> (.*?)\n<DFF> (.*)$"
 HUNK_HEADER = r"(?dm)^(@@ .*? @@).*\n"
-LINE_NUMBERS = r"^@@ -([0-9]*),*?([0-9]*?) \+([0-9]*),*?([0-9]*?) @@"
+LINE_NUMBERS = r"^@@ -(\d*),*?(\d*?) \+(\d*),*?(\d*?) @@"
 NO_NEWLINE = r"(?dm)^\\ No newline at end of file$\n?"
 FOREIGN_LINE = r"\n[^ +-@]+"
 NEW_FILE = "ADDFILE"
@@ -249,3 +250,19 @@ def trimmed_diff(generation: Column | str) -> Column:
     diff = parse_bundle(generation)["diff"]
     own = F.get(F.split(diff, FOREIGN_LINE, -1), F.lit(0))
     return F.substring_index(own, "<NME>", 1)
+
+
+def fix_generation(
+    style: str, language: str, generation: Column | str, prompt: Column | str, prompt_base: Column | str
+) -> Column:
+    """Scorable text of a bug-fix generation in a prompt style.
+
+    What follows the prompt is cut at the style's stop words and closed by
+    language.  Plain styles put it behind the base of the prompt, ``diff`` takes
+    it as it is, and ``diff-carper`` parses it with its prompt as a bundle.
+    """
+    own = rstrip(drop_chars(generation, F.length(col(prompt))))
+    closed = let(own, lambda g: close_code(g, language, style_stop_words(language, style)))
+    if style == "diff-carper":
+        return let(F.concat(col(prompt), closed), trimmed_diff)
+    return closed if style.startswith("diff") else F.concat(rstrip(prompt_base), closed)

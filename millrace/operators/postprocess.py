@@ -17,6 +17,10 @@ STOP_WORDS = {
     "go": ("\n//", "\nfunc main(", "struct", "\nfunc"),
 }
 END_OF_TEXT = "<|endoftext|>"
+# Stop words by prompt style.
+COMMIT_MARKS = ("<commit_before>", "<commit_msg>", "<commit_after>")
+CHAT_END = "<|end|>"
+BUNDLE_MARKS = ("<BEF>", "<MSG>", "<DFF>", "\\ No newline at end of file")
 OPEN_BRACES = {"java": 2, "js": 1, "go": 1, "cpp": 1, "rust": 1}
 
 # Imports put before a candidate.
@@ -68,6 +72,17 @@ def stop_words(language: str, extra: Sequence[str] = ()) -> tuple[str, ...]:
     return (*STOP_WORDS.get(language, ()), *extra, END_OF_TEXT)
 
 
+def style_stop_words(language: str, style: str) -> tuple[str, ...]:
+    """Stop words of a prompt style; the diff styles have their own instead of the language's."""
+    if style == "diff":
+        return (*COMMIT_MARKS, END_OF_TEXT)
+    if style == "diff-carper":
+        return (*BUNDLE_MARKS, END_OF_TEXT)
+    if style.startswith("edit"):
+        return stop_words(language, COMMIT_MARKS)
+    return stop_words(language, (CHAT_END,) if style == "starchat" else ())
+
+
 def cut_at_stop(text: Column | str, stops: Sequence[str]) -> Column:
     """Text before the earliest of the stop words; all of it if none occurs."""
     text = col(text)

@@ -469,3 +469,31 @@ def diff_apply(spark, sf_dir):
         diffs.fixed_code("text", candidate).alias("fixed"),
         diffs.trimmed_diff(F.concat("bundle", F.lit("zzz end"))).alias("trimmed"),
     )
+
+
+# Each style stops at another of the marks behind the generated text.
+FIX_STYLES = ("instruct", "starchat", "edit", "diff", "diff-carper")
+FIX_TAIL = "<commit_msg>x<|end|>y<|endoftext|>z"
+
+
+@query("""
+WITH d AS (SELECT doc_id, 'def ' || source || '():' AS base, text FROM documents)
+SELECT doc_id, base || text || '<commit_msg>x<|end|>y' AS instruct, base || text || '<commit_msg>x' AS starchat, base || text AS edit,
+  text AS diff, '@@ -1,1 +1,1 @@' || chr(10) || '-old' || chr(10) || '+new' AS "diff-carper" FROM d""")
+def fix_generations(spark, sf_dir):
+    """Generations in every bug-fix style; those of the bundle style are a diff of the text."""
+    d = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        "text",
+        F.concat(F.lit("def "), "source", F.lit("():\n")).alias("base"),
+        F.concat(F.lit("<NME> f.py\n<BEF> "), "text", F.lit("\n<MSG> fix it\n<DFF>")).alias("bundle"),
+    )
+
+    def made(style):
+        if style == "diff-carper":
+            written = F.concat("bundle", F.lit(" @@ -1,1 +1,1 @@\n-old\n+new<MSG>more"))
+            return diffs.fix_generation(style, "other", written, "bundle", "base")
+        written = F.concat("base", "text", F.lit(FIX_TAIL))
+        return diffs.fix_generation(style, "other", written, "base", "base")
+
+    return d.select("doc_id", *[made(s).alias(s) for s in FIX_STYLES])
