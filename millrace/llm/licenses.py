@@ -216,3 +216,49 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         best["end"].alias("span_end"),
         F.array_join(F.sort_array(F.transform("licenses", lambda x: x["name"])), ",").alias("licenses"),
     )
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_BIGRAMS = r"regexp_extract_all(regexp_replace(lower({0}), '(?m)^\W*(copyright\b|©|\(c\)).*$', '', 'g'), '[a-z0-9]+')"
+SQL = f"""
+WITH templates AS (SELECT row_number() OVER () AS number, name, {_BIGRAMS.format("body")} AS w FROM (VALUES
+  {", ".join(f"({_literal(name)}, {_literal(body)})" for name, bodies in TEMPLATES.items() for body in bodies)}) t(name, body)),
+template_pairs AS (
+  SELECT number, name, len(w) - 1 AS size, pair, count(*) AS n
+  FROM (SELECT *, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS pair FROM templates)
+  GROUP BY number, name, len(w), pair),
+-- lines with their places, then runs of lines without a blank one, then the whole text
+split AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+lines AS (
+  SELECT doc_id, i, ls[i] AS line, CAST(coalesce(list_sum(list_transform(ls[1 : i - 1], lambda x: length(x) + 1)), 0) AS BIGINT) AS start
+  FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM split)),
+full_lines AS (
+  SELECT *, start + length(line) AS stop, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run
+  FROM lines WHERE regexp_matches(line, '\\S')),
+stretches AS (
+  SELECT doc_id, 0 AS rank, 0 AS start, length(text) AS stop FROM split
+  UNION ALL SELECT doc_id, 1, min(start), max(stop) FROM full_lines GROUP BY doc_id, run
+  UNION ALL SELECT doc_id, 2, start, stop FROM full_lines),
+parts AS (
+  SELECT s.doc_id, min(rank) AS rank, start, stop, {_BIGRAMS.format("any_value(substr(d.text, CAST(start + 1 AS BIGINT), CAST(stop - start AS BIGINT)))")} AS w
+  FROM stretches s JOIN documents d USING (doc_id) GROUP BY s.doc_id, start, stop),
+part_pairs AS (
+  SELECT doc_id, rank, start, stop, len(w) - 1 AS size, pair, count(*) AS n
+  FROM (SELECT *, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS pair FROM parts WHERE len(w) > 1)
+  GROUP BY doc_id, rank, start, stop, len(w), pair),
+scored AS (
+  SELECT p.doc_id, p.rank, p.start, p.stop, t.name, 2 * sum(least(p.n, t.n)) / (p.size + t.size) AS dice
+  FROM part_pairs p JOIN template_pairs t USING (pair)
+  GROUP BY p.doc_id, p.rank, p.start, p.stop, p.size, t.number, t.name, t.size),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, name) AS place FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id, name ORDER BY dice DESC, rank, start) AS r FROM scored WHERE dice >= {THRESHOLD})
+  WHERE r = 1),
+named AS (SELECT doc_id, string_agg(name, ',' ORDER BY name) AS licenses FROM best GROUP BY doc_id)
+SELECT d.doc_id, b.name AS license, CAST(coalesce(b.dice, 0) AS DOUBLE) AS dice, CAST(b.start AS BIGINT) AS span_start,
+       CAST(b.stop AS BIGINT) AS span_end, coalesce(n.licenses, '') AS licenses
+FROM documents d LEFT JOIN best b ON b.doc_id = d.doc_id AND b.place = 1 LEFT JOIN named n ON n.doc_id = d.doc_id
+"""

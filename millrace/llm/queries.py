@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": secrets.op10_secret_scan,
 }
 ORACLES: dict[str, str] = {
+    "op1_license_scan": licenses.SQL,
     "op2_line_dedup": linededup.SQL,
     "op5_benchmark_decontamination": decontaminate.SQL,
     "op6_source_mixing": mixing.SQL,
