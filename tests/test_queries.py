@@ -2,8 +2,7 @@
 
 import __spark_entry__ as entry
 import pytest
-from compare import connect, difference
-from conftest import SF_DIR
+from compare import SF_DIR, connect, difference
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
