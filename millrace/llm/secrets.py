@@ -97,37 +97,45 @@ def literal_score(value: str) -> float:
     return min(1.0, entropy / 3) * (0.6 + 0.2 * min(2, classes - 1))
 
 
-def _expression(text: str, at: int, known: dict[str, list]) -> list[tuple[int, int, str]]:
-    """Literals that the expression at ``at`` is made of: its own, and those of names it uses."""
-    found: list[tuple[int, int, str]] = []
+class Assignment(NamedTuple):
+    """A target name with the literals and the earlier assignments that its expression is made of."""
+
+    name: str
+    literals: list[tuple[int, int]]
+    uses: list[int]
+
+
+def _expression(text: str, at: int, known: dict[str, int]) -> tuple[list[tuple[int, int]], list[int]]:
+    literals: list[tuple[int, int]] = []
+    uses: list[int] = []
     while True:
         if m := STRING.match(text, at):
-            group = m.lastgroup
-            found.append((m.start(group), m.end(group), m[group]))
+            literals.append(m.span(m.lastgroup))
         elif (m := NAME.match(text, at)) and m[0] in known:
-            found.extend(x for x in known[m[0]] if x not in found)
+            uses.append(known[m[0]])
         else:
             # a bare value of a configuration line ends the expression
-            if not found and (m := BARE.match(text, at)):
-                found.append((m.start(), m.end(), m[0]))
-            return found
+            if not literals and not uses and (m := BARE.match(text, at)):
+                literals.append(m.span())
+            return literals, uses
         if not (p := PLUS.match(text, m.end())):
-            return found
+            return literals, uses
         at = p.end()
 
 
 def _target(text: str, at: int) -> str | None:
-    before = text[max(0, at - LOOKBEHIND, text.rfind("\n", 0, at) + 1) : at]
+    low = max(0, at - LOOKBEHIND)
+    before = text[max(low, text.rfind("\n", low, at) + 1) : at]
     if typed := TYPED.search(before):
         return typed[1]
     m = TARGET.search(before)
     return m[1] if m else None
 
 
-def pairs(text: str) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """Target names with the literals that reach them, in order of the assignments."""
-    known: dict[str, list] = {}
-    found = []
+def assignments(text: str) -> list[Assignment]:
+    """All assignments in order; a name stands for the last one to it."""
+    known: dict[str, int] = {}
+    found: list[Assignment] = []
     if ":" not in text and "=" not in text:
         return found
     for m in OPERATOR.finditer(text):
@@ -136,26 +144,33 @@ def pairs(text: str) -> list[tuple[str, list[tuple[int, int, str]]]]:
         name = _target(text, m.start())
         if name is None:
             continue
-        literals = _expression(text, BLANKS.match(text, m.end()).end(), known)
-        if literals:
-            known[name] = literals
-            found.append((name, literals))
+        literals, uses = _expression(text, BLANKS.match(text, m.end()).end(), known)
+        if literals or uses:
+            known[name] = len(found)
+            found.append(Assignment(name, literals, uses))
     for m in ATTRIBUTES.finditer(text):
         group = next((g for g in (3, 4, 5) if m[g]), None)
         if group:
-            found.append((m[1] or m[2], [(m.start(group), m.end(group), m[group])]))
+            found.append(Assignment(m[1] or m[2], [m.span(group)], []))
     return found
 
 
 def lexed(text: str, threshold: float = THRESHOLD) -> list[Span]:
-    """Literals that reach a sensitive target and look like a credential."""
+    """Literals that reach a sensitive target and look like a credential.
+
+    Uses point backwards, so one pass from the last assignment to the first
+    carries every target's sensitivity to all constants that it is made of.
+    """
+    found = assignments(text)
+    reached = [name_score(a.name) for a in found]
     best: dict[tuple[int, int], float] = {}
-    for name, literals in pairs(text):
-        if sensitive := name_score(name):
-            for start, end, value in literals:
-                score = sensitive * literal_score(value)
-                best[start, end] = max(score, best.get((start, end), 0.0))
-    return [Span(start, end, "literal") for (start, end), score in best.items() if score >= threshold]
+    for i in range(len(found) - 1, -1, -1):
+        if sensitive := reached[i]:
+            for used in found[i].uses:
+                reached[used] = max(reached[used], sensitive)
+            for place in found[i].literals:
+                best[place] = max(sensitive, best.get(place, 0.0))
+    return [Span(*place, "literal") for place, s in sorted(best.items()) if s * literal_score(text[place[0] : place[1]]) >= threshold]
 
 
 def base(text: str) -> list[Span]:

@@ -49,6 +49,12 @@ def test_constants_are_propagated():
     assert literals('x = "q8W7e6R5t4"\ncolour = x') == []
 
 
+def test_long_chains_and_lines_are_linear():
+    chain = "s = 'q8W7e6R5t4'\n" + "s = s + 'abcdefgh'\n" * 20_000 + "password = s"
+    assert literals(chain) == ["q8W7e6R5t4", *["abcdefgh"] * 20_000]
+    assert literals("x=1;" * 200_000) == []
+
+
 def test_placeholders_and_other_names_stay_out():
     for text in ('password = "changeme"', "password = ${DB_PASSWORD}", "max_tokens = 4096", 'token == "q8W7e6R5t4"', "Note: this is prose", "monkey = q8W7e6R5t4"):
         assert literals(text) == []
