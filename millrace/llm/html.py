@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html import unescape
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,8 +73,10 @@ NOISE = frozenset(
     "hidden paywall tags".split()
 )
 COMMENTS = frozenset("comment comments commentlist disqus respond replies reply discussion".split())
-#: Words that mark a part as the article, whatever else its class says.
-CONTENT = frozenset("article content main post entry story body text page".split())
+#: A name of these words and none of the above marks the article, whatever other names say.
+CONTENT = frozenset("article main post entry story".split())
+#: Names that begin so tell how a part is laid out, not what it is.
+LAYOUT = frozenset("has with without no is".split())
 HINT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 CONTAINERS = frozenset("div section article main td body center blockquote details".split())
 
@@ -109,10 +112,18 @@ def _is_noise(node: Node) -> bool:
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.IGNORECASE):
         return True
-    words = {w.lower() for w in HINT.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")}
-    if words & COMMENTS:
-        return True
-    return bool(words & NOISE) and not words & CONTENT and node.tag not in ("article", "main")
+    noisy, content = False, node.tag in ("article", "main")
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
+        words = [w.lower() for w in HINT.findall(name)]
+        if not words or words[0] in LAYOUT:
+            continue
+        if not COMMENTS.isdisjoint(words):
+            return True
+        if not NOISE.isdisjoint(words):
+            noisy = True
+        elif not CONTENT.isdisjoint(words):
+            content = True
+    return noisy and not content
 
 
 def parse(html: str) -> tuple[Node, list[Node]]:
@@ -121,9 +132,16 @@ def parse(html: str) -> tuple[Node, list[Node]]:
     nodes, stack, at = [root], [root], 0
     size = len(html)
 
+    opened: Counter[str] = Counter()
+
     def close(i: int) -> None:
+        opened.subtract(node.tag for node in stack[i:])
         del stack[i:]
 
+    def push(node: Node) -> None:
+        opened[node.tag] += 1
+        stack.append(node)
+
     while at < size:
         m = TOKEN.search(html, at)
         if m is None:
@@ -136,8 +154,8 @@ def parse(html: str) -> tuple[Node, list[Node]]:
             continue
         name = m["name"].lower()
         if m["end"]:
-            if name in ("body", "html"):
-                continue
+            if name in ("body", "html") or opened[name] <= 0:
+                continue  # a stray end does not search the stack
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == name:
                     close(i)
@@ -145,7 +163,7 @@ def parse(html: str) -> tuple[Node, list[Node]]:
             continue
         if name == "html":
             continue
-        if name in ENDS_P:
+        if name in ENDS_P and opened["p"] > 0:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
                     close(i)
@@ -164,16 +182,16 @@ def parse(html: str) -> tuple[Node, list[Node]]:
                 close(lowest)
         if name == "body":
             # whatever an unclosed head left open ends here
-            del stack[1:]
+            close(1)
         node = Node(name, stack[-1], m["attrs"])
         stack[-1].parts.append(node)
         nodes.append(node)
         if name in RAW:
             end = re.compile(rf"</{name}[\s/>]", re.IGNORECASE).search(html, at)
             at = end.start() if end else size
-            stack.append(node)
+            push(node)
         elif name not in VOID:
-            stack.append(node)
+            push(node)
     return root, nodes
 
 

@@ -32,6 +32,15 @@ def test_parts_around_the_article_go():
             assert html.main_text(page(inner + noise)) == TEXT, (noise, inner)
 
 
+def test_names_of_classes():
+    for name, kept in (
+        ("page-header", False), ("content with-sidebar", True), ("post has-ads", True), ("article-body ad-free", True), ("siteFooter", False),
+        ("comment-content", False), ("reader", True), ("gradient", True), ("leadText", True), ("entry-footer", False),
+    ):
+        text = html.main_text(page(f'<div><div>{BODY}</div><div class="{name}"><p>More words of some other kind stand in here.</p></div></div>'))
+        assert ("other kind" in text) == kept, name
+
+
 def test_links_without_a_name_are_pruned():
     links = "<div><a href=1>Read more of it</a> <a href=2>And some more</a> <a href=3>Yet more</a></div>"
     assert html.main_text(page(f"<div>{links}<div>{BODY}</div></div>")) == TEXT
@@ -46,6 +55,7 @@ def test_broken_pages():
     assert html.main_text("a < b") == "a < b"
     assert html.main_text("<article><p>cut off mid <b") == "cut off mid"
     assert html.main_text("<div>" * 5000 + "deep") == "deep"
+    assert html.main_text("<b>" * 50_000 + "x</i>" * 50_000).count("x") == 50_000
     assert html.main_text("<script>never closed <p>x") == ""
 
 
