@@ -63,12 +63,17 @@ def supervised_examples(
 def padded_batches(
     df: DataFrame, order: str, batch_size: int, pad: int, rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
-    """Pad each run of ``batch_size`` examples in ``order`` to its longest one."""
+    """Pad each run of ``batch_size`` examples in ``order`` to its longest one.
+
+    Batches and their lengths are found on (order, size); the arrays move once.
+    """
     bucket = range_bucket(order, range_bounds(df, order, rows_per_bucket))
-    numbered = with_running_totals(df.select(order), {"_i": F.lit(1)}, [order], bucket)
-    batched = df.join(numbered, order).withColumn("batch", F.floor(F.col("_i") / batch_size).cast("bigint"))
-    longest = F.max(F.size("input_ids")).over(Window.partitionBy("batch"))
-    sized = batched.withColumn("_missing", longest - F.size("input_ids"))
+    sizes = df.select(order, F.size("input_ids").alias("_size"))
+    numbered = with_running_totals(sizes, {"_i": F.lit(1)}, [order], bucket)
+    batched = numbered.withColumn("batch", F.floor(F.col("_i") / batch_size).cast("bigint"))
+    longest = F.max("_size").over(Window.partitionBy("batch"))
+    planned = batched.select(order, "batch", (longest - F.col("_size")).alias("_missing"))
+    sized = df.join(planned, order)
 
     def fill(c: str, value: int) -> Column:
         return F.concat(F.col(c), F.array_repeat(F.lit(value), F.col("_missing")))

@@ -66,11 +66,11 @@ def spread_small(df: DataFrame, max_bytes: int = 1 << 30) -> DataFrame:
     before costly per-row work; anything larger already reads in many tasks
     and stays where it is, unshuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if len(df.inputFiles()) >= cores or int(str(size)) > max_bytes:
-        return df
-    return df.repartition(cores)
+    if int(str(size)) > max_bytes:
+        return df  # before its files are listed, of which there may be a million
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
