@@ -3,8 +3,8 @@
 A text becomes tokens: its runs of non-blank characters, long ones in pieces of
 :data:`PIECE`.  Every token starts a k-mer of :data:`K` tokens (shorter at the
 end of the text), and equal k-mers of a text are numbered by occurrence.  Each
-of :data:`SKETCHES` hash functions selects the :data:`TUPLE` smallest numbered
-k-mers, puts them back into text order and hashes the tuple of their k-mers.
+of :data:`SKETCHES` hash functions (one hash, exclusive-or'ed with a constant of the
+function) selects the :data:`TUPLE` smallest numbered k-mers, puts them back into text order and hashes the tuple of their k-mers.
 Moving or editing text changes k-mers, their numbers or their order, so the
 share of equal tuples follows edit distance rather than set overlap alone
 (Marcais et al. 2019).
@@ -34,8 +34,8 @@ PIECE = 8
 K = 2
 SKETCHES = 64
 TUPLE = 2
-BOTTOM = 64
-#: Low bits kept free for positions when sampled k-mers are hashed again.
+BOTTOM = 48
+#: Low bits that hold positions; the hash functions leave them alone.
 POSITION_BITS = 28
 ROWS_PER_BUCKET = 4096
 CHARS_PER_BUCKET = 1 << 24
@@ -54,16 +54,18 @@ def _packed(key: Column, position: Column, mask: Column) -> Column:
     return key.bitwiseAND(F.bitwise_not(mask)).bitwiseOR(position.cast("bigint"))
 
 
-def _occurrence(rows: Column, index: Column, mask: Column, steps: Column) -> Column:
-    """Number of the entry among those of equal key, from 1; equal keys stand together in ``rows``."""
-    keys = F.bitwise_not(mask)
-    own = F.get(rows, index).bitwiseAND(keys)
+def _follows(rows: Column, index: Column, entry: Column, mask: Column, back: Column | None = None) -> Column:
+    """Whether the entry so many places before has the same key."""
+    earlier = F.get(rows, index - (F.lit(1) if back is None else back))
+    # they differ in position bits only; before the first entry there is null
+    return earlier.bitwiseXOR(entry).between(F.lit(0).cast("bigint"), mask)
 
-    def same(back: Column) -> Column:
-        return F.get(rows, index - back).bitwiseAND(keys) == own
 
-    earlier = F.aggregate(steps, F.lit(0), lambda n, step: F.when(same(n + step), n + step).otherwise(n))
-    return F.when(same(F.lit(1)), earlier + 1).otherwise(F.lit(1))
+def _occurrence(rows: Column, index: Column, entry: Column, mask: Column, steps: Column) -> Column:
+    """Number of the entry among those of equal key, from 1; equal keys stand together in ``rows``."""
+    return 1 + F.aggregate(
+        steps, F.lit(0), lambda n, step: F.when(_follows(rows, index, entry, mask, n + step), n + step).otherwise(n)
+    )
 
 
 def sketches(
@@ -73,29 +75,32 @@ def sketches(
 
     def of_kmers(kmers: Column) -> Column:
         bits = F.length(F.bin(F.size(kmers).cast("bigint")))
-        mask = _call("shiftleft", F.lit(1).cast("bigint"), bits) - 1
+        return let(bits, lambda bits: let(_call("shiftleft", F.lit(1).cast("bigint"), bits) - 1, lambda mask: of_mask(kmers, bits, mask)))
+
+    def of_mask(kmers: Column, bits: Column, mask: Column) -> Column:
         # 2^(bits-1) .. 2, 1: the strides of the search for the first of a run
-        steps = F.transform(F.sequence(bits - 1, F.lit(0), F.lit(-1)), lambda b: _call("shiftleft", F.lit(1), b))
+        strides = F.transform(F.sequence(bits - 1, F.lit(0), F.lit(-1)), lambda b: _call("shiftleft", F.lit(1), b))
         grouped = F.sort_array(F.transform(kmers, lambda h, i: _packed(h, i, mask)))
 
-        def of_groups(rows: Column, mask: Column, steps: Column) -> Column:
+        def sampled(rows: Column, steps: Column) -> Column:
             def numbered(p: Column, i: Column) -> Column:
-                position = p.bitwiseAND(mask)
-                return _packed(F.xxhash64(F.get(kmers, position.cast("int")), _occurrence(rows, i, mask, steps)), position, mask)
+                number = F.when(_follows(rows, i, p, mask), _occurrence(rows, i, p, mask, steps)).otherwise(F.lit(1))
+                return let(p.bitwiseAND(mask), lambda at: _packed(F.xxhash64(F.get(kmers, at.cast("int")), number), at, mask))
 
-            sample = F.slice(F.sort_array(F.transform(rows, numbered)), 1, bottom)
-            return let(sample, lambda sample: F.transform(F.sequence(F.lit(1), F.lit(count)), lambda j: tuple_hash(sample, j, mask)))
+            return F.slice(F.sort_array(F.transform(rows, numbered)), 1, bottom)
 
-        def tuple_hash(sample: Column, j: Column, mask: Column) -> Column:
-            drawn = F.transform(
-                sample, lambda p: _packed(F.xxhash64(_call("shiftrightunsigned", p, F.lit(POSITION_BITS)), j), p.bitwiseAND(mask), mask)
-            )
+        def tuple_hash(sample: Column, j: Column) -> Column:
+            other = F.xxhash64(j).bitwiseAND(F.lit(-1 << POSITION_BITS))
+            drawn = let(other, lambda c: F.transform(sample, lambda p: p.bitwiseXOR(c)))
             lowest = F.slice(F.sort_array(drawn), 1, size)
             placed = F.sort_array(F.transform(lowest, lambda p: p.bitwiseAND(mask)))
             chosen = F.transform(placed, lambda at: F.get(kmers, at.cast("int")))
             return let(chosen, lambda c: F.xxhash64(j, *[F.get(c, F.lit(n)) for n in range(size)]).bitwiseAND(F.lit(0xFFFFFFFF)))
 
-        return let(mask, lambda mask: let(steps, lambda steps: let(grouped, lambda rows: of_groups(rows, mask, steps))))
+        return let(
+            let(strides, lambda steps: let(grouped, lambda rows: sampled(rows, steps))),
+            lambda sample: F.transform(F.sequence(F.lit(1), F.lit(count)), lambda j: tuple_hash(sample, j)),
+        )
 
     def of_tokens(words: Column) -> Column:
         kmers = F.transform(words, lambda w, i: F.xxhash64(w, *[F.get(words, i + n) for n in range(1, k)]))
@@ -115,19 +120,25 @@ def likeness(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(equal, F.lit(0), lambda n, e: n + e) / F.size(a)
 
 
-def beside_next(df: DataFrame, key: str, columns: list[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Rows with ``next``, a struct of ``columns`` of the following row in descending key order, after the last the first.
+def beside_next(
+    df: DataFrame, key: str, text: str, derived: dict[str, Column] | None = None, rows_per_bucket: int = ROWS_PER_BUCKET
+) -> DataFrame:
+    """(key, text, derived columns, next) per row.
+
+    ``next`` is a struct of the text and derived columns of the following row in
+    descending key order, after the last the first.  Derived columns are
+    computed once per row, before the rows move.
 
     The order is cut into ranges of keys; each row goes to its range once, and
     the first row of every range also to the range before it, so no window
     spans more than a range.  Null keys come last; ties are ordered by digest.
-    ``df`` is read three times: keys, first rows, all.
+    ``df`` is read three times: keys and lengths, first rows, all.
     """
     bounds = range_bounds(
-        df, key, rows_per_bucket, weight=F.coalesce(F.char_length(columns[0]), F.lit(0)), weight_per_bucket=CHARS_PER_BUCKET
+        df, key, rows_per_bucket, weight=F.coalesce(F.char_length(text), F.lit(0)), weight_per_bucket=CHARS_PER_BUCKET
     )
     bucket = F.when(F.col(key).isNull(), F.lit(-1)).otherwise(range_bucket(key, bounds))
-    marked = df.select(F.col(key), *columns, bucket.alias("_bucket"), F.xxhash64(*columns).alias("_tie"))
+    marked = df.select(F.col(key), F.col(text), bucket.alias("_bucket"), F.xxhash64(text).alias("_tie"))
     firsts = marked.groupBy("_bucket").agg(F.max(F.struct(key, "_tie")).alias("_first"))
     # at most one row per range; the table of ranges is small by construction
     around = Window.partitionBy(F.lit(0)).orderBy(F.col("_bucket").desc())
@@ -139,21 +150,23 @@ def beside_next(df: DataFrame, key: str, columns: list[str], rows_per_bucket: in
     heads = (
         marked.join(F.broadcast(wanted), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_tie") == F.col("_t")))
         .dropDuplicates(["_to"])
-        .select(key, *columns, F.col("_to").alias("_bucket"), "_tie", F.lit(True).alias("_extra"))
+        .select(key, text, F.col("_to").alias("_bucket"), "_tie", F.lit(True).alias("_extra"))
     )
-    both = marked.withColumn("_extra", F.lit(False)).unionByName(heads)
+    both = marked.withColumn("_extra", F.lit(False)).unionByName(heads).withColumns(derived or {})
+    columns = [text, *(derived or {})]
     order = Window.partitionBy("_bucket").orderBy("_extra", F.col(key).desc_nulls_last(), F.col("_tie").desc())
-    return both.withColumn("next", F.lead(F.struct(*columns)).over(order)).filter(~F.col("_extra")).drop("_bucket", "_tie", "_extra")
+    # column by column: a struct would be put together before the shuffle and carry the text twice
+    beside = both.withColumns({f"_next_{c}": F.lead(c).over(order) for c in columns}).filter(~F.col("_extra"))
+    return beside.select(key, *columns, F.struct(*[F.col(f"_next_{c}").alias(c) for c in columns]).alias("next"))
 
 
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and how alike they and the next document's are."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    marked = docs.withColumn("sketch", sketches(F.col("text")))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half))
-    rows = beside_next(marked, "doc_id", ["text", "sketch"]).select(
+    rows = beside_next(docs, "doc_id", "text", {"sketch": sketches(F.col("text"))}).select(
         "doc_id",
         n.cast("bigint").alias("n_chars"),
         "sketch",
