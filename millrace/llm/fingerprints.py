@@ -3,20 +3,18 @@
 A text becomes tokens: its runs of non-blank characters, long ones in pieces of
 :data:`PIECE`.  Every token starts a k-mer of :data:`K` tokens (shorter at the
 end of the text), and equal k-mers of a text are numbered by occurrence.  Each
-of :data:`SKETCHES` hash functions (one hash, exclusive-or'ed with a constant of the
-function) selects the :data:`TUPLE` smallest numbered k-mers, puts them back into text order and hashes the tuple of their k-mers.
+of :data:`SKETCHES` hash functions (the XXH64 of a numbered k-mer, seeded by the
+function) selects the :data:`TUPLE` smallest of all numbered k-mers, puts them back into text order and hashes the tuple of their k-mers.
 Moving or editing text changes k-mers, their numbers or their order, so the
 share of equal tuples follows edit distance rather than set overlap alone
 (Marcais et al. 2019).
 
-The hash functions work on the :data:`BOTTOM` numbered k-mers that are smallest
-under one common hash, which is every k-mer of a short text and a uniform sample
-of a long one; without it the cost of a text would be its length times
-SKETCHES.  Everything about a text happens inside its row: sorting packed
-numbers (key in the high bits, position in the low ones) groups equal k-mers,
-and a galloping search over the sorted row numbers them.  No token ever leaves
-its row, so nothing is shuffled but the documents themselves, once, to stand
-beside their neighbours.
+The cost of a text is its length times SKETCHES: no k-mer is left out and every
+function has an order of its own.  Everything about a text happens inside its
+row: sorting packed numbers (key in the high bits, position in the low ones)
+groups equal k-mers, and a galloping search over the sorted row numbers them.
+No token ever leaves its row, so nothing is shuffled but the documents
+themselves, once, to stand beside their neighbours.
 
 A null text is an empty one; all empty texts have one fingerprint.
 """
@@ -34,9 +32,6 @@ PIECE = 8
 K = 2
 SKETCHES = 64
 TUPLE = 2
-BOTTOM = 48
-#: Low bits that hold positions; the hash functions leave them alone.
-POSITION_BITS = 28
 ROWS_PER_BUCKET = 4096
 CHARS_PER_BUCKET = 1 << 24
 
@@ -68,9 +63,17 @@ def _occurrence(rows: Column, index: Column, entry: Column, mask: Column, steps:
     )
 
 
-def sketches(
-    text: Column, k: int = K, count: int = SKETCHES, size: int = TUPLE, bottom: int = BOTTOM, piece: int = PIECE
-) -> Column:
+def _smallest(values: Column, size: int) -> Column:
+    """The ``size`` smallest values, which are all different; null for those that are missing."""
+    if size == 1:
+        return F.array(F.array_min(values))
+    return let(
+        F.array_min(values),
+        lambda low: F.concat(F.array(low), let(F.array_remove(values, low), lambda others: _smallest(others, size - 1))),
+    )
+
+
+def sketches(text: Column, k: int = K, count: int = SKETCHES, size: int = TUPLE, piece: int = PIECE) -> Column:
     """Array of ``count`` 32-bit numbers, one per hash function."""
 
     def of_kmers(kmers: Column) -> Column:
@@ -82,25 +85,30 @@ def sketches(
         strides = F.transform(F.sequence(bits - 1, F.lit(0), F.lit(-1)), lambda b: _call("shiftleft", F.lit(1), b))
         grouped = F.sort_array(F.transform(kmers, lambda h, i: _packed(h, i, mask)))
 
-        def sampled(rows: Column, steps: Column) -> Column:
-            def numbered(p: Column, i: Column) -> Column:
+        def numbered(rows: Column, steps: Column) -> Column:
+            def one(p: Column, i: Column) -> Column:
                 number = F.when(_follows(rows, i, p, mask), _occurrence(rows, i, p, mask, steps)).otherwise(F.lit(1))
-                return let(p.bitwiseAND(mask), lambda at: _packed(F.xxhash64(F.get(kmers, at.cast("int")), number), at, mask))
-
-            return F.slice(F.sort_array(F.transform(rows, numbered)), 1, bottom)
-
-        def tuple_hash(sample: Column, j: Column) -> Column:
-            other = F.xxhash64(j).bitwiseAND(F.lit(-1 << POSITION_BITS))
-            drawn = let(other, lambda c: F.transform(sample, lambda p: p.bitwiseXOR(c)))
-            lowest = F.slice(F.sort_array(drawn), 1, size)
-            placed = F.sort_array(F.transform(lowest, lambda p: p.bitwiseAND(mask)))
-            chosen = F.transform(placed, lambda at: F.get(kmers, at.cast("int")))
-            return let(chosen, lambda c: F.xxhash64(j, *[F.get(c, F.lit(n)) for n in range(size)]).bitwiseAND(F.lit(0xFFFFFFFF)))
-
-        return let(
-            let(strides, lambda steps: let(grouped, lambda rows: sampled(rows, steps))),
-            lambda sample: F.transform(F.sequence(F.lit(1), F.lit(count)), lambda j: tuple_hash(sample, j)),
-        )
+                return F.xxhash64(F.get(kmers, p.bitwiseAND(mask).cast("int")), number)
+
+            return F.transform(rows, one)
+
+        def tuple_hash(rows: Column, marks: Column, j: Column) -> Column:
+            def chosen(drawn: Column) -> Column:
+                # XXH64 of one number is one-to-one, so a place in drawn is found by its value
+                spots = F.transform(_smallest(drawn, size), lambda low: (F.array_position(drawn, low) - 1).cast("int"))
+                placed = F.sort_array(F.transform(spots, lambda at: F.get(rows, at).bitwiseAND(mask)))
+                return F.transform(placed, lambda at: F.get(kmers, at.cast("int")))
+
+            picked = let(F.transform(marks, lambda m: F.xxhash64(j, m)), chosen)
+            return let(picked, lambda c: F.xxhash64(j, *[F.get(c, F.lit(n)) for n in range(size)]).bitwiseAND(F.lit(0xFFFFFFFF)))
+
+        def of_rows(rows: Column) -> Column:
+            return let(
+                let(strides, lambda steps: numbered(rows, steps)),
+                lambda marks: F.transform(F.sequence(F.lit(1), F.lit(count)), lambda j: tuple_hash(rows, marks, j)),
+            )
+
+        return let(grouped, of_rows)
 
     def of_tokens(words: Column) -> Column:
         kmers = F.transform(words, lambda w, i: F.xxhash64(w, *[F.get(words, i + n) for n in range(1, k)]))
