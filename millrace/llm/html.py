@@ -9,9 +9,10 @@ or cut markup never fails).  Then, after Sun, Song and Liao (SIGIR 2011):
 2. every node gets the sum of its children's densities; the node of the
    largest sum is the core of the page;
 3. the lowest density on the path from the core to the body is the threshold.
-   The selected subtree is the core's enclosing article where the page marks
-   one, else its highest ancestor below the body that still reaches the
-   threshold; under the body itself, children below the threshold stay out.
+   The selected subtree is the core's highest ancestor below the body, or the
+   body if it is the core.  At every level of the path above the core, and under
+   the body, containers below the threshold stay out.  Tags only break ties: an
+   article or main element beside the path stays whatever its density.
 
 Elements that are never part of an article (navigation, forms, scripts, hidden
 ones, those whose class, id or role names a menu, advert, notice, comment list
@@ -222,25 +223,21 @@ def measure(root: Node, nodes: list[Node]) -> None:
             node.parent.total += node.density
 
 
-def select(root: Node, nodes: list[Node]) -> tuple[Node, float]:
-    """The subtree of the article, and the threshold of its path to the body."""
+def select(root: Node, nodes: list[Node]) -> tuple[Node, float, list[Node]]:
+    """The subtree of the article, the threshold of its path to the body, and the nodes whose children it holds for."""
     live = [n for n in nodes if not n.noise and n.chars]
     core = max(live, key=lambda n: (n.total, n.density))
     path = [core]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
     threshold = min(n.density for n in path)
-    articles = [n for n in path if n.tag == "article"] or [n for n in path if n.tag == "main"]
-    if articles:
-        return articles[-1], threshold
-    inner = [n for n in live if n.tag == "article"] or [n for n in live if n.tag == "main"]
-    if inner:  # the core stands above the article
-        return max(inner, key=lambda n: n.chars), threshold
     below = [n for n in path if n.tag not in ("html", "body")]
     found = below[-1] if below else path[-1]
     while found.tag not in CONTAINERS and found.parent is not None:
         found = found.parent
-    return found, threshold
+    if found.tag in ("article", "main") and sum(n.tag == found.tag and n.parent is found.parent for n in live) > 1:
+        found = found.parent  # its siblings stay
+    return found, threshold, [n for n in path if n is not core or n.tag in ("html", "body")]
 
 
 def _linked(node: Node) -> bool:
@@ -248,10 +245,10 @@ def _linked(node: Node) -> bool:
     return node.tag not in INLINE and node.link_tags >= 2 and node.link_chars > 0.5 * node.chars
 
 
-def texts(node: Node, threshold: float) -> str:
+def texts(node: Node, threshold: float, held: list[Node]) -> str:
     """Text of a subtree: white space as one space, blocks joined by one space."""
     out: list[str] = []
-    top = node.tag in ("html", "body")
+    levels = {id(n) for n in held}
     work: list[tuple[Node | str, bool]] = [(node, False)]
     while work:
         part, outer = work.pop()
@@ -261,10 +258,11 @@ def texts(node: Node, threshold: float) -> str:
         if part.noise or (part is not node and _linked(part)):
             out.append(" " if part.tag not in INLINE else "")
             continue
-        if outer and part.tag == "div" and part.density < threshold:
+        if outer and part.tag in CONTAINERS and part.tag not in ("article", "main", "body") and part.density < threshold:
+            out.append(" ")
             continue
         edge = "" if part.tag in INLINE else " "
-        inside = top and part.tag in ("html", "body")
+        inside = id(part) in levels
         work.append((edge, False))
         work.extend((p, inside) for p in reversed(part.parts))
         work.append((edge, False))

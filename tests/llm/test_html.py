@@ -64,3 +64,19 @@ def test_empty_table_and_repeats(spark):
     assert html.extract_text(spark.createDataFrame([], schema)).collect() == []
     twice = html.extract_text(spark.createDataFrame([(1, None, "<p>a</p>", "z")] * 2, schema)).collect()
     assert [tuple(r) for r in twice] == [(1, None, "a")] * 2
+
+
+def test_density_decides_and_sibling_articles_stay():
+    other = "<p>The second article has a good many words of plain text as well.</p><p>They go on for quite a while after that.</p>"
+    OTHER = "The second article has a good many words of plain text as well. They go on for quite a while after that."
+    for around in ("{}", "<main>{}</main>", "<div><div>{}</div></div>"):
+        both = around.format(f"<article>{BODY}</article><article>{other}</article>")
+        assert html.main_text(page(both)) == f"{TEXT} {OTHER}", around
+    uneven = f"<article>{BODY}{other}{BODY}{other}</article><article>{BODY}</article>"
+    assert html.main_text(page(uneven)) == " ".join([TEXT, OTHER, TEXT, OTHER, TEXT])
+    # a teaser marked as an article does not win over the text of the page
+    teaser = "<article><p>Read this.</p></article>"
+    assert TEXT in html.main_text(page(f"{teaser}<div>{BODY}{other}</div>"))
+    # below the threshold at an inner level of the path
+    thin = "<div><i>a</i><i>b</i><i>c</i><i>d</i></div>"
+    assert html.main_text(page(f"<div>{thin}<div>{BODY}{other}</div></div>")) == f"{TEXT} {OTHER}"
