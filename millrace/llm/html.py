@@ -16,7 +16,9 @@ or cut markup never fails).  Then, after Sun, Song and Liao (SIGIR 2011):
 
 Elements that are never part of an article (navigation, forms, scripts, hidden
 ones, those whose class, id or role names a menu, advert, notice, comment list
-and so on) are pruned before, and blocks made of links after.
+and so on) are pruned before, and blocks made of links after; inside the article
+(article and main elements and the core) paragraphs, list items, table cells
+and all else stay, however much of them is linked.
 
 A null, empty or textless page gives an empty text.
 """
@@ -223,8 +225,8 @@ def measure(root: Node, nodes: list[Node]) -> None:
             node.parent.total += node.density
 
 
-def select(root: Node, nodes: list[Node]) -> tuple[Node, float, list[Node]]:
-    """The subtree of the article, the threshold of its path to the body, and the nodes whose children it holds for."""
+def select(root: Node, nodes: list[Node]) -> tuple[Node, float, list[Node], Node | None]:
+    """The subtree of the article, the threshold of its path to the body, the nodes whose children it holds for, and the core below the body."""
     live = [n for n in nodes if not n.noise and n.chars]
     core = max(live, key=lambda n: (n.total, n.density))
     path = [core]
@@ -237,7 +239,8 @@ def select(root: Node, nodes: list[Node]) -> tuple[Node, float, list[Node]]:
         found = found.parent
     if found.tag in ("article", "main") and sum(n.tag == found.tag and n.parent is found.parent for n in live) > 1:
         found = found.parent  # its siblings stay
-    return found, threshold, [n for n in path if n is not core or n.tag in ("html", "body")]
+    inner = None if core.tag in ("html", "body") else core
+    return found, threshold, [n for n in path if n is not inner], inner
 
 
 def _linked(node: Node) -> bool:
@@ -245,17 +248,18 @@ def _linked(node: Node) -> bool:
     return node.tag not in INLINE and node.link_tags >= 2 and node.link_chars > 0.5 * node.chars
 
 
-def texts(node: Node, threshold: float, held: list[Node]) -> str:
+def texts(node: Node, threshold: float, held: list[Node], core: Node | None) -> str:
     """Text of a subtree: white space as one space, blocks joined by one space."""
     out: list[str] = []
     levels = {id(n) for n in held}
-    work: list[tuple[Node | str, bool]] = [(node, False)]
+    work: list[tuple[Node | str, bool, bool]] = [(node, False, False)]
     while work:
-        part, outer = work.pop()
+        part, outer, article = work.pop()
         if isinstance(part, str):
             out.append(unescape(part))
             continue
-        if part.noise or (part is not node and _linked(part)):
+        article = article or part.tag in ("article", "main") or part is core
+        if part.noise or (part is not node and not article and _linked(part)):
             out.append(" " if part.tag not in INLINE else "")
             continue
         if outer and part.tag in CONTAINERS and part.tag not in ("article", "main", "body") and part.density < threshold:
@@ -263,9 +267,9 @@ def texts(node: Node, threshold: float, held: list[Node]) -> str:
             continue
         edge = "" if part.tag in INLINE else " "
         inside = id(part) in levels
-        work.append((edge, False))
-        work.extend((p, inside) for p in reversed(part.parts))
-        work.append((edge, False))
+        work.append((edge, False, False))
+        work.extend((p, inside, article) for p in reversed(part.parts))
+        work.append((edge, False, False))
     return " ".join("".join(out).split())
 
 

@@ -80,3 +80,11 @@ def test_density_decides_and_sibling_articles_stay():
     # below the threshold at an inner level of the path
     thin = "<div><i>a</i><i>b</i><i>c</i><i>d</i></div>"
     assert html.main_text(page(f"<div>{thin}<div>{BODY}{other}</div></div>")) == f"{TEXT} {OTHER}"
+
+
+def test_linked_blocks_of_the_article_stay():
+    cited = "<p><a href=1>One source of it</a>, <a href=2>another source</a></p><ul><li><a href=3>Third work</a> <a href=4>Fourth work</a></ul>"
+    table = "<table><tr><td><a href=5>Fifth</a> <a href=6>Sixth</a></td></tr></table>"
+    for tag in ("article", "main"):
+        got = html.main_text(page(f"<{tag}>{BODY}{cited}{table}</{tag}>"))
+        assert got == f"{TEXT} One source of it, another source Third work Fourth work Fifth Sixth"
