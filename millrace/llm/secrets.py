@@ -9,7 +9,8 @@ Every text is read whole by one call of :func:`scan`.  Two kinds of findings:
   files, and the ``key``/``name`` .. ``value`` attribute pairs of XML).  Each
   assignment gives a target name and an expression of literals and names.
   Names stand for the constants they were last given, through any number of
-  steps and through ``+``.  A literal is scored by the most sensitive name it
+  steps and through ``+``, also as ``$NAME``, ``${NAME}`` and ``{NAME}`` alone or
+  inside a string.  A literal is scored by the most sensitive name it
   reaches times how much it looks like a credential, and reported from
   :data:`THRESHOLD` on.
 
@@ -52,9 +53,12 @@ PLACEHOLDER = re.compile(
 OPERATOR = re.compile(r":=|=>|[=:]")
 TARGET = re.compile(r"([A-Za-z_$][\w$.-]*)[\"'\]]?[ \t]*$", re.ASCII)
 TYPED = re.compile(r"([A-Za-z_$][\w$]*)[ \t]*:[ \t]*[A-Za-z_][\w\[\]<>., |?]*$", re.ASCII)
-STRING = re.compile(r"\"(?P<d>(?:[^\"\\\n]|\\.)*)\"|'(?P<s>(?:[^'\\\n]|\\.)*)'|`(?P<b>[^`\n]*)`")
+STRING = re.compile(r"(?:[fFrRbBuU]{1,2}(?=[\"']))?(?:\"(?P<d>(?:[^\"\\\n]|\\.)*)\"|'(?P<s>(?:[^'\\\n]|\\.)*)'|`(?P<b>[^`\n]*)`)")
 NAME = re.compile(r"[A-Za-z_$][\w$]*(?:(?:\.|->|::)[A-Za-z_$][\w$]*)*(?![\w(\[])", re.ASCII)
 BARE = re.compile(r"[^\s\"'`,;(){}\[\]<>]+")
+#: $NAME and ${NAME} (of shells, properties and templates), and {NAME} of format strings.
+REFERENCE = re.compile(r"\$([A-Za-z_]\w*)|\$?\{\{?[ \t]*([A-Za-z_$][\w$.-]*)[ \t]*(?::?[-=?+!:][^{}\n]*)?\}", re.ASCII)
+BARE_REFERENCES = re.compile(r"(?:\$\{[^{}\n]*\}|[^\s\"'`,;(){}\[\]<>])+")
 PLUS = re.compile(r"[ \t]*(?:\+|\.\.|\.(?=[ \t]*[\"'$]))[ \t]*")
 BLANKS = re.compile(r"[ \t]*")
 ATTRIBUTES = re.compile(
@@ -105,18 +109,42 @@ class Assignment(NamedTuple):
     uses: list[int]
 
 
+def _interpolated(text: str, start: int, end: int, known: dict[str, int]) -> tuple[list[tuple[int, int]], list[int]] | None:
+    """The pieces of a value between references to known names, and what these are; None if it has none."""
+    literals: list[tuple[int, int]] = []
+    uses: list[int] = []
+    for m in REFERENCE.finditer(text, start, end):
+        used = known.get(m[1] or m[2])
+        if used is not None:
+            if m.start() > start:
+                literals.append((start, m.start()))
+            uses.append(used)
+            start = m.end()
+    if not uses:
+        return None
+    if end > start:
+        literals.append((start, end))
+    return literals, uses
+
+
 def _expression(text: str, at: int, known: dict[str, int]) -> tuple[list[tuple[int, int]], list[int]]:
     literals: list[tuple[int, int]] = []
     uses: list[int] = []
     while True:
         if m := STRING.match(text, at):
-            literals.append(m.span(m.lastgroup))
+            span = m.span(m.lastgroup)
+            more = _interpolated(text, *span, known) or ([span], [])
+            literals.extend(more[0])
+            uses.extend(more[1])
         elif (m := NAME.match(text, at)) and m[0] in known:
             uses.append(known[m[0]])
         else:
             # a bare value of a configuration line ends the expression
-            if not literals and not uses and (m := BARE.match(text, at)):
-                literals.append(m.span())
+            if not literals and not uses:
+                if (m := BARE_REFERENCES.match(text, at)) and (more := _interpolated(text, *m.span(), known)):
+                    return more
+                if m := BARE.match(text, at):
+                    literals.append(m.span())
             return literals, uses
         if not (p := PLUS.match(text, m.end())):
             return literals, uses

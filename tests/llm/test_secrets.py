@@ -76,3 +76,14 @@ def test_query_on_tables(spark, sf_dir):
 
 def test_empty_table(docs):
     assert secrets.scan_secrets(docs([])).collect() == []
+
+
+def test_references_are_propagated():
+    for value in ("$TOK", "${TOK}", '"$TOK"', '"${TOK}"', "${TOK:-none}"):
+        assert literals(f"TOK=q8W7e6R5t4\nPASSWORD={value}") == ["q8W7e6R5t4"], value
+        assert literals(f"TOK=q8W7e6R5t4\nA={value}\nexport DB_PASSWORD=$A\n") == ["q8W7e6R5t4"], value
+        assert literals(f"TOK=q8W7e6R5t4\nCOLOUR={value}") == [], value
+    assert literals('a = "q8W7e6R5t4"\npassword = f"{a}"') == ["q8W7e6R5t4"]
+    assert literals("db.raw=q8W7e6R5t4\ndb.password=${db.raw}") == ["q8W7e6R5t4"]
+    assert literals('A=q8W7e6R5\nPASSWORD="pre9X${A}z"') == ["q8W7e6R5"]
+    assert literals("PASSWORD=${OTHER}\nTOKEN=$OTHER") == []
