@@ -10,6 +10,11 @@ of the sizes, so a part of ``n`` bigrams can only match templates between
 reach are never cut into bigrams, and an index from bigrams to templates finds
 the common ones of the rest.
 
+A licence that no part reaches is sought in runs of words: the bigrams of the whole
+text that a template has are its anchors, and every run that begins and ends in
+an anchor and whose size the template allows is scored.  So a licence in several
+paragraphs, in one block with code, or inside a long line is found.
+
 Each template's best part is reported; ties go to the earlier part, longer
 before shorter.  A text has the licence of its best template, ties by name.  A
 null or empty text has none.  Rows that repeat are scanned alike.
@@ -17,6 +22,7 @@ null or empty text has none.  Rows that repeat are scanned alike.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -104,6 +110,7 @@ TEMPLATES = {
 }
 
 WORD = re.compile(r"[a-z0-9]+")
+PLACED = re.compile(r"[A-Za-z0-9]+")
 COPYRIGHT = re.compile(r"^\W*(?:copyright\b|©|\(c\)).*$", re.IGNORECASE | re.MULTILINE)
 
 
@@ -127,6 +134,7 @@ class Templates:
         self.names: list[str] = []
         self.sizes: list[int] = []
         self.index: dict[tuple[str, str], list[tuple[int, int]]] = {}
+        self.counts: list[Counter[tuple[str, str]]] = []
         for name in sorted(templates):
             for text in templates[name]:
                 counts = bigrams(words(text))
@@ -134,6 +142,7 @@ class Templates:
                     self.index.setdefault(pair, []).append((len(self.names), n))
                 self.names.append(name)
                 self.sizes.append(counts.total())
+                self.counts.append(counts)
         ratio = (2 - threshold) / threshold
         #: Sizes of parts that some template can reach.
         self.reachable = {n for size in self.sizes for n in range(int(size / ratio), int(size * ratio) + 2) if self.near(n, size)}
@@ -161,6 +170,51 @@ class Templates:
         return best
 
 
+    def runs(self, text: str, known: set[str]) -> dict[str, tuple[float, int, int]]:
+        """(coefficient, start, end) of the best run of words of each licence that is not known yet."""
+        places = placed_words(text)
+        pairs = [(a[0], b[0]) for a, b in zip(places, places[1:])]
+        anchors: dict[int, list[int]] = {}
+        for i, pair in enumerate(pairs):
+            for number, _ in self.index.get(pair, ()):
+                anchors.setdefault(number, []).append(i)
+        best: dict[str, tuple[float, int, int]] = {}
+        for number, at in anchors.items():
+            name, size, counts = self.names[number], self.sizes[number], self.counts[number]
+            least = math.ceil(self.threshold * size / 2)  # fewer common bigrams reach no coefficient
+            if name in known or len(at) < least:
+                continue
+            longest = int(size * (2 - self.threshold) / self.threshold)
+            for i, first in enumerate(at):
+                if i + least > len(at) or at[i + least - 1] - first >= longest:
+                    continue
+                seen: Counter[tuple[str, str]] = Counter()
+                shared = 0
+                for k in range(i, len(at)):
+                    last = at[k]
+                    n = last - first + 1
+                    if n > longest:
+                        break
+                    seen[pairs[last]] += 1
+                    shared += seen[pairs[last]] <= counts[pairs[last]]
+                    dice = 2 * shared / (n + size)
+                    if dice >= self.threshold and dice > best.get(name, (0.0,))[0]:
+                        best[name] = dice, places[first][1], places[last + 1][2]
+        return best
+
+
+def placed_words(text: str) -> list[tuple[str, int, int]]:
+    """The words of :func:`words` with their places in the text."""
+    out = [(m.start(), m.end()) for m in COPYRIGHT.finditer(text)]
+    found, line = [], 0
+    for m in PLACED.finditer(text):
+        while line < len(out) and out[line][1] <= m.start():
+            line += 1
+        if line == len(out) or m.start() < out[line][0]:
+            found.append((m[0].lower(), m.start(), m.end()))
+    return found
+
+
 def parts(text: str) -> list[tuple[int, int]]:
     """(start, end) of the whole text, its paragraphs and its lines, each stretch once, longer ones first."""
     lines, paragraphs, at, opened = [], [], 0, None
@@ -188,6 +242,7 @@ def scan(text: str | None, templates: Templates) -> list[tuple[str, float, int,
         for name, dice in templates.matches(text[start:end]).items():
             if name not in best or dice > best[name][0]:
                 best[name] = dice, start, end
+    best |= templates.runs(text or "", set(best))
     return sorted(((name, *found) for name, found in best.items()), key=lambda x: (-x[1], x[0]))
 
 

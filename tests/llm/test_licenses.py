@@ -50,3 +50,17 @@ def test_odd_rows(docs, odd):
     rows = lic.scan_licenses(docs(odd)).collect()
     assert len(rows) == len(odd) and all(r.licenses == [] for r in rows)
     assert lic.scan_licenses(docs([])).collect() == []
+
+
+def test_runs_of_paragraphs_and_words(prose):
+    code = "\n".join(f"call_{i}({i})" for i in range(60))
+    mit, apache = lic.TEMPLATES["MIT"][2], lic.TEMPLATES["Apache-2.0"][1]
+    three = mit.replace("The above copyright", "\n\nThe above copyright").replace("THE SOFTWARE IS", "\n\nTHE SOFTWARE IS")
+    for name, text in (
+        ("MIT", f"{three}\n\n{code}"),
+        ("Apache-2.0", f"{apache}\n{code}"),
+        ("Apache-2.0", f"{prose(300, 1)} {apache} {prose(300, 2)}"),
+    ):
+        assert [x[0] for x in lic.scan(text, KNOWN)][:1] == [name]
+    [(_, score, start, end)] = [x for x in lic.scan(f"{prose(90, 1)} {mit} {prose(90, 2)}", KNOWN) if x[0] == "MIT"]
+    assert score == 1.0 and f"{prose(90, 1)} {mit} {prose(90, 2)}"[start:end] == mit[:-1]
