@@ -23,18 +23,18 @@ def signed(v):
 
 
 def by_hand(text, count=fp.SKETCHES):
-    words = re.findall(r"[^\x20\x09-\x0D]{1,8}", text or "")
+    """Minima of independently seeded hashes over every numbered k-mer."""
+    words = re.findall(r"[^\x20\x09-\x0D]{1,%d}" % fp.PIECE, text or "")
     kmers = [chain(words[i : i + 2]) for i in range(len(words))]
     mask = (1 << max(1, len(words).bit_length())) - 1
-    seen, rows = Counter(), []
-    for i, h in enumerate(kmers):
-        seen[h] += 1
-        rows.append(signed(chain([(h, 8), (seen[h], 4)]) & ~mask & LOW | i))
-    sample, out = sorted(rows)[: fp.BOTTOM], []
+    seen, order = Counter(), {}
+    for i in sorted(range(len(words)), key=lambda i: signed(kmers[i] & ~mask & LOW | i)):
+        seen[kmers[i] & ~mask] += 1
+        order[i] = chain([(kmers[i], 8), (seen[kmers[i] & ~mask], 4)])
+    out = []
     for j in range(1, count + 1):
-        other = chain([(j, 4)]) & LOW & (-1 << fp.POSITION_BITS)
-        drawn = sorted(signed((p & LOW) ^ other) for p in sample)[: fp.TUPLE]
-        out.append(chain([(j, 4)] + [(kmers[at], 8) for at in sorted(p & mask for p in drawn)]) & 0xFFFFFFFF)
+        low = sorted(order, key=lambda i: signed(chain([(j, 4), (order[i], 8)])))[: fp.TUPLE]
+        out.append(chain([(j, 4)] + [(kmers[i], 8) for i in sorted(low)]) & 0xFFFFFFFF)
     return out
 
 
@@ -91,23 +91,7 @@ def test_one_document_and_none(docs):
     assert fp.beside_next(docs([]).select("doc_id", "text"), "doc_id", "text").collect() == []
 
 
-def all_kmers_by_hand(text, count=fp.SKETCHES):
-    """Minima of independently seeded hashes over every numbered k-mer."""
-    words = re.findall(r"[^\x20\x09-\x0D]{1,8}", text or "")
-    kmers = [chain(words[i : i + 2]) for i in range(len(words))]
-    mask = (1 << max(1, len(words).bit_length())) - 1
-    seen, order = Counter(), {}
-    for i in sorted(range(len(words)), key=lambda i: signed(kmers[i] & ~mask & LOW | i)):
-        seen[kmers[i] & ~mask] += 1
-        order[i] = chain([(kmers[i], 8), (seen[kmers[i] & ~mask], 4)])
-    out = []
-    for j in range(1, count + 1):
-        low = sorted(order, key=lambda i: signed(chain([(j, 4), (order[i], 8)])))[: fp.TUPLE]
-        out.append(chain([(j, 4)] + [(kmers[i], 8) for i in sorted(low)]) & 0xFFFFFFFF)
-    return out
-
-
 def test_every_kmer_counts_in_every_function(docs, prose):
     rows = [(1, prose(700, 1)), (2, "a a a a a a"), (3, "x"), (4, ""), (5, None), (6, "b a b a b a b")]
     for r in docs(rows).select("text", fp.sketches(F.col("text")).alias("s")).collect():
-        assert r.s == all_kmers_by_hand(r.text)
+        assert r.s == by_hand(r.text)
