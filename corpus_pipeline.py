@@ -28,8 +28,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates: shingles of five words, similarity 0.8 or more."""
-    return simhash.without_similar_texts(docs)
+    """Keep one document of each group whose fingerprints link: shingles of four words, at most four differing bits."""
+    return simhash.without_near_duplicates(docs)
 
 
 def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
