@@ -14,6 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def map_rows(df: DataFrame, fn: Callable[..., tuple], schema: T.StructType | str) -> DataFrame:
     """One output row per input row: ``fn(*columns) -> tuple`` inside Arrow batches, no shuffle."""
     return flat_map_rows(df, lambda *row: (fn(*row),), schema)

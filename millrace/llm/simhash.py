@@ -26,33 +26,23 @@ a shard gives a spanning forest of its links, never all pairs.  Shards above
 Components of the links come from large-star and small-star rounds.  Of all
 documents the driver sees counts, and a sample of :data:`SAMPLE` fingerprints.
 
-**Similar texts** (:func:`similar_texts`, the pipeline's stage) are those whose
-sets of five-word shingles have a Jaccard similarity of :data:`SIMILAR` or more.
-Texts of equal sets collapse to one point.  Candidates are points within
-:data:`WIDE_BITS` of the 128 bits of a wider SimHash of the set: at similarity
-0.8 about 19 bits differ with a deviation of 4, of unrelated texts 64 with one of
-6.  A radius that wide is beyond trees, so blocks of points are compared with
-one another, all with all, and their spanning forests give loose clusters.  In
-each cluster all pairs within the radius are verified on the sets themselves,
-again between blocks, and only verified links make components.
-
 Rows that repeat a key are rows of their own, null keys are kept (a component is
 named by its smallest non-null key).  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_rows, table
+from millrace.llm.common import free, map_rows, table
 from millrace.operators.components import connected_components
-from millrace.session import broadcast_if_small, join_unique_side, materialize
+from millrace.session import join_unique_side, materialize
 
 SHINGLE = 4
 BITS = 4
@@ -63,13 +53,6 @@ SAMPLE = 50_000
 LEAF_ROWS = 512
 MAX_LEVELS = 16
 SHARD_ROWS = 16_384
-#: Of similar texts: words of a shingle, least Jaccard similarity, radius of the candidates.
-WIDE_SHINGLE = 5
-SIMILAR = 0.8
-WIDE_BITS = 32
-#: Rows of a block: of candidate points (for billions of pairs, as few blocks as memory allows), and of shingle sets.
-BLOCK_ROWS = (256, 8_192)
-SET_ROWS = 512
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -98,8 +81,7 @@ def fingerprints(df: DataFrame, key: str, text: str, shingle: int = SHINGLE) ->
     kind = df.schema[key].dataType.simpleString()
 
     def run(k, t):
-        value = fingerprint(t, shingle)
-        return k, value - (1 << 64) if value >> 63 else value
+        return k, _signed(fingerprint(t, shingle))
 
     return map_rows(df.select(F.col(key), F.col(text)), run, f"id {kind}, fp bigint")
 
@@ -279,170 +261,42 @@ def without_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "tex
 
     Rows of null key stay only where their whole component has no key.
     """
-    return first_of_each(df, key, text, near_duplicates(df, key, text, **options), fingerprint)
-
-
-def without_similar_texts(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Like :func:`without_near_duplicates`, for components of similar texts."""
-    return first_of_each(df, key, text, similar_texts(df, key, text, **options), set_digest)
-
-
-def first_of_each(df: DataFrame, key: str, text: str, found: DataFrame, mark: Callable[[str | None], int]) -> DataFrame:
-    """The rows that stay; ``mark`` gives a text its ``fp`` in ``found`` as an unsigned number."""
-    found = materialize(found)
+    found = materialize(near_duplicates(df, key, text, **options))
+    gone_key, mark = free(df, "_id"), free(df, "_fp")
     named = F.col("id").isNotNull() | F.col("component").isNull()
     gone = found.filter(~(F.col("id").eqNullSafe(F.col("component")) & named)).select(
-        F.col("id").alias("_id"), F.col("fp").alias("_fp")
+        F.col("id").alias(gone_key), F.col("fp").alias(mark)
     )
-    lost = materialize(gone.filter("_id IS NOT NULL").select("_id").distinct())
-    kept = df.join(lost, F.col(key) == F.col("_id"), "left_anti")
-    odd = gone.filter("_id IS NULL").select("_fp").distinct()
+    lost = materialize(gone.filter(F.col(gone_key).isNotNull()).select(gone_key).distinct())
+    kept = df.join(lost, F.col(key) == F.col(gone_key), "left_anti")
+    odd = gone.filter(F.col(gone_key).isNull()).select(mark).distinct()
     if not odd.isEmpty():
         # a null key does not tell rows apart; their fingerprints do
-        nameless = fingerprints_beside(kept.filter(F.col(key).isNull()), text, mark).join(odd, "_fp", "left_anti").drop("_fp")
+        nameless = fingerprints_beside(kept.filter(F.col(key).isNull()), text, mark).join(odd, mark, "left_anti").drop(mark)
         kept = kept.filter(F.col(key).isNotNull()).unionByName(nameless)
-    repeated = materialize(found.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1 AND id IS NOT NULL").select(F.col("id").alias("_id")))
+    repeated = found.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1 AND id IS NOT NULL")
+    repeated = materialize(repeated.select(F.col("id").alias(gone_key)))
     if not repeated.isEmpty():
-        again = F.col(key) == F.col("_id")
+        again = F.col(key) == F.col(gone_key)
         once = kept.join(repeated, again, "left_semi").dropDuplicates([key])
         kept = kept.join(repeated, again, "left_anti").unionByName(once)
     return kept
 
 
-def fingerprints_beside(df: DataFrame, text: str, mark: Callable[[str | None], int] = fingerprint) -> DataFrame:
-    """``df`` with ``_fp``, the fingerprint of each row."""
+def fingerprints_beside(df: DataFrame, text: str, mark: str) -> DataFrame:
+    """``df`` with the fingerprint of each row as column ``mark``."""
     at = df.columns.index(text)
 
     def run(*row):
-        return (*row, _signed(mark(row[at])))
+        return (*row, _signed(fingerprint(row[at])))
 
-    return map_rows(df, run, df.select("*", F.lit(0).cast("bigint").alias("_fp")).schema)
+    return map_rows(df, run, df.select("*", F.lit(0).cast("bigint").alias(mark)).schema)
 
 
 def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def shingle_set(text: str | None, shingle: int = WIDE_SHINGLE) -> np.ndarray:
-    """Sorted hashes of the different shingles of a text; of one with fewer words, the text itself; blank ones have none."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    n = max(1, len(words) - shingle + 1)
-    digest = xxhash.xxh64_intdigest
-    joined = b" ".join(words)
-    if n == 1:
-        return np.array([digest(joined, SEED)], np.uint64)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = [0, *(ends[: n - 1] + 1).tolist()]
-    stops = ends[shingle - 1 :].tolist()
-    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, n))
-
-
-def set_digest(text: str | None, shingle: int = WIDE_SHINGLE) -> int:
-    return xxhash.xxh64_intdigest(shingle_set(text, shingle).tobytes())
-
-
-def wide_marks(shingles: np.ndarray) -> tuple[int, int]:
-    """The 128-bit SimHash of a set as two signed numbers."""
-    if not len(shingles):
-        return 0, 0
-    # a second hash of each shingle for the other half of the bits
-    other = shingles * np.uint64(0x9E3779B97F4A7C15)
-    other = (other ^ (other >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
-    other ^= other >> np.uint64(29)
-    both = []
-    for hashes in (shingles, other):
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(hashes), 65_536):
-            piece = hashes[at : at + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8)
-            ones += np.unpackbits(piece, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        both.append(_signed(int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])))
-    return both[0], both[1]
-
-
-def set_links(fps, low, high, sizes, bits: int, similarity: float, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs within ``bits`` bits whose sizes, and sets if given, allow the similarity.
-
-    Whatever a sweep reaches is compared with all points not reached yet.
-    """
-    low, high = low.view(np.uint64), high.view(np.uint64)
-    left = np.arange(len(fps))
-    links: list[tuple[int, int]] = []
-    while len(left):
-        front, left = [left[0]], left[1:]
-        while front and len(left):
-            at = front.pop()
-            apart = np.bitwise_count(low[left] ^ low[at]) + np.bitwise_count(high[left] ^ high[at])
-            close = apart <= bits
-            if not close.any():
-                continue
-            spots = np.flatnonzero(close)
-            least, most = np.minimum(sizes[left[spots]], sizes[at]), np.maximum(sizes[left[spots]], sizes[at])
-            spots = spots[least >= similarity * most]
-            if sets is not None:
-                mine = sets[at]
-                common = (len(np.intersect1d(mine, sets[i], assume_unique=True)) for i in left[spots])
-                common = np.fromiter(common, np.int64, len(spots))
-                spots = spots[common / np.maximum(1, len(mine) + sizes[left[spots]] - common) >= similarity]
-            reached = left[spots]
-            left = np.delete(left, spots)
-            links.extend((int(fps[at]), int(fps[r])) for r in reached)
-            front.extend(reached.tolist())
-    return links
-
-
-def _block_pairs(rows: DataFrame, blocks: Column) -> DataFrame:
-    """Each row once for every pair of blocks that its own is in, as columns ``one`` and ``two``."""
-    own = F.pmod(F.xxhash64("fp", F.lit(11)), blocks).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), blocks.cast("int") - 1), lambda b: F.struct(F.least(own, b).alias("one"), F.greatest(own, b).alias("two")))
-    return rows.select("*", F.explode(pairs).alias("pair")).select(*rows.columns, "pair.*")
-
-
-def similar_texts(
-    df: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    shingle: int = WIDE_SHINGLE,
-    similarity: float = SIMILAR,
-    bits: int = WIDE_BITS,
-    block_rows: tuple[int, int] = BLOCK_ROWS,
-    set_rows: int = SET_ROWS,
-) -> DataFrame:
-    """(id, fp, component): every row with the digest of its shingle set and the smallest id it is connected to."""
-    kind = df.schema[key].dataType.simpleString()
-
-    def mark(k, t):
-        found = shingle_set(t, shingle)
-        return (k, _signed(xxhash.xxh64_intdigest(found.tobytes())), *wide_marks(found), len(found))
-
-    def whole(t):
-        found = shingle_set(t, shingle).tobytes()
-        return _signed(xxhash.xxh64_intdigest(found)), found
-
-    def compare(shard: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.frombuffer(x, np.uint64) for x in shard["shingles"]] if "shingles" in shard else None
-        columns = (shard[c].to_numpy(np.int64) for c in ("fp", "wide", "wider", "n"))
-        return pd.DataFrame(set_links(*columns, bits, similarity, sets), columns=["src", "dst"]).astype("int64")
-
-    marks = materialize(map_rows(df.select(key, text), mark, f"id {kind}, fp bigint, wide bigint, wider bigint, n bigint"))
-    firsts = [F.min(c).alias(c) for c in ("wide", "wider", "n")]
-    points = materialize(marks.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("copies"), *firsts))
-    count = points.count()
-    rows = min(block_rows[1], max(block_rows[0], count // 16))
-    near = _block_pairs(points.select("fp", "wide", "wider", "n"), F.lit(max(1, -(-count // rows))))
-    loose = materialize(connected_components(near.groupBy("one", "two").applyInPandas(compare, "src bigint, dst bigint")))
-    sizes = materialize(loose.groupBy("cluster").agg(F.count("*").alias("members"), F.count("*").alias("rows")))
-    members = points.join(loose.withColumnRenamed("id", "fp"), "fp").select("fp", "wide", "wider", "n", "cluster")
-    members = join_unique_side(members, sizes, ["cluster"], "rows", rows_hot(count), count)
-    members = broadcast_if_small(materialize(members))
-    # texts of equal sets are told apart before they move
-    sets = map_rows(df.select(text), whole, "fp bigint, shingles binary").join(members, "fp").dropDuplicates(["fp"])
-    blocks = F.ceil(F.col("members") / set_rows).cast("int")
-    links = _block_pairs(sets, blocks).groupBy("cluster", "one", "two").applyInPandas(compare, "src bigint, dst bigint")
-    return named_components(marks.select("id", "fp"), points.select("fp", "low", "copies"), count, materialize(links.distinct()))
-
-
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint in hex and the smallest doc_id it is connected to."""
     found = near_duplicates(table(spark, sf_dir, "documents"))

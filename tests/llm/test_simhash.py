@@ -111,34 +111,3 @@ def test_one_of_each_group_stays(docs, odd):
 def test_null_keys_go_where_the_group_has_a_key(docs, prose):
     df = docs([(None, prose(30, 1)), (5, prose(30, 1)), (5, prose(30, 1)), (None, prose(30, 2))])
     assert [(r.doc_id, r.text) for r in simhash.without_near_duplicates(df).orderBy("doc_id").collect()] == [(None, prose(30, 2)), (5, prose(30, 1))]
-
-
-def test_similar_texts_against_brute_force(docs, odd, prose):
-    rows = list(odd)
-    for n in range(8):
-        base = prose(200, 100 + n).split()
-        rows.append((100 + 10 * n, " ".join(base)))
-        for m, every in enumerate((9, 40, 70, 120), 1):  # from below to well above 0.8
-            rows.append((100 + 10 * n + m, " ".join("changed" if i % every == every // 2 else w for i, w in enumerate(base))))
-
-    def shingles(t):
-        w = (t or "").encode().lower().split()
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-
-    sets = [shingles(t) for _, t in rows]
-    group = list(range(len(rows)))
-    for i in range(len(rows)):
-        for j in range(i):
-            both = sets[i] | sets[j]
-            if not both or len(sets[i] & sets[j]) / len(both) >= 0.8:
-                a, b = group[i], group[j]
-                group = [b if g == a else g for g in group]
-    want = {}
-    for g, (k, _) in zip(group, rows):
-        want[g] = min((x for x in (want.get(g), k) if x is not None), default=None)
-    given = docs(rows)
-    for options in ({}, {"block_rows": (16, 16), "set_rows": 2}):
-        found = simhash.similar_texts(given, **options).collect()
-        assert sorted(((r.id, r.component) for r in found), key=str) == sorted(((k, want[g]) for g, (k, _) in zip(group, rows)), key=str)
-    left = [r.doc_id for r in simhash.without_similar_texts(given).collect()]
-    assert sorted(x for x in left if x is not None) == sorted({x for x in want.values() if x is not None})
