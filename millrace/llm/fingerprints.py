@@ -1,147 +1,155 @@
-"""Order MinHash fingerprints of documents, in DataFrame operations only.
+"""Order MinHash fingerprints of documents.
 
 A text becomes tokens: its runs of non-blank characters, long ones in pieces of
-:data:`PIECE`.  Every token starts a k-mer of :data:`K` tokens (shorter at the
-end of the text), and equal k-mers of a text are numbered by occurrence.  Each
-of :data:`SKETCHES` hash functions (the XXH64 of a numbered k-mer, seeded by the
-function) selects the :data:`TUPLE` smallest of all numbered k-mers, puts them back into text order and hashes the tuple of their k-mers.
-Moving or editing text changes k-mers, their numbers or their order, so the
-share of equal tuples follows edit distance rather than set overlap alone
-(Marcais et al. 2019).
-
-The cost of a text is its length times SKETCHES: no k-mer is left out and every
-function has an order of its own.  One pass per function hashes the k-mers and
-keeps those below a bound that about :data:`LIKELY` of them pass; the smallest
-are looked for among these, or among all where too few pass.  Everything about a text happens inside its
-row: sorting packed numbers (key in the high bits, position in the low ones)
-groups equal k-mers, and a galloping search over the sorted row numbers them.
-No token ever leaves its row, so nothing is shuffled but the documents
-themselves, once, to stand beside their neighbours.
+:data:`PIECE`.  Every token starts a k-mer of two tokens (shorter at the end of
+the text), and equal k-mers of a text are numbered by occurrence.  Each of
+:data:`SKETCHES` hash functions, seeded on its own, gives every numbered k-mer a
+value, selects the :data:`TUPLE` smallest, puts them back into text order and
+hashes the tuple of their k-mers.  Moving or editing text changes k-mers, their
+numbers or their order, so the share of equal tuples follows edit distance rather
+than set overlap alone (Marcais et al. 2019); its standard error is
+sqrt(p (1 - p) / SKETCHES).
+
+No k-mer is left out, and every function orders all of them by a mixed hash of
+its own.  A text's values are a matrix, functions by k-mers, built in blocks of
+:data:`BLOCK` k-mers inside Arrow batches, so memory does not grow with the text.
+Nothing is shuffled but the documents themselves, once, with their sketch, to
+stand beside their neighbour.  (In column expressions alone the same minima cost
+twice the limit of CPU time: every function visits every k-mer, and lambdas over
+arrays are interpreted.)
 
 A null text is an empty one; all empty texts have one fingerprint.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import let
-from millrace.llm.common import table
+from millrace.llm.common import map_rows, table
 from millrace.operators.prefix import range_bounds, range_bucket
 
-PIECE = 16
-K = 2
-#: The likeness has a standard error of sqrt(p (1 - p) / SKETCHES), 0.072 at most.
-SKETCHES = 48
+PIECE = 8
+SKETCHES = 64
 TUPLE = 2
-#: Numbered k-mers of a text that pass a function's first bound, about; the result does not depend on it.
-LIKELY = 16
+#: K-mers of a block of the matrix: 64 functions take 2 MB.
+BLOCK = 4096
 ROWS_PER_BUCKET = 4096
 CHARS_PER_BUCKET = 1 << 24
-
-
-def _call(name: str, *args: Column) -> Column:
-    return F.call_function(name, *args)
-
-
-def tokens(text: Column, piece: int = PIECE) -> Column:
-    return F.regexp_extract_all(text, F.lit(rf"[^\x20\x09-\x0D]{{1,{piece}}}"), F.lit(0))
-
-
-def _packed(key: Column, position: Column, mask: Column) -> Column:
-    """A number that sorts by the key's high bits and carries the position in its low ones."""
-    return key.bitwiseAND(F.bitwise_not(mask)).bitwiseOR(position.cast("bigint"))
-
-
-def _follows(rows: Column, index: Column, entry: Column, mask: Column, back: Column | None = None) -> Column:
-    """Whether the entry so many places before has the same key."""
-    earlier = F.get(rows, index - (F.lit(1) if back is None else back))
-    # they differ in position bits only; before the first entry there is null
-    return earlier.bitwiseXOR(entry).between(F.lit(0).cast("bigint"), mask)
-
-
-def _occurrence(rows: Column, index: Column, entry: Column, mask: Column, steps: Column) -> Column:
-    """Number of the entry among those of equal key, from 1; equal keys stand together in ``rows``."""
-    return 1 + F.aggregate(
-        steps, F.lit(0), lambda n, step: F.when(_follows(rows, index, entry, mask, n + step), n + step).otherwise(n)
-    )
-
-
-def sketches(text: Column, k: int = K, count: int = SKETCHES, size: int = TUPLE, piece: int = PIECE) -> Column:
-    """Array of ``count`` 32-bit numbers, one per hash function."""
-
-    def of_kmers(kmers: Column) -> Column:
-        bits = F.length(F.bin(F.size(kmers).cast("bigint")))
-        return let(bits, lambda bits: let(_call("shiftleft", F.lit(1).cast("bigint"), bits) - 1, lambda mask: of_mask(kmers, bits, mask)))
-
-    def of_mask(kmers: Column, bits: Column, mask: Column) -> Column:
-        # 2^(bits-1) .. 2, 1: the strides of the search for the first of a run
-        strides = F.transform(F.sequence(bits - 1, F.lit(0), F.lit(-1)), lambda b: _call("shiftleft", F.lit(1), b))
-        grouped = F.sort_array(F.transform(kmers, lambda h, i: _packed(h, i, mask)))
-
-        def numbered(rows: Column, steps: Column) -> Column:
-            def one(p: Column, i: Column) -> Column:
-                number = F.when(_follows(rows, i, p, mask), _occurrence(rows, i, p, mask, steps)).otherwise(F.lit(1))
-                return F.xxhash64(F.get(kmers, p.bitwiseAND(mask).cast("int")), number)
-
-            return F.transform(rows, one)
-
-        def tuple_hash(rows: Column, marks: Column, bound: Column, j: Column) -> Column:
-            def drawn(m: Column) -> Column:
-                return F.xxhash64(j, m)
-
-            def chosen(near: Column) -> Column:
-                low = F.get(F.sort_array(F.transform(near, drawn)), F.least(F.lit(size), F.size(near)) - 1)
-                picked = let(low, lambda low: F.filter(near, lambda m: drawn(m) <= low))
-                # marks are all different, so a place in marks is found by its value
-                spots = F.transform(picked, lambda m: F.get(rows, (F.array_position(marks, m) - 1).cast("int")).bitwiseAND(mask))
-                return F.transform(F.sort_array(spots), lambda at: F.get(kmers, at.cast("int")))
-
-            below = F.filter(marks, lambda m: drawn(m) < bound)
-            enough = let(below, lambda near: F.when(F.size(near) >= size, near).otherwise(marks))
-            return let(let(enough, chosen), lambda c: F.xxhash64(j, *[F.get(c, F.lit(n)) for n in range(size)]).bitwiseAND(F.lit(0xFFFFFFFF)))
-
-        def of_rows(rows: Column) -> Column:
-            n = F.size(kmers)
-            # a bound that about LIKELY of a function's values lie below; where fewer than a tuple do, all are taken
-            bound = F.when(n > 2 * LIKELY, ((F.lit(2.0 * LIKELY) / n - 1.0) * 2.0**63).cast("bigint")).otherwise(F.lit((1 << 63) - 1))
-            return let(
-                let(strides, lambda steps: numbered(rows, steps)),
-                lambda marks: let(
-                    bound,
-                    lambda bound: F.transform(F.sequence(F.lit(1), F.lit(count)), lambda j: tuple_hash(rows, marks, bound, j)),
-                ),
-            )
-
-        return let(grouped, of_rows)
-
-    def of_tokens(words: Column) -> Column:
-        kmers = F.transform(words, lambda w, i: F.xxhash64(w, *[F.get(words, i + n) for n in range(1, k)]))
-        return let(kmers, of_kmers)
-
-    return let(tokens(F.coalesce(text, F.lit("")), piece), of_tokens)
+ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
+HALF = np.uint64(32)
+LARGEST = np.uint64((1 << 64) - 1)
+
+
+def mixed(values: np.ndarray) -> np.ndarray:
+    """A one-to-one mixing of 64-bit numbers in which every bit depends on all bits."""
+    values = (values ^ (values >> HALF)) * ODD[0]
+    values = (values ^ (values >> HALF)) * ODD[1]
+    return values ^ (values >> HALF)
+
+
+def seeds(count: int) -> np.ndarray:
+    return mixed(np.arange(1, count + 1, dtype=np.uint64) * ODD[2])
+
+
+class Sketcher:
+    """Sketches of texts; hashes of tokens are remembered while there are not too many."""
+
+    def __init__(self, count: int = SKETCHES, piece: int = PIECE, block: int = BLOCK):
+        self.seeds, self.block = seeds(count)[:, None], block
+        self.token = re.compile(rf"[^\x20\x09-\x0D]{{1,{piece}}}")
+        self.known: dict[str, int] = {}
+
+    def hashes(self, tokens: list[str]) -> np.ndarray:
+        known = self.known
+        if len(known) > 500_000:
+            known.clear()
+        for t in set(tokens).difference(known):
+            known[t] = xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"))
+        return np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+
+    def kmers(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Per token the hash of its k-mer, and of the k-mer with its number among equal ones."""
+        first = self.hashes(self.token.findall(text))
+        then = np.zeros_like(first)
+        then[:-1] = first[1:]
+        kmers = mixed(first * ODD[2] + mixed(then))
+        order = np.argsort(kmers, kind="stable")
+        grouped = kmers[order]
+        starts = np.flatnonzero(np.r_[True, grouped[1:] != grouped[:-1]]) if len(kmers) else np.zeros(0, np.int64)
+        numbers = np.empty(len(kmers), np.uint64)
+        numbers[order] = np.arange(len(kmers)) - np.repeat(starts, np.diff(np.r_[starts, len(kmers)]))
+        return kmers, mixed(kmers + numbers * ODD[2])
+
+    def smallest(self, marks: np.ndarray) -> np.ndarray:
+        """Places of the :data:`TUPLE` smallest values of every function, in text order; -1 where there are fewer."""
+        rows = np.arange(len(self.seeds))
+        values = np.full((len(rows), TUPLE), LARGEST)
+        places = np.full((len(rows), TUPLE), -1, np.int64)
+        for at in range(0, len(marks), self.block):
+            drawn = mixed(marks[None, at : at + self.block] ^ self.seeds)
+            found, spots = [values], [places]
+            for _ in range(min(TUPLE, drawn.shape[1])):
+                low = drawn.argmin(axis=1)
+                found.append(drawn[rows, low][:, None])
+                spots.append(low[:, None] + at)
+                drawn[rows, low] = LARGEST
+            values, places = np.hstack(found), np.hstack(spots)
+            best = np.argsort(values, axis=1, kind="stable")[:, :TUPLE]
+            values, places = np.take_along_axis(values, best, 1), np.take_along_axis(places, best, 1)
+        return np.sort(places, axis=1)
+
+    def sketch(self, text: str | None) -> bytes:
+        """One 32-bit hash per function, big-endian."""
+        kmers, marks = self.kmers(text or "")
+        places = self.smallest(marks)
+        out = self.seeds[:, 0].copy()
+        for column in places.T:
+            there = column >= 0
+            out[there] = mixed(out[there] * ODD[0] + kmers[column[there]])
+        return (out >> HALF).astype(">u4").tobytes()
+
+
+def sketches(df: DataFrame, text: str, name: str, count: int = SKETCHES, piece: int = PIECE, keep: bool = True) -> DataFrame:
+    """``df`` with the sketch of ``text`` as binary column ``name``, and without the text unless ``keep``."""
+    df = df.select(text, *[c for c in df.columns if c != text])
+    sketcher: list[Sketcher] = []
+
+    def run(given, *row):
+        if not sketcher:
+            sketcher.append(Sketcher(count, piece))
+        return (*((given,) if keep else ()), *row, sketcher[0].sketch(given))
+
+    out = df if keep else df.drop(text)
+    return map_rows(df, run, out.select("*", F.lit(b"").alias(name)).schema)
 
 
 def printed(sketch: Column | str) -> Column:
     """Eight hex digits per hash function."""
-    return F.array_join(F.transform(sketch, lambda h: F.lpad(F.lower(F.hex(h)), 8, "0")), "")
+    return F.lower(F.hex(sketch))
 
 
-def likeness(a: Column | str, b: Column | str) -> Column:
+def likeness(a: Column | str, b: Column | str, count: int = SKETCHES) -> Column:
     """Share of hash functions that agree."""
-    equal = F.zip_with(a, b, lambda x, y: (x == y).cast("int"))
-    return F.aggregate(equal, F.lit(0), lambda n, e: n + e) / F.size(a)
+    def part(c: Column | str, j: int) -> Column:
+        return F.substring(c, 4 * j + 1, 4)
+
+    return sum((part(a, j) == part(b, j)).cast("int") for j in range(count)) / F.lit(count)
 
 
 def beside_next(
-    df: DataFrame, key: str, text: str, derived: dict[str, Column] | None = None, rows_per_bucket: int = ROWS_PER_BUCKET
+    df: DataFrame, key: str, text: str, derive: Callable[[DataFrame], DataFrame] | None = None, rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
     """(key, text, derived columns, next) per row.
 
     ``next`` is a struct of the text and derived columns of the following row in
-    descending key order, after the last the first.  Derived columns are
-    computed once per row, before the rows move.
+    descending key order, after the last the first.  ``derive`` adds columns, once
+    per row, before the rows move.
 
     The order is cut into ranges of keys; each row goes to its range once, and
     the first row of every range also to the range before it, so no window
@@ -166,8 +174,10 @@ def beside_next(
         .dropDuplicates(["_to"])
         .select(key, text, F.col("_to").alias("_bucket"), "_tie", F.lit(True).alias("_extra"))
     )
-    both = marked.withColumn("_extra", F.lit(False)).unionByName(heads).withColumns(derived or {})
-    columns = [text, *(derived or {})]
+    both = marked.withColumn("_extra", F.lit(False)).unionByName(heads)
+    own = set(both.columns)
+    both = derive(both) if derive else both
+    columns = [text, *[c for c in both.columns if c not in own]]
     order = Window.partitionBy("_bucket").orderBy("_extra", F.col(key).desc_nulls_last(), F.col("_tie").desc())
     # column by column: a struct would be put together before the shuffle and carry the text twice
     beside = both.withColumns({f"_next_{c}": F.lead(c).over(order) for c in columns}).filter(~F.col("_extra"))
@@ -180,14 +190,10 @@ def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half))
-    rows = beside_next(docs, "doc_id", "text", {"sketch": sketches(F.col("text"))}).select(
-        "doc_id",
-        n.cast("bigint").alias("n_chars"),
-        "sketch",
-        F.col("next.sketch").alias("next_sketch"),
-        edited.alias("edited"),
+    rows = beside_next(docs, "doc_id", "text", lambda both: sketches(both, "text", "sketch")).select(
+        "doc_id", n.cast("bigint").alias("n_chars"), "sketch", F.col("next.sketch").alias("next_sketch"), edited.alias("edited")
     )
-    both = rows.select("*", sketches(F.col("edited")).alias("edited_sketch"), F.sha2("edited", 256).alias("edited_sha256"))
+    both = sketches(rows.withColumn("edited_sha256", F.sha2("edited", 256)), "edited", "edited_sketch", keep=False)
     return both.select(
         "doc_id",
         "n_chars",
