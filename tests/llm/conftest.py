@@ -6,6 +6,12 @@ import pytest
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 
+#: Names that the operators use for columns of their own.
+CLASHING = (
+    "_accepted", "_bucket", "_digest", "_doc", "_fp", "_id", "_kept", "_key", "_tie", "at", "group", "id", "label", "line", "n", "node",
+    "number", "pos", "rank", "row", "start", "word",
+)
+
 
 @pytest.fixture(scope="session")
 def prose():
@@ -23,9 +29,10 @@ def docs(spark, prose):
     """A documents table of (doc_id, text) pairs, with clashing extra columns."""
 
     def make(rows):
-        full = [(k, t, "en", f"src{(k or 0) % 3}" if k is None or k % 5 else None, len(t or ""), 1, 2, "x") for k, t in rows]
+        full = [(k, t, "en", f"src{(k or 0) % 3}" if k is None or k % 5 else None, len(t or ""), 1, 2, "x", *["y"] * len(CLASHING)) for k, t in rows]
+        clashing = ", ".join(f"`{c}` string" for c in CLASHING)
         return spark.createDataFrame(
-            full, "doc_id long, text string, lang string, source string, n_chars long, size int, fp int, `key` string"
+            full, f"doc_id long, text string, lang string, source string, n_chars long, size int, fp int, `key` string, {clashing}"
         )
 
     return make
