@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontaminate, fingerprints, html, langid, licenses, linededup, mixing, quality, secrets, simhash
+from millrace.llm import (
+    decontaminate,
+    fingerprints,
+    html,
+    langid,
+    licenses,
+    linededup,
+    merkle,
+    mixing,
+    packing,
+    quality,
+    secrets,
+    simhash,
+    spelling,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -19,10 +33,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_dedup": simhash.op8_simhash_dedup,
     "op9_order_minhash": fingerprints.op9_order_minhash,
     "op10_secret_scan": secrets.op10_secret_scan,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_packing": packing.op12_packing,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 ORACLES: dict[str, str] = {
     "op1_license_scan": licenses.SQL,
     "op2_line_dedup": linededup.SQL,
     "op5_benchmark_decontamination": decontaminate.SQL,
     "op6_source_mixing": mixing.SQL,
+    "op11_spelling_variants": spelling.SQL,
+    "op13_merkle_manifest": merkle.SQL,
 }
