@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.keys import order_hash
 from millrace.operators.prefix import hash_bucket
 from millrace.session import broadcast_if_small, join_null_safe, materialize
+from millrace.sources.readers import footer_count
 
 #: One budget for every group, budgets by name, or a table (group, target).
 Targets = Mapping[str, int] | int | DataFrame
@@ -128,10 +129,15 @@ def within_budget(
     return up_to_cut(df, cuts, group, order)
 
 
-def up_to_cut(df: DataFrame, cuts: DataFrame, group: str = "source", order: str = "order_key") -> DataFrame:
-    """Rows up to their group's cut key; ``cuts`` is a stored result of :func:`budget_cuts`."""
-    kept = join_null_safe(df, broadcast_if_small(cuts), [group]).filter(F.col(order) <= F.col("_cut"))
-    return kept.select(*df.columns)
+def up_to_cut(df: DataFrame, cuts: DataFrame, group: str = "source", order: str = "order_key", keep: Column | None = None) -> DataFrame:
+    """Rows up to their group's cut key; ``cuts`` is a stored result of :func:`budget_cuts`.
+
+    ``keep`` is a further, costly condition: it is looked at for rows up to the
+    cut only, as part of one expression that cannot move before the join.
+    """
+    below = F.col(order) <= F.col("_cut")
+    wanted = below if keep is None else F.when(below, keep).otherwise(F.lit(False))
+    return join_null_safe(df, broadcast_if_small(cuts), [group]).filter(wanted).select(*df.columns)
 
 
 def fraction_targets(total: int, fractions: Mapping[str, float], tolerance: float = 1e-3) -> dict[str, int]:
@@ -170,6 +176,42 @@ def availability(
     )
 
 
+def availability_of_files(
+    spark: SparkSession,
+    files: Mapping[tuple[str, ...], Sequence[str]],
+    group: Sequence[str],
+    tokens: Column,
+    valid: Column,
+    files_per_group: int = 1,
+) -> DataFrame:
+    """Tokens each group of files can supply, from a probe of its first files.
+
+    Only the probed files are opened beyond their footers; row counts of all come
+    from footers.  ``files`` lists each group's files in path order.  Beside the
+    mean of the valid rows stands its standard error, and how many rows it has.
+    """
+    probed = [f for names in files.values() for f in list(names)[:files_per_group]]
+    schema = ", ".join(f"`{g}` string" for g in group)
+    counted = [(*name, footer_count(spark, names).first()[0], list(names)[:files_per_group]) for name, names in files.items()]
+    groups = spark.createDataFrame(counted, f"{schema}, n_rows bigint, probed array<string>")
+
+    def plain(path: Column) -> Column:
+        # listings and scans write the slashes behind the scheme differently
+        return F.regexp_replace(path, "^([a-z0-9]+:)/+", "$1/")
+
+    owners = groups.select(*group, F.explode("probed").alias("_file")).withColumn("_file", plain(F.col("_file")))
+    if not probed:
+        return groups.drop("probed").select("*", *[F.lit(0.0).alias(c) for c in ("avg_tokens", "error")], *[F.lit(0).cast("bigint").alias(c) for c in ("probed_rows", "available")])
+    rows = spark.read.parquet(*probed).select(plain(F.col("_metadata.file_path")).alias("_file"), F.when(valid, tokens).alias("_n"))
+    # one row per probed file, bounded by groups times files of each
+    sums = rows.join(F.broadcast(owners), "_file").groupBy(*group).agg(
+        F.count("_n").alias("probed_rows"), F.coalesce(F.avg("_n"), F.lit(0.0)).alias("avg_tokens"),
+        F.coalesce(F.stddev_samp("_n") / F.sqrt(F.count("_n")), F.lit(0.0)).alias("error"),
+    )
+    whole = join_null_safe(groups.drop("probed"), sums, list(group), "left").fillna(0, ["probed_rows", "avg_tokens", "error"])
+    return whole.withColumn("available", F.floor(F.col("n_rows") * F.col("avg_tokens")).cast("bigint"))
+
+
 def balanced_targets(avail: DataFrame, group: str, total: int, available: str = "available") -> DataFrame:
     """(group, target_tokens): equal shares, where no group gets more than it has.
 

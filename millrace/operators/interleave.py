@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.prefix import hash_bucket, with_running_totals
-from millrace.session import broadcast_if_small, materialize
+from millrace.session import broadcast_if_small, join_null_safe, materialize
 
 CHUNK = 10_000
 
@@ -19,7 +19,7 @@ def round_robin(
 ) -> DataFrame:
     """One row of each subset in turn until the longest subset ends.
 
-    Subsets take turns in name order; a subset that runs out starts over, so
+    Subsets take turns in name order, null first; a subset that runs out starts over, so
     the result has (number of subsets) x (rows of the longest) rows.  Adds
     ``turn`` (round), ``subset_index`` and ``position`` (overall order).
 
@@ -39,7 +39,7 @@ def round_robin(
         F.count("*").over(every).alias("_subsets"),
         (F.row_number().over(Window.orderBy(subset)) - 1).alias("subset_index"),
     )
-    rows = numbered.join(broadcast_if_small(materialize(sizes)), subset)
+    rows = join_null_safe(numbered, broadcast_if_small(materialize(sizes)), [subset])
     last_repeat = F.floor((F.col("_longest") - 1 - F.col("_i")) / F.col("_n"))
     chunks = F.sequence(F.lit(0).cast("bigint"), F.floor(last_repeat / CHUNK))
     spread = (

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.keys import order_hash, unit_hash
 from millrace.functions.text import col, has_text
+from millrace.operators.prefix import ROWS_PER_BUCKET, range_bounds, range_bucket
 
 MIN_TOKENS = 32
 MAX_TOKENS = 8192
@@ -60,11 +61,75 @@ def first_seeds(df: DataFrame, n: int, seed_col: str = "seed") -> DataFrame:
     return df.filter(F.col(seed_col) < n)
 
 
-def ordered_slice(df: DataFrame, order: Sequence[str], start: int, n: int | None = None) -> DataFrame:
-    """Rows ``[start, start + n)`` in ``order``; both ends are clamped to the data."""
-    out = df.orderBy(*order)
-    out = out.offset(start) if start else out
-    return out if n is None else out.limit(n)
+def _above_or_null(name: str, value: object) -> tuple[Column, Column]:
+    """Whether a column is before the value (null first), and whether it equals it."""
+    column = F.col(f"`{name}`")
+    before = F.lit(False) if value is None else column.isNull() | (column < F.lit(value))
+    return before, column.eqNullSafe(F.lit(value))
+
+
+def _cut(df: DataFrame, order: Sequence[str], rank: int, rows_per_bucket: int) -> tuple[Column, Column, int] | None:
+    """Predicates of the rows before the ``rank``-th one and of those that tie with it, and how many ties are within the rank.
+
+    Key by key: counts per range find the range, counts per value inside that
+    range find the value.  None if there are fewer rows.
+    """
+    rows, before, equal = df.select(*order), F.lit(False), F.lit(True)
+    for name in order:
+        bucket = range_bucket(F.col(f"`{name}`"), range_bounds(rows, name, rows_per_bucket))
+        # at most one row per range
+        counts = sorted(tuple(r) for r in rows.groupBy(bucket.alias("b")).agg(F.count("*")).collect())
+        found = None
+        for b, n in counts:
+            if rank <= n:
+                found = b
+                break
+            rank -= n
+        if found is None:
+            return None
+        inside = rows.filter(bucket == found)
+        values = inside.groupBy(F.col(f"`{name}`").alias("v")).agg(F.count("*").alias("n"))
+        # the values of one range, whose rows are bounded
+        upto = Window.partitionBy(F.lit(0)).orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+        value, n, upper = values.withColumn("upper", F.sum("n").over(upto)).filter(F.col("upper") >= rank).orderBy("upper").first()
+        rank -= upper - n
+        less, same = _above_or_null(name, value)
+        before, equal = before | (equal & less), equal & same
+        if n == 1:
+            break
+        rows = rows.filter(same)
+    return before, equal, rank
+
+
+def ordered_slice(df: DataFrame, order: Sequence[str], start: int, n: int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Rows ``[start, start + n)`` in ``order`` (null first), as a set; both ends are clamped to the data.
+
+    The keys of both ends are found first, from counts per range and per value,
+    so the result is a filter: no row moves, whatever ``start`` and ``n`` are.
+    Only rows whose whole order key is that of an end, if repeated, are counted out.
+    """
+    if n is not None and n <= 0:
+        return df.limit(0)
+    low = _cut(df, order, start, rows_per_bucket) if start > 0 else (F.lit(False), F.lit(False), 0)
+    if low is None:
+        return df.limit(0)
+    high = None if n is None else _cut(df, order, max(0, start) + n, rows_per_bucket)
+    beyond_low, at_low, skipped = ~low[0] & ~low[1], low[1], low[2]
+    if high is None:
+        inner, at_high, taken = df.filter(beyond_low), F.lit(False), 0
+    else:
+        inner, at_high, taken = df.filter(beyond_low & high[0]), high[1] & beyond_low, high[2]
+    # ties of the ends: usually one row, that of a unique key
+    first = df.filter(at_low)
+    if start > 0:
+        ties = first.count()
+        if high is not None and not df.filter(at_low & high[1]).isEmpty():
+            return first.limit(taken - skipped)  # both ends lie in one group of ties
+        inner = inner.unionByName(first.limit(ties - skipped)) if ties > skipped else inner
+    if high is None:
+        return inner
+    ties = df.filter(at_high)
+    return inner.unionByName(ties if ties.count() == taken else ties.limit(taken))
 
 
 def head(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
@@ -73,10 +138,11 @@ def head(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
 
 
 def random_rows(df: DataFrame, key: str, n: int | None, seed: int) -> DataFrame:
-    """``n`` rows by seeded hash order; everything when ``n`` is unset."""
+    """``n`` rows by seeded hash order, as a set; everything when ``n`` is unset."""
     if n is None:
         return df
-    return df.orderBy(order_hash(key, seed), F.col(key)).limit(n)
+    hashed = df.withColumn("_order", order_hash(key, seed))
+    return ordered_slice(hashed, ["_order", key], 0, n).drop("_order")
 
 
 def first_candidates(df: DataFrame, n: int, candidate: str = "completion_id") -> DataFrame:

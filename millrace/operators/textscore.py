@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.stem import nested_stems, stems
 from millrace.functions.text import col, strip, words
 
 MAX_ORDER = 4
@@ -127,38 +130,54 @@ def sentence_bleu(
     text: str = "text",
     rule: str = "shortest",
     ref_no: str | None = None,
+    order: str | None = None,
 ) -> DataFrame:
-    """(key, bleu) for every key in both tables; ``ref_no`` tells several references apart."""
-    hyp = predictions.select(key, normalized_words(scored_text(text)).alias("_w"))
-    ref = references.select(
-        key,
-        (F.col(ref_no) if ref_no else F.lit(0)).alias("ref_no"),
-        normalized_words(scored_text(text)).alias("_w"),
-    )
-    lengths = ref.groupBy(key).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("ref_no", F.size("_w").cast("bigint").alias("len")))),
-            lambda x: x["len"],
-        ).alias("_lens")
-    )
+    """(key, bleu) for every key in both tables.
+
+    Of several predictions of a key the last one in ``order`` counts (without it,
+    the last in text order).  Several references of a key are all references, in
+    the order of ``ref_no`` or of their texts.
+    """
+    chosen = F.max_by(text, order) if order else F.max(text)
+    hyp = predictions.groupBy(key).agg(chosen.alias("_t")).select(key, normalized_words(scored_text("_t")).alias("_w"))
+    number = F.row_number().over(Window.partitionBy(key).orderBy(*([ref_no] if ref_no else []), text)) - 1
+    ref = references.select(key, number.alias("ref_no"), normalized_words(scored_text(text)).alias("_w"))
+    sized = ref.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ref_no", F.size("_w").cast("bigint").alias("len")))).alias("_refs"))
+    lengths = sized.select(key, F.transform("_refs", lambda x: x["len"]).alias("_lens"))
     matches = clipped_matches(hyp, ref, key, "_w")
     wide = matches.groupBy(key).agg(
         *[F.sum(F.when(F.col("n") == n, F.col("matches"))).alias(f"_m{n}") for n in range(1, MAX_ORDER + 1)]
     )
-    scored = (
-        hyp.select(key, F.size("_w").cast("bigint").alias("_len"))
-        .join(lengths, key)
-        .join(wide, key, "left")
-        .select(
-            key,
-            smoothed_bleu(
-                [F.coalesce(f"_m{n}", F.lit(0)) for n in range(1, MAX_ORDER + 1)],
-                F.col("_len"),
-                reference_length(F.col("_lens"), F.col("_len"), rule),
-            ).alias("bleu"),
-        )
+    joined = hyp.select(key, F.size("_w").cast("bigint").alias("_len")).join(lengths, key).join(wide, key, "left")
+    return joined.select(key, _bleu(reference_length(F.col("_lens"), F.col("_len"), rule)))
+
+
+def _bleu(ref_length: Column) -> Column:
+    hits = [F.coalesce(f"_m{n}", F.lit(0)) for n in range(1, MAX_ORDER + 1)]
+    return smoothed_bleu(hits, F.col("_len"), ref_length).alias("bleu")
+
+
+def pair_bleu(df: DataFrame, key: str, predicted: str, expected: str) -> DataFrame:
+    """(key, bleu) for pairs that sit in one row each, ``key`` being unique.
+
+    Both sides' n-grams leave the row together and are counted and clipped where
+    they arrive: one shuffle and no join.
+    """
+
+    def grams(side: int, words_of: str) -> list[Column]:
+        return [F.struct(F.lit(side).alias("side"), F.lit(n).alias("n"), _grams(F.col(words_of), n).alias("grams")) for n in range(1, MAX_ORDER + 1)]
+
+    toks = df.select(key, normalized_words(scored_text(predicted)).alias("_p"), normalized_words(scored_text(expected)).alias("_e"))
+    # an empty gram of order 0 carries the lengths
+    sizes = F.struct(F.lit(2).alias("side"), F.lit(0).alias("n"), F.array(F.lit("")).alias("grams"))
+    sides = toks.repartition(key).select(
+        key, F.size("_p").cast("bigint").alias("_len"), F.size("_e").cast("bigint").alias("_ref"), F.explode(F.array(sizes, *grams(0, "_p"), *grams(1, "_e"))).alias("_s")
     )
-    return scored
+    rows = sides.select(key, "_len", "_ref", F.col("_s.side").alias("side"), F.col("_s.n").alias("n"), F.explode("_s.grams").alias("gram"))
+    counted = rows.groupBy(key, "_len", "_ref", "n", "gram").agg(F.count_if(F.col("side") == 0).alias("p"), F.count_if(F.col("side") == 1).alias("e"))
+    hits = [F.sum(F.when(F.col("n") == n, F.least("p", "e")).otherwise(0)).alias(f"_m{n}") for n in range(1, MAX_ORDER + 1)]
+    sums = counted.groupBy(key, "_len", "_ref").agg(*hits)
+    return sums.select(key, _bleu(F.col("_ref").cast("double")))
 
 
 def corpus_bleu(sentence_scores: DataFrame) -> DataFrame:
@@ -166,9 +185,10 @@ def corpus_bleu(sentence_scores: DataFrame) -> DataFrame:
     return sentence_scores.agg((F.avg("bleu") * 100.0).alias("bleu"), F.count("*").alias("sentences"))
 
 
-def rouge_words(text: Column | str) -> Column:
-    """Lower-cased runs of ASCII letters and digits."""
-    return F.regexp_extract_all(F.lower(col(text)), F.lit("([a-z0-9]+)"), 1)
+def rouge_words(text: Column | str, stemmed: bool = False) -> Column:
+    """Lower-cased runs of ASCII letters and digits; words of more than three letters as their stems if asked."""
+    found = F.regexp_extract_all(F.lower(col(text)), F.lit("([a-z0-9]+)"), 1)
+    return stems(found) if stemmed else found
 
 
 def f_measure(hits: Column, predicted: Column, expected: Column) -> Column:
@@ -176,13 +196,13 @@ def f_measure(hits: Column, predicted: Column, expected: Column) -> Column:
     return F.when(hits > 0, hits * 2.0 / (predicted + expected)).otherwise(0.0)
 
 
-def rouge_n(df: DataFrame, key: str, predicted: str, expected: str, n: int) -> DataFrame:
+def rouge_n(df: DataFrame, key: str, predicted: str, expected: str, n: int, stemmed: bool = False) -> DataFrame:
     """(key, f) for n-gram overlap; one shuffle of the pairs to their key."""
+    toks = df.repartition(key).select(key, rouge_words(predicted, stemmed).alias("_p"), rouge_words(expected, stemmed).alias("_e"))
     sides = F.array(
-        F.struct(F.lit(0).alias("ref"), _grams(rouge_words(predicted), n).alias("g")),
-        F.struct(F.lit(1).alias("ref"), _grams(rouge_words(expected), n).alias("g")),
+        F.struct(F.lit(0).alias("ref"), _grams(F.col("_p"), n).alias("g")), F.struct(F.lit(1).alias("ref"), _grams(F.col("_e"), n).alias("g"))
     )
-    per_side = df.repartition(key).select(key, F.explode(sides).alias("_s"))
+    per_side = toks.select(key, F.explode(sides).alias("_s"))
     rows = per_side.select(key, F.col("_s.ref").alias("ref"), F.explode_outer("_s.g").alias("gram"))
     counted = rows.groupBy(key, "gram").agg(
         F.count_if((F.col("ref") == 0) & F.col("gram").isNotNull()).alias("p"),
@@ -213,43 +233,62 @@ def _lcs(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         yield pa.array([_lcs_length(a or [], b or []) for a, b in zip(left.to_pylist(), right.to_pylist())], pa.int64())
 
 
+def _subsequence_places(expected: list[str], predicted: list[str]) -> set[int]:
+    """Places in ``expected`` of one longest common subsequence, found from the ends backwards.
+
+    Bit rows are kept only every so often; the rows between two kept ones are
+    computed again when the way back comes there, so memory grows with the
+    square root of the predicted words.
+    """
+    places: dict[str, int] = {}
+    for i, w in enumerate(expected):
+        places[w] = places.get(w, 0) | (1 << i)
+    full = (1 << len(expected)) - 1
+
+    def after(row: int, w: str) -> int:
+        hit = row & places.get(w, 0)
+        return ((row + hit) | (row - hit)) & full
+
+    stride = math.isqrt(len(predicted)) + 1
+    kept, row = [full], full
+    for j, w in enumerate(predicted, 1):
+        row = after(row, w)
+        if j % stride == 0:
+            kept.append(row)
+    used: set[int] = set()
+    i, j = len(expected), len(predicted)
+    while i and j:
+        start = (j - 1) // stride * stride
+        rows = [kept[start // stride]]
+        for w in predicted[start:j]:
+            rows.append(after(rows[-1], w))
+
+        def common(i: int, j: int) -> int:
+            return i - (rows[j - start] & ((1 << i) - 1)).bit_count()
+
+        while i and j > start:
+            if expected[i - 1] == predicted[j - 1]:
+                used.add(i - 1)
+                i, j = i - 1, j - 1
+            elif common(i, j - 1) > common(i - 1, j):
+                j -= 1
+            else:
+                i -= 1
+    return used
+
+
 def _union_hits(expected: list[list[str]], predicted: list[list[str]]) -> int:
     """Words of each expected sentence that lie on a common subsequence with any predicted one."""
-    left_e: dict[str, int] = {}
-    left_p: dict[str, int] = {}
-    for side, left in ((expected, left_e), (predicted, left_p)):
-        for sentence in side:
-            for w in sentence:
-                left[w] = left.get(w, 0) + 1
+    left_e = Counter(w for sentence in expected for w in sentence)
+    left_p = Counter(w for sentence in predicted for w in sentence)
     hits = 0
     for e in expected:
         used: set[int] = set()
         for p in predicted:
-            # Bit rows of every prefix of p, walked back from the end.
-            places: dict[str, int] = {}
-            for i, w in enumerate(e):
-                places[w] = places.get(w, 0) | (1 << i)
-            full = (1 << len(e)) - 1
-            rows = [full]
-            for w in p:
-                hit = rows[-1] & places.get(w, 0)
-                rows.append(((rows[-1] + hit) | (rows[-1] - hit)) & full)
-
-            def common(i: int, j: int) -> int:
-                return i - bin(rows[j] & ((1 << i) - 1)).count("1")
-
-            i, j = len(e), len(p)
-            while i and j:
-                if e[i - 1] == p[j - 1]:
-                    used.add(i - 1)
-                    i, j = i - 1, j - 1
-                elif common(i, j - 1) > common(i - 1, j):
-                    j -= 1
-                else:
-                    i -= 1
+            used |= _subsequence_places(e, p)
         for i in sorted(used):
             w = e[i]
-            if left_e.get(w, 0) > 0 and left_p.get(w, 0) > 0:
+            if left_e[w] > 0 and left_p[w] > 0:
                 left_e[w] -= 1
                 left_p[w] -= 1
                 hits += 1
@@ -264,19 +303,20 @@ def _summary_hits(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Arr
         )
 
 
-def rouge_l(df: DataFrame, key: str, predicted: str, expected: str) -> DataFrame:
+def rouge_l(df: DataFrame, key: str, predicted: str, expected: str, stemmed: bool = False) -> DataFrame:
     """(key, rougeL): F-measure over the longest common word subsequence."""
-    toks = df.select(key, rouge_words(predicted).alias("_p"), rouge_words(expected).alias("_e"))
+    toks = df.select(key, rouge_words(predicted, stemmed).alias("_p"), rouge_words(expected, stemmed).alias("_e"))
     hits = _lcs(F.col("_p"), F.col("_e"))
     sized = toks.select(key, hits.alias("_h"), F.size("_p").alias("_np"), F.size("_e").alias("_ne"))
     return sized.select(key, f_measure(F.col("_h"), F.col("_np"), F.col("_ne")).alias("rougeL"))
 
 
-def rouge_lsum(df: DataFrame, key: str, predicted: str, expected: str) -> DataFrame:
+def rouge_lsum(df: DataFrame, key: str, predicted: str, expected: str, stemmed: bool = False) -> DataFrame:
     """(key, rougeLsum): as rougeL with lines as sentences and the union of their subsequences."""
 
     def sentences(c: str) -> Column:
-        return F.transform(F.split(F.col(c), "\n"), rouge_words)
+        found = F.transform(F.split(F.col(c), "\n"), lambda line: rouge_words(line))
+        return nested_stems(found) if stemmed else found
 
     def size(c: str) -> Column:
         return F.aggregate(c, F.lit(0), lambda a, s: a + F.size(s))
@@ -286,8 +326,9 @@ def rouge_lsum(df: DataFrame, key: str, predicted: str, expected: str) -> DataFr
     return sized.select(key, f_measure(F.col("_h"), F.col("_np"), F.col("_ne")).alias("rougeLsum"))
 
 
-def rouge(df: DataFrame, key: str, predicted: str, expected: str) -> DataFrame:
-    """Mean ROUGE-1, -2, -L and -Lsum times 100 (without stemming)."""
-    scores = rouge_n(df, key, predicted, expected, 1).join(rouge_n(df, key, predicted, expected, 2), key)
-    scores = scores.join(rouge_l(df, key, predicted, expected), key).join(rouge_lsum(df, key, predicted, expected), key)
+def rouge(df: DataFrame, key: str, predicted: str, expected: str, stemmed: bool = True) -> DataFrame:
+    """Mean ROUGE-1, -2, -L and -Lsum times 100, on stems unless told otherwise."""
+    scores = rouge_n(df, key, predicted, expected, 1, stemmed).join(rouge_n(df, key, predicted, expected, 2, stemmed), key)
+    scores = scores.join(rouge_l(df, key, predicted, expected, stemmed), key)
+    scores = scores.join(rouge_lsum(df, key, predicted, expected, stemmed), key)
     return scores.agg(*[(F.avg(c) * 100.0).alias(c) for c in ("rouge1", "rouge2", "rougeL", "rougeLsum")])

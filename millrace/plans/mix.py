@@ -33,13 +33,8 @@ class SourceInput:
     key: str
 
 
-def source_documents(
-    item: SourceInput,
-    seed: int,
-    low: int = select.MIN_TOKENS,
-    high: int | None = None,
-) -> DataFrame:
-    """One source up to its gate: language filter, subsample, extraction, length filter.
+def source_candidates(item: SourceInput, seed: int) -> DataFrame:
+    """One source up to its length filter: language filter, subsample, extraction.
 
     The cheap filters on raw columns come first in the plan; the order key is
     a seeded shuffle of the source's own row ids.
@@ -51,12 +46,21 @@ def source_documents(
     if spec.keep_prob < 1.0:
         raw = raw.filter(select.sampled(item.key, seed, spec.keep_prob))
     docs = extract(raw, spec, F.col(item.key).cast("string"))
-    docs = docs.filter(has_text("text") & select.within_length("est_tokens", low, high))
     # A row id is unique inside its source only; doc_key is unique in the mix.
     named = docs.withColumn("doc_key", F.concat_ws("/", "source", "key"))
     return named.withColumn("order_key", order_hash("doc_key", seed))
 
 
+def source_documents(
+    item: SourceInput,
+    seed: int,
+    low: int = select.MIN_TOKENS,
+    high: int | None = None,
+) -> DataFrame:
+    """One source up to its gate."""
+    return source_candidates(item, seed).filter(has_text("text") & select.within_length("est_tokens", low, high))
+
+
 def build_mix(
     sources: Sequence[SourceInput],
     targets: Mapping[str, int],
@@ -65,13 +69,21 @@ def build_mix(
     high: int | None = None,
     mode: str = "cross",
 ) -> DataFrame:
-    """All funded sources, each cut at its token budget, as one table and one plan."""
+    """All funded sources, each cut at its token budget, as one table and one plan.
+
+    Words are counted once per candidate, on the way to a narrow table from which
+    the cuts follow; in the pass over the texts only rows up to the cut are
+    counted again, for the length filter and the token column.
+    """
     wanted = select.funded(targets)
-    parts = [source_documents(s, seed, low, high) for s in sources if s.spec.name in wanted]
+    parts = [source_candidates(s, seed) for s in sources if s.spec.name in wanted]
     if not parts:
         raise ValueError("no source has a budget")
     union = reduce(DataFrame.unionByName, parts)
-    return budget.within_budget(union, wanted, mode=mode)
+    counted = materialize(union.filter(has_text("text")).select("source", "order_key", "est_tokens"))
+    long_enough = select.within_length("est_tokens", low, high)
+    cuts = materialize(budget.budget_cuts(counted.filter(long_enough), wanted, mode=mode))
+    return budget.up_to_cut(union, cuts, keep=has_text("text") & long_enough)
 
 
 def group_key(*columns: str) -> Column:

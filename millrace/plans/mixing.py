@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from millrace.functions.keys import order_hash
@@ -32,7 +34,8 @@ from millrace.plans.registry import (
     table,
     token_documents,
 )
-from millrace.session import materialize
+from millrace.session import ensure_checkpoint_dir, materialize
+from millrace.sources import writers
 
 GATE_TARGET = 20_000
 REPORT_TARGETS = budget.fraction_targets(60_000, {"src0": 0.5, "src1": 0.25, "src2": 0.25}) | {
@@ -151,6 +154,21 @@ def round_robin(spark, sf_dir):
     )
 
 
+@query(f"""
+WITH subsets AS (SELECT doc_id, nullif(lang, 'fr') AS lang FROM documents),
+numbered AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {sql_order('doc_id', 42)}) - 1 AS i,
+  count(*) OVER (PARTITION BY lang) AS n FROM subsets),
+sizes AS (SELECT lang, max(n) AS n, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS subset_index FROM numbered GROUP BY lang),
+turns AS (SELECT lang, n, subset_index, unnest(range((SELECT max(n) FROM sizes))) AS turn FROM sizes)
+SELECT t.turn * (SELECT count(*) FROM sizes) + t.subset_index AS position, t.turn, t.subset_index, d.doc_id, d.lang
+FROM turns t JOIN numbered d ON d.lang IS NOT DISTINCT FROM t.lang AND d.i = t.turn % t.n""")
+def round_robin_null_subset(spark, sf_dir):
+    """A null subset takes turns like any other."""
+    d = keyed_documents(spark, sf_dir).select("doc_id", F.nullif("lang", F.lit("fr")).alias("lang"), "order_key")
+    out = interleave.round_robin(d, "lang", "order_key")
+    return out.select("doc_id", "lang", "turn", F.col("subset_index").cast("bigint").alias("subset_index"), "position")
+
+
 def turn_pairs(spark, sf_dir):
     """Each user turn with the assistant's answer that follows it."""
     c = table(spark, sf_dir, "conversations")
@@ -221,11 +239,21 @@ def mixed_corpus(spark, sf_dir):
     return mix.select("source", "key", "est_tokens", "text", shown.alias("m"))
 
 
+FUNDED_SQL = ", ".join(f"('{name}', {target})" for name, target in sorted(MIX_TARGETS.items()) if target > 0)
+
+
 @query(f"""
-WITH {MIX_SQL} SELECT 42 AS seed, 32 AS min_tokens_per_record, CAST(sum(est_tokens) AS BIGINT) AS tokens_written FROM mix""")
+WITH {MIX_SQL}, planned AS (SELECT * FROM (VALUES {FUNDED_SQL}) t(source, target)),
+written AS (SELECT p.source, p.target, CAST(coalesce(sum(m.est_tokens), 0) AS BIGINT) AS tokens FROM planned p LEFT JOIN mix m ON m.source = p.source GROUP BY ALL)
+SELECT 42 AS seed, 32 AS min_tokens_per_record, CAST(sum(tokens) AS BIGINT) AS tokens_written,
+  string_agg(source || ':' || target || ':' || tokens, ',' ORDER BY source) AS sources FROM written""")
 def run_manifest(spark, sf_dir):
-    mix = build_mix(mix_sources(spark, sf_dir), MIX_TARGETS)
-    return manifest(mix, MIX_TARGETS, 42).select("seed", "min_tokens_per_record", "tokens_written")
+    """The manifest as it is written to its file and read back."""
+    path = f"{ensure_checkpoint_dir(spark)}/manifest-{uuid.uuid4().hex}"
+    writers.write_manifest(manifest(build_mix(mix_sources(spark, sf_dir), MIX_TARGETS), MIX_TARGETS, 42), path)
+    schema = "seed int, min_tokens_per_record int, tokens_written bigint, sources array<struct<source: string, target_tokens: bigint, written_tokens: bigint>>"
+    shown = F.transform("sources", lambda s: F.concat_ws(":", s["source"], s["target_tokens"].cast("string"), s["written_tokens"].cast("string")))
+    return spark.read.schema(schema).json(path).select("seed", "min_tokens_per_record", "tokens_written", F.array_join(shown, ",").alias("sources"))
 
 
 PAIR_TOKENS = f"CAST(trunc(({sql_words('asked')} + {sql_words('answered')} + 5) * 1.5) AS BIGINT)"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.bytepair import byte_pair_file, byte_symbols
 from millrace.functions.encoders import Encoder, code_points
 from millrace.functions.text import has_text
 from millrace.operators import instruct, pack, profile
@@ -83,6 +84,46 @@ def encoded_ids(spark, sf_dir):
     return encoded_documents(spark, sf_dir).select("doc_id", joined("input_ids").alias("input_ids"))
 
 
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the public tokenizer files lie; every machine has them at the same place."""
+    try:
+        import public_tokenizers
+    except ImportError:
+        return f"/opt/tokenizers/{name}"
+    return str(public_tokenizers.path(name))
+
+
+SYMBOLS_SQL = ", ".join("'" + s.replace("'", "''") + "'" for s in byte_symbols())
+PIECES_SQL = r"''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}\x01]+|\s+"
+
+
+@query(rf"""
+WITH RECURSIVE model AS MATERIALIZED (
+  SELECT model FROM read_json('{vocabulary_path()}', columns = {{'model': 'STRUCT(vocab MAP(VARCHAR, INTEGER), merges VARCHAR[][])'}}, maximum_object_size = 100000000)),
+merges AS MATERIALIZED (SELECT m[1] AS l, m[2] AS r, rank FROM (SELECT unnest(model.merges) AS m, generate_subscripts(model.merges, 1) AS rank FROM model)),
+tokens AS MATERIALIZED (SELECT e.key AS token, e.value AS id FROM (SELECT unnest(map_entries(model.vocab)) AS e FROM model)),
+cut AS (SELECT doc_id, regexp_extract_all(regexp_replace(text, '(\s+)(\s\S)', '\1' || chr(1) || '\2', 'g'), '{PIECES_SQL}') AS p FROM documents WHERE text <> ''),
+pieces AS MATERIALIZED (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS place FROM cut),
+work AS (
+  SELECT piece, 0 AS step, list_transform(range(0, octet_length(encode(piece))),
+    lambda i: [{SYMBOLS_SQL}][CAST('0x' || substr(hex(encode(piece)), CAST(2 * i + 1 AS INTEGER), 2) AS INTEGER) + 1]) AS syms
+  FROM (SELECT DISTINCT piece FROM pieces)
+  UNION ALL
+  SELECT piece, step + 1, list_concat(list_concat(syms[1:best.p - 1], [syms[best.p] || syms[best.p + 1]]), syms[best.p + 2:])
+  FROM (SELECT a.piece, a.step, a.syms, min({{'rank': m.rank, 'p': a.p}}) AS best
+    FROM (SELECT piece, step, syms, unnest(range(1, len(syms))) AS p FROM work) a JOIN merges m ON m.l = a.syms[a.p] AND m.r = a.syms[a.p + 1] GROUP BY ALL)),
+merged AS (SELECT piece, arg_max(syms, step) AS syms FROM work GROUP BY piece),
+parts AS (SELECT piece, unnest(syms) AS token, generate_subscripts(syms, 1) AS k FROM merged),
+ids AS (SELECT piece, list(id ORDER BY k) AS ids FROM parts JOIN tokens USING (token) GROUP BY piece)
+SELECT doc_id, CAST(sum(len(ids)) AS BIGINT) AS n_ids, string_agg(array_to_string(ids, ','), ',' ORDER BY place) AS input_ids
+FROM pieces JOIN ids USING (piece) GROUP BY doc_id""")
+def byte_pair_ids(spark, sf_dir):
+    encoder = byte_pair_file(spark, f"file://{vocabulary_path()}", eos=50_256)
+    d = spread_small(table(spark, sf_dir, "documents").filter(has_text("text")).select("doc_id", "text"))
+    ids = d.select("doc_id", encoder("text").alias("input_ids"))
+    return ids.select("doc_id", F.size("input_ids").cast("bigint").alias("n_ids"), joined("input_ids").alias("input_ids"))
+
+
 @query(f"""
 WITH {BLOCKS_SQL} SELECT block_id, input_ids, repeat('1,', {BLOCK - 1}) || '1' AS attention_mask, input_ids AS labels FROM blocks""")
 def pack_blocks(spark, sf_dir):

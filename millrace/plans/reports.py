@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from millrace.functions.text import estimate_tokens, estimate_pair_tokens, first_present, word_count
-from millrace.operators import profile, select
+from millrace.operators import passk, profile, prompts, select
 from millrace.operators.extract import (
     code_meta,
     code_text,
@@ -26,6 +28,8 @@ from millrace.plans.registry import (
     table,
     token_documents,
 )
+from millrace.session import ensure_checkpoint_dir
+from millrace.sources import readers, writers
 
 PERCENTILES_SQL = """
   round(quantile_cont(est_tokens, 0.25), 6) AS p25, round(quantile_cont(est_tokens, 0.5), 6) AS p50,
@@ -260,3 +264,65 @@ SELECT rows_before, rows_after, rows_before - rows_after AS rows_dropped,
 def length_filter_report(spark, sf_dir):
     d = token_documents(spark, sf_dir)
     return rounded(profile.before_after(d, d.filter(select.within_length())), "dropped_pct")
+
+@query(f"""
+WITH s AS (SELECT source, count(*) AS n FROM documents GROUP BY source), {TOKEN_DOCS}
+SELECT (SELECT CAST(sum(ceil(n / 20)) AS BIGINT) FROM s) AS shards, count(*) AS records, CAST(sum(est_tokens) AS BIGINT) AS tokens FROM docs""")
+def shard_totals(spark, sf_dir):
+    """Totals of a folder of shards: its files, their records and tokens."""
+    path = f"{ensure_checkpoint_dir(spark)}/totals-{uuid.uuid4().hex}"
+    writers.write_shards(mixed_documents(spark, sf_dir), path, records=20, order="order_key")
+    return profile.dataset_totals(readers.read_shards(spark, path), readers.shard_name())
+
+
+@query(f"""
+SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY {sql_order("(l_orderkey * 10 + l_linenumber)", 77)} LIMIT (SELECT count(*) // 2 FROM lineitem)""")
+def half_of_all_rows(spark, sf_dir):
+    """As many random rows as half the table has: a filter, whatever their number."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key"))
+    return select.random_rows(lines, "key", lines.count() // 2, 77).drop("key")
+
+
+@query("SELECT doc_id, source FROM documents ORDER BY source, lang, doc_id LIMIT 70 OFFSET 33")
+def slice_by_several_keys(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    return select.ordered_slice(d, ["source", "lang", "doc_id"], 33, 70).select("doc_id", "source")
+
+
+@query("""
+SELECT doc_id, 'completion' AS mode, 'mixed prompt modes: [''completion'', ''infilling'']' AS refused FROM documents WHERE doc_id % 3 = 0""")
+def one_prompt_mode(spark, sf_dir):
+    """Rows of one mode pass; the whole table, which mixes two, is refused."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "completion").otherwise("infilling").alias("mode"))
+    try:
+        prompts.require_one_mode(d, "mode")
+        refused = ""
+    except ValueError as e:
+        refused = str(e)
+    return prompts.require_one_mode(d.filter(F.col("doc_id") % 3 == 0), "mode").withColumn("refused", F.lit(refused))
+
+
+@query("""
+SELECT event_type, user_id, count(*) AS n, (SELECT count(*) > count(DISTINCT (event_type, user_id)) FROM events) AS refused FROM events GROUP BY ALL""")
+def unique_seeds(spark, sf_dir):
+    """Keys that occur once pass; repeated ones are refused."""
+    e = table(spark, sf_dir, "events").select("event_type", "user_id", "event_id")
+    passk.require_unique_seeds(e, ["event_type", "user_id", "event_id"])
+    try:
+        passk.require_unique_seeds(e, ["event_type", "user_id"])
+        refused = False
+    except ValueError:
+        refused = True
+    return e.groupBy("event_type", "user_id").agg(F.count("*").alias("n")).withColumn("refused", F.lit(refused))
+
+
+@query("SELECT lang, count(*) AS records, 'the step produced 0 documents' AS refused FROM documents GROUP BY lang")
+def required_rows(spark, sf_dir):
+    """A step with rows passes, one without is refused."""
+    d = table(spark, sf_dir, "documents").select("lang")
+    try:
+        profile.require_rows(d.filter("lang = 'none'"), "documents")
+        refused = ""
+    except ValueError as e:
+        refused = str(e)
+    return profile.require_rows(d, "documents").groupBy("lang").agg(F.count("*").alias("records")).withColumn("refused", F.lit(refused))

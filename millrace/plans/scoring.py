@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions.encoders import code_points
+from millrace.functions.stem import sql_stems
 from millrace.operators import passk, status, textscore, tokenscore
 from millrace.plans.mixing import TURN_PAIRS, turn_pairs
 from millrace.plans.registry import joined, query, rounded, table
@@ -271,9 +272,7 @@ bleu AS (SELECT t.pair_id, exp(logs + least(0, 1 - (len(r) + 1.0) / (len(h) + 1.
 
 def pair_bleu(spark, sf_dir):
     p = scored_pairs(spark, sf_dir)
-    return textscore.sentence_bleu(
-        p.select("pair_id", F.col("answered").alias("text")), p.select("pair_id", F.col("asked").alias("text")), "pair_id"
-    )
+    return textscore.pair_bleu(p, "pair_id", "answered", "asked")
 
 
 @query(f"WITH {BLEU_SQL} SELECT pair_id, round(bleu, 6) AS bleu FROM bleu")
@@ -316,9 +315,88 @@ def rouge_bigrams(spark, sf_dir):
     return rounded(textscore.rouge_n(scored_pairs(spark, sf_dir), "pair_id", "answered", "asked", 2), "rouge2")
 
 
-@query()
+STEMMED_SQL = f"""{TURN_PAIRS}, given AS (SELECT conv_id * 1000 + turn AS pair_id, 'p' AS side, answered AS text FROM pairs UNION ALL SELECT conv_id * 1000 + turn, 'e', asked FROM pairs),
+lines AS (SELECT pair_id, side, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS s FROM given),
+line_words AS (SELECT pair_id, side, s, regexp_extract_all(lower(line), '[a-z0-9]+') AS w FROM lines),
+rouge_words AS (SELECT pair_id, side, s, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM line_words),
+long_words AS (SELECT DISTINCT word FROM rouge_words WHERE length(word) > 3), {sql_stems('long_words')},
+toks AS MATERIALIZED (SELECT pair_id, side, s, k, coalesce(stem, w.word) AS t FROM rouge_words w LEFT JOIN stemmed USING (word)),
+whole AS MATERIALIZED (SELECT pair_id, side, list(t ORDER BY s, k) AS w FROM toks GROUP BY ALL),
+both_sides AS MATERIALIZED (SELECT p.pair_id, coalesce(a.w, []) AS p, coalesce(b.w, []) AS e FROM (SELECT DISTINCT pair_id FROM given) p
+  LEFT JOIN whole a ON a.pair_id = p.pair_id AND a.side = 'p' LEFT JOIN whole b ON b.pair_id = p.pair_id AND b.side = 'e')"""
+
+
+def _overlap_sql(n: int) -> str:
+    gram = f"list_transform(range(1, greatest(len(w) - {n} + 2, 1)), lambda i: array_to_string(w[i:i + {n} - 1], ' '))"
+    return f"""grams{n} AS (SELECT pair_id, side, g, count(*) AS c FROM (SELECT pair_id, side, unnest({gram}) AS g FROM whole) GROUP BY ALL),
+hits{n} AS (SELECT a.pair_id, sum(least(a.c, b.c)) AS hits FROM grams{n} a JOIN grams{n} b ON a.pair_id = b.pair_id AND a.g = b.g AND a.side = 'p' AND b.side = 'e' GROUP BY ALL),
+rouge{n} AS (SELECT t.pair_id, coalesce(hits * 2.0 / (greatest(len(p) - {n} + 1, 0) + greatest(len(e) - {n} + 1, 0)), 0)::DOUBLE AS rouge{n}
+  FROM both_sides t LEFT JOIN hits{n} h ON h.pair_id = t.pair_id)"""
+
+
+# Rows of the table of common subsequences by recursion over predicted words, and the way back by recursion over its cells.
+SUBSEQUENCE_SQL = """sentences AS (SELECT pair_id, side, s, list(t ORDER BY k) AS w FROM toks GROUP BY ALL),
+jobs AS MATERIALIZED (SELECT pair_id, 0 AS es, 0 AS ps, e, p FROM both_sides WHERE len(e) > 0 AND len(p) > 0
+  UNION ALL SELECT a.pair_id, a.s, b.s, a.w, b.w FROM sentences a JOIN sentences b ON a.pair_id = b.pair_id AND a.side = 'e' AND b.side = 'p'),
+cells AS (SELECT pair_id, es, ps, e, p, 0 AS j, list_transform(range(0, len(e) + 1), lambda i: CAST(0 AS BIGINT)) AS r FROM jobs
+  UNION ALL SELECT pair_id, es, ps, e, p, j + 1, list_concat([CAST(0 AS BIGINT)], list_transform(range(1, len(e) + 1), lambda i:
+    greatest(r[i + 1], coalesce(list_max(list_transform(list_filter(range(1, i + 1), lambda k: e[k] = p[j + 1]), lambda k: r[k] + 1)), 0)))) FROM cells WHERE j < len(p)),
+stored AS MATERIALIZED (SELECT * FROM cells),
+back AS (SELECT pair_id, es, ps, len(e) AS i, len(p) AS j, CAST(NULL AS BIGINT) AS used FROM jobs WHERE es > 0
+  UNION ALL SELECT b.pair_id, b.es, b.ps, CASE WHEN x.e[b.i] <> x.p[b.j] AND y.r[b.i + 1] > x.r[b.i] THEN b.i ELSE b.i - 1 END,
+    CASE WHEN x.e[b.i] = x.p[b.j] OR y.r[b.i + 1] > x.r[b.i] THEN b.j - 1 ELSE b.j END, CASE WHEN x.e[b.i] = x.p[b.j] THEN b.i END
+  FROM back b JOIN stored x ON x.pair_id = b.pair_id AND x.es = b.es AND x.ps = b.ps AND x.j = b.j
+  JOIN stored y ON y.pair_id = b.pair_id AND y.es = b.es AND y.ps = b.ps AND y.j = b.j - 1 WHERE b.i > 0 AND b.j > 0),
+covered AS (SELECT pair_id, t, count(*) AS c FROM (SELECT DISTINCT b.pair_id, b.es, b.used, s.w[b.used] AS t FROM back b
+  JOIN sentences s ON s.pair_id = b.pair_id AND s.side = 'e' AND s.s = b.es WHERE b.used IS NOT NULL) GROUP BY ALL),
+there AS (SELECT pair_id, t, count(*) AS c FROM toks WHERE side = 'p' GROUP BY ALL),
+hits_sum AS (SELECT a.pair_id, sum(least(a.c, b.c)) AS hits FROM covered a JOIN there b USING (pair_id, t) GROUP BY ALL),
+hits_l AS (SELECT pair_id, r[len(e) + 1] AS hits FROM stored WHERE es = 0 AND j = len(p)),
+rouge_l AS (SELECT t.pair_id, CASE WHEN l.hits > 0 THEN l.hits * 2.0 / (len(p) + len(e)) ELSE 0 END::DOUBLE AS rougeL,
+  CASE WHEN m.hits > 0 THEN m.hits * 2.0 / (len(p) + len(e)) ELSE 0 END::DOUBLE AS rougeLsum
+  FROM both_sides t LEFT JOIN hits_l l ON l.pair_id = t.pair_id LEFT JOIN hits_sum m ON m.pair_id = t.pair_id)"""
+
+
+@query(f"WITH {STEMMED_SQL}, {_overlap_sql(1)} SELECT pair_id, round(rouge1, 6) AS rouge1 FROM rouge1")
+def rouge_stems(spark, sf_dir):
+    return rounded(textscore.rouge_n(scored_pairs(spark, sf_dir), "pair_id", "answered", "asked", 1, stemmed=True), "rouge1")
+
+
+@query(f"WITH RECURSIVE {STEMMED_SQL}, {SUBSEQUENCE_SQL} SELECT pair_id, round(rougeL, 6) AS \"rougeL\", round(rougeLsum, 6) AS \"rougeLsum\" FROM rouge_l")
+def rouge_subsequences(spark, sf_dir):
+    p = scored_pairs(spark, sf_dir)
+    whole = textscore.rouge_l(p, "pair_id", "answered", "asked", stemmed=True)
+    return rounded(whole.join(textscore.rouge_lsum(p, "pair_id", "answered", "asked", stemmed=True), "pair_id"), "rougeL", "rougeLsum")
+
+
+@query(f"""
+WITH RECURSIVE {STEMMED_SQL}, {_overlap_sql(1)}, {_overlap_sql(2)}, {SUBSEQUENCE_SQL}
+SELECT round(avg(rouge1) * 100, 6) AS rouge1, round(avg(rouge2) * 100, 6) AS rouge2, round(avg(rougeL) * 100, 6) AS "rougeL", round(avg(rougeLsum) * 100, 6) AS "rougeLsum"
+FROM rouge1 JOIN rouge2 USING (pair_id) JOIN rouge_l USING (pair_id)""")
 def rouge_pairs(spark, sf_dir):
-    return textscore.rouge(scored_pairs(spark, sf_dir), "pair_id", "answered", "asked")
+    return rounded(textscore.rouge(scored_pairs(spark, sf_dir), "pair_id", "answered", "asked"), "rouge1", "rouge2", "rougeL", "rougeLsum")
+
+
+@query(f"""
+WITH {TURN_PAIRS}, last AS (SELECT conv_id, arg_max(answered, turn) AS answered FROM pairs GROUP BY conv_id),
+hyp AS (SELECT conv_id, {_norm_sql('answered')} AS h FROM last), refs AS (SELECT conv_id, turn, {_norm_sql('asked')} AS r FROM pairs),
+orders AS (SELECT unnest([1, 2, 3, 4]) AS n),
+hg AS (SELECT conv_id, n, g, count(*) AS c FROM (SELECT conv_id, n, unnest(list_transform(range(1, greatest(len(h) - n + 2, 1)), lambda i: array_to_string(h[i:i + n - 1], ' '))) AS g FROM hyp, orders) GROUP BY ALL),
+rg AS (SELECT conv_id, n, g, max(c) AS c FROM (SELECT conv_id, turn, n, g, count(*) AS c FROM (
+  SELECT conv_id, turn, n, unnest(list_transform(range(1, greatest(len(r) - n + 2, 1)), lambda i: array_to_string(r[i:i + n - 1], ' '))) AS g FROM refs, orders) GROUP BY ALL) GROUP BY ALL),
+hit AS (SELECT a.conv_id, a.n, sum(least(a.c, coalesce(b.c, 0))) AS m FROM hg a LEFT JOIN rg b ON b.conv_id = a.conv_id AND b.n = a.n AND b.g = a.g GROUP BY ALL),
+terms AS (SELECT p.conv_id, sum(ln(coalesce(m, 0) + CASE WHEN p.n > 1 THEN 1.0::DOUBLE ELSE 0 END + 2.2250738585072014e-308)
+   - ln(greatest(len(h) - p.n + 1, 0) + CASE WHEN p.n > 1 THEN 1.0::DOUBLE ELSE 0 END + 2.2250738585072014e-308)) / 4 AS logs
+  FROM (SELECT * FROM hyp, orders) p LEFT JOIN hit ON hit.conv_id = p.conv_id AND hit.n = p.n GROUP BY p.conv_id),
+lengths AS (SELECT conv_id, min(len(r)) AS r FROM refs GROUP BY conv_id)
+SELECT hyp.conv_id, round(exp(logs + least(0.0, 1 - (lengths.r + 1.0::DOUBLE) / (len(h) + 1.0::DOUBLE))), 6) AS bleu
+FROM hyp JOIN terms USING (conv_id) JOIN lengths USING (conv_id)""")
+def bleu_by_id(spark, sf_dir):
+    """Repeated ids: the last answer of a conversation against all its questions."""
+    p = scored_pairs(spark, sf_dir).withColumn("conv_id", F.floor(F.col("pair_id") / 1000))
+    answers = p.select("conv_id", "pair_id", F.col("answered").alias("text"))
+    questions = p.select("conv_id", F.col("asked").alias("text"))
+    return rounded(textscore.sentence_bleu(answers, questions, "conv_id", order="pair_id"), "bleu")
 
 
 def predictions(spark, sf_dir):

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulP
 
 from millrace.operators.budget import Targets, with_target, within_budget
 from millrace.operators.select import skip_reason
+from millrace.session import join_null_safe, materialize
 from millrace.sources.readers import DOCUMENT_SCHEMA
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -84,25 +85,32 @@ def with_batch_budget(
 ):
     """A ``foreachBatch`` function that gates each micro-batch exactly, whatever its size.
 
-    The tokens written so far are the sums of earlier batches in a small
-    table, one folder per batch, so that a repeated batch replaces its own
-    entry.  Each batch is cut by the distributed batch gate at what is left.
+    The state is a table of the tokens written by earlier batches, one folder per
+    batch, so that a repeated batch replaces its own entry.  What is left of each
+    budget is joined as a table (of any number of groups, null among them), and
+    the distributed batch gate cuts the trigger there: a group's rows are spread
+    over stretches of the order, the sums of earlier stretches place each, and
+    only the stretch where the budget runs out is walked row by row.  So all cores
+    share a trigger that one source fills, and a group exceeds its budget by less
+    than one record over all triggers.
     """
+
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        names = {r[0] for r in batch.select(group).distinct().limit(10_001).collect()}
-        if len(names) > 10_000:
-            raise ValueError("more than 10,000 sources in a stream with budgets")
-        spent: dict[str, int] = {}
+        kind = batch.schema[group].dataType.simpleString()
+        totals = f"`{group}` {kind}, `_spent` bigint, batch bigint"
+        narrow = batch.select(group).distinct()
+        left = with_target(narrow, targets, group, "_left")
         if batch_id > 0:
-            schema = f"{group} string, tokens bigint, batch bigint"
-            found = spark.read.schema(schema).parquet(totals_path).filter(F.col("batch") < batch_id)
-            spent = {r[0]: r[1] for r in found.groupBy(group).agg(F.sum("tokens")).collect()}
-        left = {n: (targets if isinstance(targets, int) else targets.get(n, 0)) - spent.get(n, 0) for n in names}
-        kept = within_budget(batch, {n: t for n, t in left.items() if t > 0}, group, order, tokens)
+            found = spark.read.schema(totals).parquet(totals_path).filter(F.col("batch") < batch_id)
+            spent = found.groupBy(group).agg(F.sum("_spent").alias("_spent"))
+            left = join_null_safe(left, spent, [group], "left")
+            left = left.select(group, (F.col("_left") - F.coalesce("_spent", F.lit(0))).alias("_left"))
+        left = materialize(left)
+        kept = within_budget(batch, left, group, order, tokens)
         kept.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
         sums = spark.read.schema(batch.schema).parquet(f"{out_path}/batch={batch_id}").groupBy(group)
-        sums.agg(F.sum(tokens).alias("tokens")).write.mode("overwrite").parquet(f"{totals_path}/batch={batch_id}")
+        sums.agg(F.sum(tokens).cast("bigint").alias("_spent")).write.mode("overwrite").parquet(f"{totals_path}/batch={batch_id}")
 
     return write
 

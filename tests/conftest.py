@@ -12,7 +12,7 @@ from millrace.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("8", app="tests")
+    session = local_session(os.environ.get("TEST_CPUS", "8"), app="tests")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -124,7 +124,9 @@ def test_stream_gate_over_triggers(spark, tmp_path, kind):
         writer = kept.writeStream.format("parquet").option("path", out)
     else:
         keyed = stream.withColumn("order_key", order_hash("key", 1))
-        writer = keyed.writeStream.foreachBatch(ingest.with_batch_budget(str(tmp_path / "totals"), out, targets))
+        # a table of budgets does as well as a mapping
+        table = spark.createDataFrame(list(targets.items()), "source string, target bigint")
+        writer = keyed.writeStream.foreachBatch(ingest.with_batch_budget(str(tmp_path / "totals"), out, table))
     writer.option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
     if kind == "state":
         spark.conf.set(setting, before)
