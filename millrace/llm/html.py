@@ -18,7 +18,8 @@ Elements that are never part of an article (navigation, forms, scripts, hidden
 ones, those whose class, id or role names a menu, advert, notice, comment list
 and so on) are pruned before, and blocks made of links after; inside the article
 (article and main elements and the core) paragraphs, list items, table cells
-and all else stay, however much of them is linked.
+and all else stay, however much of them is linked, and whatever their names say
+unless it is adverts or comments.
 
 A null, empty or textless page gives an empty text.
 """
@@ -27,7 +28,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from bisect import bisect_right
+from collections import defaultdict
 from html import unescape
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +45,7 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"([a-zA-Z:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+RAW_END = {name: re.compile(rf"</{name}[\s/>]", re.IGNORECASE) for name in RAW}
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small "
     "span strike strong sub sup time tt u var wbr".split()
@@ -75,6 +78,8 @@ NOISE = frozenset(
     "recommended recommendations widget widgets toolbar pagination pager search copyright disclaimer alert toast skip "
     "hidden paywall tags".split()
 )
+#: Of these, the names that mean the same inside an article, where other words may be about the subject.
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising adsense adbox sponsor sponsored promo promotion".split())
 COMMENTS = frozenset("comment comments commentlist disqus respond replies reply discussion".split())
 #: A name of these words and none of the above marks the article, whatever other names say.
 CONTENT = frozenset("article main post entry story".split())
@@ -85,29 +90,23 @@ CONTAINERS = frozenset("div section article main td body center blockquote detai
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "attrs", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "attrs", "within", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, attrs: str = ""):
         self.tag, self.parent, self.attrs = tag, parent, attrs
         self.parts: list[Node | str] = []
+        #: whether an article or main element is above
+        self.within = parent is not None and (parent.within or parent.tag in ("article", "main"))
         self.noise = False
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
-    def inside(self, *tags: str) -> bool:
-        node = self.parent
-        while node is not None:
-            if node.tag in tags:
-                return True
-            node = node.parent
-        return False
-
 
 def _is_noise(node: Node) -> bool:
     if node.tag in NEVER:
         return True
     if node.tag == "header":
-        return not node.inside("article", "main")
+        return not node.within
     if not node.attrs or node.tag in ("html", "body"):
         return False
     attrs = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(node.attrs)}
@@ -122,7 +121,7 @@ def _is_noise(node: Node) -> bool:
             continue
         if not COMMENTS.isdisjoint(words):
             return True
-        if not NOISE.isdisjoint(words):
+        if not (ADVERTS if node.within else NOISE).isdisjoint(words):
             noisy = True
         elif not CONTENT.isdisjoint(words):
             content = True
@@ -130,21 +129,34 @@ def _is_noise(node: Node) -> bool:
 
 
 def parse(html: str) -> tuple[Node, list[Node]]:
-    """The root and all nodes, parents before children."""
+    """The root and all nodes, parents before children.
+
+    For every tag the places of its open elements are kept, so that no start or
+    end tag walks the open elements, however many there are.
+    """
     root = Node("html", None)
     nodes, stack, at = [root], [root], 0
     size = len(html)
-
-    opened: Counter[str] = Counter()
+    places: defaultdict[str, list[int]] = defaultdict(list)
+    blocks: list[int] = []  # of open elements that are neither inline nor paragraphs
 
     def close(i: int) -> None:
-        opened.subtract(node.tag for node in stack[i:])
+        for node in reversed(stack[i:]):
+            places[node.tag].pop()
+            if node.tag not in INLINE and node.tag != "p":
+                blocks.pop()
         del stack[i:]
 
     def push(node: Node) -> None:
-        opened[node.tag] += 1
+        places[node.tag].append(len(stack))
+        if node.tag not in INLINE and node.tag != "p":
+            blocks.append(len(stack))
         stack.append(node)
 
+    def last(tag: str) -> int:
+        open_ones = places.get(tag)
+        return open_ones[-1] if open_ones else 0
+
     while at < size:
         m = TOKEN.search(html, at)
         if m is None:
@@ -157,32 +169,20 @@ def parse(html: str) -> tuple[Node, list[Node]]:
             continue
         name = m["name"].lower()
         if m["end"]:
-            if name in ("body", "html") or opened[name] <= 0:
-                continue  # a stray end does not search the stack
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == name:
-                    close(i)
-                    break
+            if name not in ("body", "html") and last(name):
+                close(last(name))
             continue
         if name == "html":
             continue
-        if name in ENDS_P and opened["p"] > 0:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    close(i)
-                    break
-                if stack[i].tag not in INLINE:
-                    break
+        if name in ENDS_P and last("p"):
+            if last("p") > (blocks[-1] if blocks else 0):
+                close(last("p"))
         elif name in SIBLINGS:
             ended, stop = SIBLINGS[name]
-            lowest = None
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in stop:
-                    break
-                if stack[i].tag in ended:
-                    lowest = i
-            if lowest is not None:
-                close(lowest)
+            border = max(map(last, stop))
+            found = [open_ones[k] for tag in ended if (open_ones := places.get(tag)) and (k := bisect_right(open_ones, border)) < len(open_ones)]
+            if found:
+                close(min(found))
         if name == "body":
             # whatever an unclosed head left open ends here
             close(1)
@@ -190,7 +190,7 @@ def parse(html: str) -> tuple[Node, list[Node]]:
         stack[-1].parts.append(node)
         nodes.append(node)
         if name in RAW:
-            end = re.compile(rf"</{name}[\s/>]", re.IGNORECASE).search(html, at)
+            end = RAW_END[name].search(html, at)
             at = end.start() if end else size
             push(node)
         elif name not in VOID:

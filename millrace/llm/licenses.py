@@ -22,8 +22,10 @@ null or empty text has none.  Rows that repeat are scanned alike.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+from array import array
 from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
@@ -111,7 +113,7 @@ TEMPLATES = {
 
 WORD = re.compile(r"[a-z0-9]+")
 PLACED = re.compile(r"[A-Za-z0-9]+")
-COPYRIGHT = re.compile(r"^\W*(?:copyright\b|©|\(c\)).*$", re.IGNORECASE | re.MULTILINE)
+COPYRIGHT = re.compile(r"^[^\w\n]*(?:copyright\b|©|\(c\)).*$", re.IGNORECASE | re.MULTILINE)
 
 
 def words(text: str) -> list[str]:
@@ -169,11 +171,17 @@ class Templates:
                 best[self.names[number]] = max(dice, best.get(self.names[number], 0.0))
         return best
 
-
     def runs(self, text: str, known: set[str]) -> dict[str, tuple[float, int, int]]:
-        """(coefficient, start, end) of the best run of words of each licence that is not known yet."""
+        """(coefficient, start, end) of the best run of words of each licence that is not known yet.
+
+        A run starts and ends with a bigram of the template.  Two pointers give
+        the common bigrams of the longest run from each start; only starts whose
+        longest run could beat the best one so far are looked at end by end.
+        """
         places = placed_words(text)
         pairs = [(a[0], b[0]) for a, b in zip(places, places[1:])]
+        codes: dict[tuple[str, str], int] = {}
+        coded = array("I", [codes.setdefault(pair, len(codes)) for pair in pairs])
         anchors: dict[int, list[int]] = {}
         for i, pair in enumerate(pairs):
             for number, _ in self.index.get(pair, ()):
@@ -185,23 +193,37 @@ class Templates:
             if name in known or len(at) < least:
                 continue
             longest = int(size * (2 - self.threshold) / self.threshold)
+            inside: Counter[tuple[str, str]] = Counter()
+            tried: set[bytes] = set()  # digests of longest runs; a repeated one gives nothing better
+            shared = k = 0
             for i, first in enumerate(at):
-                if i + least > len(at) or at[i + least - 1] - first >= longest:
-                    continue
-                seen: Counter[tuple[str, str]] = Counter()
-                shared = 0
-                for k in range(i, len(at)):
-                    last = at[k]
-                    n = last - first + 1
-                    if n > longest:
-                        break
-                    seen[pairs[last]] += 1
-                    shared += seen[pairs[last]] <= counts[pairs[last]]
-                    dice = 2 * shared / (n + size)
-                    if dice >= self.threshold and dice > best.get(name, (0.0,))[0]:
-                        best[name] = dice, places[first][1], places[last + 1][2]
+                while k < len(at) and at[k] - first < longest:
+                    pair = pairs[at[k]]
+                    inside[pair] += 1
+                    shared += inside[pair] <= counts[pair]
+                    k += 1
+                top = best.get(name, (self.threshold,))[0]
+                if shared >= least and (2 * shared > top * (shared + size) or (name not in best and 2 * shared >= top * (shared + size))):
+                    run = hashlib.blake2b(coded[first : at[k - 1] + 1].tobytes(), digest_size=16).digest()
+                    if run not in tried:
+                        tried.add(run)
+                        self._ends(name, size, counts, pairs, places, at[i:k], best)
+                pair = pairs[first]
+                shared -= inside[pair] <= counts[pair]
+                inside[pair] -= 1
         return best
 
+    def _ends(self, name: str, size: int, counts: Counter, pairs: list, places: list, at: list[int], best: dict) -> None:
+        """Enter the best run from the first of these anchors, if it beats the best one so far."""
+        seen: Counter[tuple[str, str]] = Counter()
+        shared, first = 0, at[0]
+        for last in at:
+            seen[pairs[last]] += 1
+            shared += seen[pairs[last]] <= counts[pairs[last]]
+            dice = 2 * shared / (last - first + 1 + size)
+            if dice >= self.threshold and dice > best.get(name, (0.0,))[0]:
+                best[name] = dice, places[first][1], places[last + 1][2]
+
 
 def placed_words(text: str) -> list[tuple[str, int, int]]:
     """The words of :func:`words` with their places in the text."""
@@ -277,7 +299,7 @@ def _literal(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-_BIGRAMS = r"regexp_extract_all(regexp_replace(lower({0}), '(?m)^\W*(copyright\b|©|\(c\)).*$', '', 'g'), '[a-z0-9]+')"
+_BIGRAMS = r"regexp_extract_all(regexp_replace(lower({0}), '(?m)^[^\w\n]*(copyright\b|©|\(c\)).*$', '', 'g'), '[a-z0-9]+')"
 SQL = f"""
 WITH templates AS (SELECT row_number() OVER () AS number, name, {_BIGRAMS.format("body")} AS w FROM (VALUES
   {", ".join(f"({_literal(name)}, {_literal(body)})" for name, bodies in TEMPLATES.items() for body in bodies)}) t(name, body)),

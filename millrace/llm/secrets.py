@@ -51,9 +51,10 @@ PLACEHOLDER = re.compile(
     r"(?i)(your|my|insert|enter|todo|example|sample|dummy|fake|placeholder|change_?me|redacted|none|null|undefined|true|false|required|optional|string|str|text|password|passwd|secret|token)[\w .-]*|[x*.#?_-]+|[<\[{%].*[>\]}%]|\$.*"
 )
 OPERATOR = re.compile(r":=|=>|[=:]")
-TARGET = re.compile(r"([A-Za-z_$][\w$.-]*)[\"'\]]?[ \t]*$", re.ASCII)
-TYPED = re.compile(r"([A-Za-z_$][\w$]*)[ \t]*:[ \t]*[A-Za-z_][\w\[\]<>., |?]*$", re.ASCII)
-STRING = re.compile(r"(?:[fFrRbBuU]{1,2}(?=[\"']))?(?:\"(?P<d>(?:[^\"\\\n]|\\.)*)\"|'(?P<s>(?:[^'\\\n]|\\.)*)'|`(?P<b>[^`\n]*)`)")
+STRING = re.compile(
+    r"(?:[fFrRbBuU]{1,2}(?=[\"']))?(?:\"\"\"(?P<t>(?:[^\\]|\\[\s\S])*?)\"\"\"|'\'\'(?P<u>(?:[^\\]|\\[\s\S])*?)'\'\'"
+    r"|\"(?P<d>(?:[^\"\\\n]|\\.)*)\"|'(?P<s>(?:[^'\\\n]|\\.)*)'|`(?P<b>[^`\n]*)`)"
+)
 NAME = re.compile(r"[A-Za-z_$][\w$]*(?:(?:\.|->|::)[A-Za-z_$][\w$]*)*(?![\w(\[])", re.ASCII)
 BARE = re.compile(r"[^\s\"'`,;(){}\[\]<>]+")
 #: $NAME and ${NAME} (of shells, properties and templates), and {NAME} of format strings.
@@ -61,11 +62,22 @@ REFERENCE = re.compile(r"\$([A-Za-z_]\w*)|\$?\{\{?[ \t]*([A-Za-z_$][\w$.-]*)[ \t
 BARE_REFERENCES = re.compile(r"(?:\$\{[^{}\n]*\}|[^\s\"'`,;(){}\[\]<>])+")
 PLUS = re.compile(r"[ \t]*(?:\+|\.\.|\.(?=[ \t]*[\"'$]))[ \t]*")
 BLANKS = re.compile(r"[ \t]*")
+#: Brackets around values, and conversions to text; commas between the values of a list; alternatives to a missing value.
+OPENING = re.compile(r"(?:(?:str|bytes|String)\(|[(\[])[ \t\n]*")
+CLOSING = re.compile(r"[ \t\n]*[)\]]")
+COMMA = re.compile(r"[ \t\n]*,[ \t\n]*(?=[\"'`])")
+ELSE = re.compile(r"[ \t]*(?:\|\||\?\?|\bor\b)[ \t]*(?=[\"'`(A-Za-z_$])")
+ELEMENT = re.compile(r"<([A-Za-z][\w.-]*)>([^<>\n]+)</\1>", re.ASCII)
+DEFINED = re.compile(r"\b(?:define|setenv|putenv|setProperty)\([ \t]*[\"']([\w.-]+)[\"'][ \t]*,[ \t]*(?:\"([^\"\n]+)\"|'([^'\n]+)')", re.ASCII)
 ATTRIBUTES = re.compile(
     r"\b(?:key|name)[ \t]*=[ \t]*(?:\"([\w.-]+)\"|'([\w.-]+)')(?:[ \t]+value[ \t]*=[ \t]*(?:\"([^\"\n]*)\"|'([^'\n]*)')|[ \t]*>([^<\n]*)<)", re.ASCII
 )
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
-LOOKBEHIND = 200
+NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_$")
+DOTTED_CHARS = NAME_CHARS | frozenset(".-")
+TYPE_CHARS = (NAME_CHARS - {"$"}) | frozenset("[]<>., |?")
+FIRST_CHARS = NAME_CHARS - frozenset("0123456789")
+BLANK_CHARS = frozenset(" \t")
 
 
 class Span(NamedTuple):
@@ -128,9 +140,13 @@ def _interpolated(text: str, start: int, end: int, known: dict[str, int]) -> tup
 
 
 def _expression(text: str, at: int, known: dict[str, int]) -> tuple[list[tuple[int, int]], list[int]]:
+    """Literals and used assignments of the expression at ``at``: values joined, listed in brackets, or given as alternatives."""
     literals: list[tuple[int, int]] = []
     uses: list[int] = []
+    start, depth = at, 0
     while True:
+        while m := OPENING.match(text, at):
+            at, depth = m.end(), depth + 1
         if m := STRING.match(text, at):
             span = m.span(m.lastgroup)
             more = _interpolated(text, *span, known) or ([span], [])
@@ -138,33 +154,66 @@ def _expression(text: str, at: int, known: dict[str, int]) -> tuple[list[tuple[i
             uses.extend(more[1])
         elif (m := NAME.match(text, at)) and m[0] in known:
             uses.append(known[m[0]])
+        elif m and ELSE.match(text, m.end()):
+            pass  # a name of nothing known, with an alternative
         else:
             # a bare value of a configuration line ends the expression
-            if not literals and not uses:
+            if not literals and not uses and at == start:
                 if (m := BARE_REFERENCES.match(text, at)) and (more := _interpolated(text, *m.span(), known)):
                     return more
                 if m := BARE.match(text, at):
                     literals.append(m.span())
             return literals, uses
-        if not (p := PLUS.match(text, m.end())):
+        at = m.end()
+        while depth and (m := CLOSING.match(text, at)):
+            at, depth = m.end(), depth - 1
+        following = PLUS.match(text, at) or ELSE.match(text, at) or (COMMA.match(text, at) if depth else None)
+        if not following:
             return literals, uses
-        at = p.end()
+        at = following.end()
+
+
+def _back(text: str, at: int, chars: frozenset[str]) -> int:
+    """The start of the run of such characters that ends at ``at``."""
+    while at > 0 and text[at - 1] in chars:
+        at -= 1
+    return at
+
+
+def _name_before(text: str, at: int, chars: frozenset[str]) -> str | None:
+    """The name that ends at ``at``; it begins with a letter, underscore or dollar sign."""
+    start = _back(text, at, chars)
+    while start < at and text[start] not in FIRST_CHARS:
+        start += 1
+    return text[start:at] or None
 
 
 def _target(text: str, at: int) -> str | None:
-    low = max(0, at - LOOKBEHIND)
-    before = text[max(low, text.rfind("\n", low, at) + 1) : at]
-    if typed := TYPED.search(before):
-        return typed[1]
-    m = TARGET.search(before)
-    return m[1] if m else None
+    """What an operator assigns to: a name with an optional type, or a key in quotes and brackets.
+
+    Reads backwards, at most to the operator before, so that all targets of a
+    text take one walk through it.
+    """
+    end = _back(text, at, BLANK_CHARS)
+    typed = _back(text, end, TYPE_CHARS)
+    while typed < end and text[typed] == " ":
+        typed += 1
+    colon = _back(text, typed, BLANK_CHARS)
+    if typed < end and text[typed] in FIRST_CHARS and colon and text[colon - 1] == ":":
+        if name := _name_before(text, _back(text, colon - 1, BLANK_CHARS), NAME_CHARS):
+            return name
+    closed = 0
+    while closed < 3 and end > 0 and text[end - 1] in "\"'])":
+        end -= 1
+        closed += 1
+    return _name_before(text, end, DOTTED_CHARS)
 
 
 def assignments(text: str) -> list[Assignment]:
     """All assignments in order; a name stands for the last one to it."""
     known: dict[str, int] = {}
     found: list[Assignment] = []
-    if ":" not in text and "=" not in text:
+    if not any(c in text for c in ":=<("):
         return found
     for m in OPERATOR.finditer(text):
         if text[m.start() - 1 : m.start()] in ("=", "!", "<", ">", ":") and m.start() or text[m.end() : m.end() + 1] == "=":
@@ -180,6 +229,8 @@ def assignments(text: str) -> list[Assignment]:
         group = next((g for g in (3, 4, 5) if m[g]), None)
         if group:
             found.append(Assignment(m[1] or m[2], [m.span(group)], []))
+    found.extend(Assignment(m[1], [m.span(2)], []) for m in ELEMENT.finditer(text))
+    found.extend(Assignment(m[1], [m.span(2 if m[2] else 3)], []) for m in DEFINED.finditer(text))
     return found
 
 

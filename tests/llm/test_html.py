@@ -88,3 +88,29 @@ def test_linked_blocks_of_the_article_stay():
     for tag in ("article", "main"):
         got = html.main_text(page(f"<{tag}>{BODY}{cited}{table}</{tag}>"))
         assert got == f"{TEXT} One source of it, another source Third work Fourth work Fifth Sixth"
+
+
+def test_deep_pages_are_linear():
+    import time
+
+    for page in ("<div>" * 50_000 + "<li>x</li>" * 50_000, "<div>" * 50_000 + "<header>" * 50_000, "<li><ul>" + "<div>" * 50_000 + "<li>x</li>" * 50_000, "<p>" + "<span>" * 50_000 + "<div>x" * 30_000):
+        start = time.process_time()
+        html.main_text(page)
+        assert time.process_time() - start < 8
+
+
+def test_names_inside_an_article_are_about_its_subject():
+    kept = '<article><section class="related-work"><p>Earlier studies of rivers.</p></section><p id="copyright">Law of copying.</p><h2 id="notice">Notice</h2><p>Text.</p></article>'
+    assert html.main_text(kept) == "Earlier studies of rivers. Law of copying. Notice Text."
+    dropped = '<article><p>Rivers run to the sea and back.</p><div class="ad-box">Buy boats</div><div id="comments">First!</div><form>Sign up</form></article>'
+    assert html.main_text(dropped) == "Rivers run to the sea and back."
+
+
+def test_densities_choose_where_names_tell_nothing():
+    long = "The river rises in the hills, and its water, cold and clear, runs down through the woods to the plain where the town stands. "
+    links = "".join(f'<li><a href="/{i}">Link {i}</a></li>' for i in range(12))
+    page = (
+        f'<body><div><ul>{links}</ul></div><div><div><p>{long * 3}</p><p>{long * 2}</p><p>{long}</p></div></div>'
+        '<div><a href="/a">Terms</a> <a href="/b">Help</a></div></body>'
+    )
+    assert html.main_text(page) == " ".join([(long * 3).strip(), (long * 2).strip(), long.strip()])

@@ -64,3 +64,43 @@ def test_runs_of_paragraphs_and_words(prose):
         assert [x[0] for x in lic.scan(text, KNOWN)][:1] == [name]
     [(_, score, start, end)] = [x for x in lic.scan(f"{prose(90, 1)} {mit} {prose(90, 2)}", KNOWN) if x[0] == "MIT"]
     assert score == 1.0 and f"{prose(90, 1)} {mit} {prose(90, 2)}"[start:end] == mit[:-1]
+
+
+def test_long_texts_are_linear():
+    import time
+
+    templates = lic.Templates(lic.TEMPLATES)
+    mit = max(lic.TEMPLATES["MIT"], key=len).replace("\n", " ")
+    near = mit.replace("software", "thing", 1) + " "
+    for text in ("---\n" * 250_000, "\n" * 1_000_000, "the software " * 77_000, (mit + " and more ") * 900, near * 900):
+        start = time.process_time()
+        lic.scan(text, templates)
+        assert time.process_time() - start < 8
+
+
+def test_best_run_equals_all_runs():
+    """The pruned search against every start and end."""
+    import random
+
+    templates = lic.Templates(lic.TEMPLATES)
+    rng = random.Random(4)
+    words = max(lic.TEMPLATES["MIT"], key=len).split()
+    for _ in range(12):
+        changed = [rng.choice(["x", "the", "software"]) if rng.random() < 0.12 else w for w in words]
+        text = " ".join(["foo"] * rng.randrange(20) + changed + ["bar"] * rng.randrange(20) + changed[: rng.randrange(60)])
+        placed = lic.placed_words(text)
+        pairs = [(a[0], b[0]) for a, b in zip(placed, placed[1:])]
+        best = {}
+        for number, name in enumerate(templates.names):
+            counts, size = templates.counts[number], templates.sizes[number]
+            inside = [i for i, p in enumerate(pairs) if p in counts]
+            for a in range(len(inside)):
+                for b in range(a, len(inside)):
+                    run = Counter(pairs[i] for i in inside[a : b + 1])
+                    n = inside[b] - inside[a] + 1
+                    if 2 * min(n, size) < templates.threshold * (n + size):
+                        continue
+                    dice = 2 * sum(min(c, counts[p]) for p, c in run.items()) / (n + size)
+                    if dice >= templates.threshold:
+                        best[name] = max(dice, best.get(name, 0.0))
+        assert {name: found[0] for name, found in templates.runs(text, set()).items()} == best

@@ -87,3 +87,25 @@ def test_references_are_propagated():
     assert literals("db.raw=q8W7e6R5t4\ndb.password=${db.raw}") == ["q8W7e6R5t4"]
     assert literals('A=q8W7e6R5\nPASSWORD="pre9X${A}z"') == ["q8W7e6R5"]
     assert literals("PASSWORD=${OTHER}\nTOKEN=$OTHER") == []
+
+
+def test_literals_in_ordinary_syntax():
+    for text in (
+        'os.environ["DB_PASSWORD"] = "q8W7e6R5t4"', 'password = """q8W7e6R5t4"""', "password = ('q8W7e6R5t4')",
+        'password = a or "q8W7e6R5t4"', "x = 'q8W7e6R5t4'\npassword = str(x)", "define('DB_PASSWORD', 'q8W7e6R5t4')", "<password>q8W7e6R5t4</password>",
+        "const token: string | null = `q8W7e6R5t4`", '"api_key" : "q8W7e6R5t4"',
+    ):
+        assert literals(text) == ["q8W7e6R5t4"], text
+    assert literals('secrets = ["q8W7e6R5t4", "zZ9yY8xX7w"]') == ["q8W7e6R5t4", "zZ9yY8xX7w"]
+    assert literals('{"token": ["q8W7e6R5t4"], "colour": "zZ9yY8xX7w"}') == ["q8W7e6R5t4"]
+    far = "password: " + "Dict[" * 100 + "str" + "]" * 100 + " = 'q8W7e6R5t4'"  # a long type does not hide its name
+    assert literals(far) == ["q8W7e6R5t4"]
+
+
+def test_long_dense_texts_are_linear():
+    import time
+
+    for text in ('name="a" ' * 100_000, 'x="' * 200_000, "{" + '"k1":"abcdefgh",' * 60_000, "a: b = " * 100_000, "a a a:" * 100_000, "(" * 300_000 + "a=", "a=((" * 100_000):
+        start = time.process_time()
+        secrets.scan(text)
+        assert time.process_time() - start < 8
