@@ -23,8 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import table
-from millrace.session import materialize
+from millrace.llm.common import free, table
+from millrace.session import broadcast_if_small, materialize
 
 WINDOW = 10
 BROADCAST_ROWS = 500_000
@@ -132,9 +132,11 @@ def items_hit(found: DataFrame, items: DataFrame, item_key: str = "item_id", ite
 def clean(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Rows of ``df`` without any occurrence of a benchmark window, all columns kept."""
     _, found = contamination(df, items, key, text, **options)
-    bad = found.select(F.col("doc").alias("_doc"), F.col("digest").alias("_digest")).distinct()
-    digest = F.xxhash64(F.col(text))
-    return df.join(bad, F.col(key).eqNullSafe(F.col("_doc")) & (digest == F.col("_digest")), "left_anti")
+    doc, digest = free(df, "_doc"), free(df, "_digest")
+    # narrow, and a document counts once however often it is hit
+    bad = materialize(found.select(F.col("doc").alias(doc), F.col("digest").alias(digest)).distinct())
+    same = F.col(key).eqNullSafe(F.col(doc)) & (F.xxhash64(F.col(text)) == F.col(digest))
+    return df.join(broadcast_if_small(bad), same, "left_anti")
 
 
 def without_spans(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

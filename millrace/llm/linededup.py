@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.functions.text import let
-from millrace.llm.common import table
+from millrace.llm.common import free, table
 from millrace.session import materialize
 
 MIN_CHARS = 20
@@ -243,9 +243,10 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_char
 
     A row of a null text stays as it is.  A text that loses all its lines becomes empty.
     """
-    kept = kept_lines(df, key, text, min_chars).select(F.col("doc").alias("_doc"), F.col("tie").alias("_tie"), F.col("kept").alias("_kept"))
-    joined = df.join(kept, F.col(key).eqNullSafe(F.col("_doc")) & (F.xxhash64(F.col(text)) == F.col("_tie")), "left")
-    numbers = F.coalesce("_kept", F.array().cast("array<int>"))
+    doc, tie, stay_in = free(df, "_doc"), free(df, "_tie"), free(df, "_kept")
+    kept = kept_lines(df, key, text, min_chars).select(F.col("doc").alias(doc), F.col("tie").alias(tie), F.col("kept").alias(stay_in))
+    joined = df.join(kept, F.col(key).eqNullSafe(F.col(doc)) & (F.xxhash64(F.col(text)) == F.col(tie)), "left")
+    numbers = F.coalesce(F.col(stay_in), F.array().cast("array<int>"))
 
     def cut(lines: Column) -> Column:
         short = F.filter(

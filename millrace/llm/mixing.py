@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from millrace.llm.common import table
+from millrace.llm.common import free, table
 from millrace.operators.prefix import hash_bucket, with_running_totals
 from millrace.session import materialize
 
@@ -160,7 +160,7 @@ def mix(
         (F.conv(F.substring(seeded(F.col("source"), seed), 1, 8), 16, 10).cast("bigint") % F.greatest(F.col("blocks"), F.lit(1))).alias("first"),
     )
     placed = with_running_totals(
-        sizes, {"start": "size"}, ["order_key", "size"], hash_bucket("order_key", 3), ["source_key"]
+        sizes, {"start": "size"}, ["order_key", "size", "tie"], hash_bucket("order_key", 3), ["source_key"]
     )
     joined = placed.join(quotas, "source_key")
 
@@ -187,17 +187,22 @@ def total(tokens: Column | str) -> Column:
 def mixed_documents(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``df`` with size, source_size, target, taken and shard_tokens.
 
-    Columns of these names are replaced.  Rows that repeat key and text get the
-    numbers of the one the mix takes most of.
+    Columns of these names are replaced.  Rows that repeat key and text share
+    evenly in what the mix takes of them, rounded down.
     """
+    shards = options.get("shards", SHARDS)
     found = mix(df, key, text, **options)
     numbers = ("size", "source_size", "target", "shard_tokens")
-    best = found.groupBy(F.col(key).alias("_key"), F.col("tie").alias("_tie")).agg(
-        F.max_by(F.struct(*numbers), total("shard_tokens")).alias("_mix")
+    own = df.select(*[c for c in df.columns if c not in (*numbers, "taken")])
+    key_of, tie_of = free(own, "_key"), free(own, "_tie")
+    shared = F.array(*[F.floor(F.sum(F.get("shard_tokens", F.lit(i))) / F.count("*")).cast("bigint") for i in range(shards)])
+    best = found.groupBy(F.col(key).alias(key_of), F.col("tie").alias(tie_of)).agg(
+        *[F.first(c).alias(f"_mix_{c}") for c in numbers[:-1]], shared.alias("_mix_shard_tokens")
     )
-    same = F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(F.col(text)) == F.col("_tie"))
-    own = [c for c in df.columns if c not in (*numbers, "taken")]
-    return df.select(*own).join(best, same).select(*own, "_mix.*", total(F.col("_mix.shard_tokens")).alias("taken"))
+    same = F.col(key).eqNullSafe(F.col(key_of)) & (F.xxhash64(F.col(text)) == F.col(tie_of))
+    joined = own.alias("own").join(best.alias("mix"), same)
+    taken = total(F.col("mix._mix_shard_tokens")).alias("taken")
+    return joined.select("own.*", *[F.col(f"mix._mix_{c}").alias(c) for c in numbers], taken)
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_rows, table
+from millrace.llm.common import free, map_rows, table
 
 FEATURES = 1 << 18
 SAMPLE = 16_000
@@ -159,14 +159,15 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
     # a share first, so that no task sends the whole sample's number of rows
     share = min(1.0, 1.2 * sample / max(1, rows.count()))
     chosen = rows.filter(F.pmod("_draw", F.lit(1 << 30)) < int(share * (1 << 30))).orderBy("_draw", "_key", "_grade").limit(sample)
-    texts = df.join(F.broadcast(chosen), F.col(key) == F.col("_key")).filter(F.col(text).isNotNull())
+    given = df.select(F.col(key).alias("_own"), F.col(text).alias("_text"))
+    texts = given.join(F.broadcast(chosen), F.col("_own") == F.col("_key")).filter(F.col("_text").isNotNull())
 
     def run(k, g, t):
         found = features(t)
         return k, g, list(found), list(found.values())
 
     read = map_rows(
-        texts.select(F.col("_key").cast("string"), "_grade", F.col(text)), run, "key string, grade int, slots array<int>, values array<float>"
+        texts.select(F.col("_key").cast("string"), "_grade", "_text"), run, "key string, grade int, slots array<int>, values array<float>"
     ).toArrow()
     read = read.filter(pc.greater(pc.list_value_length(read["slots"]), 0)).sort_by([("key", "ascending"), ("grade", "ascending")])
     if not len(read):
@@ -196,7 +197,7 @@ def grade_texts(df: DataFrame, model: OrdinalModel | None, key: str = "doc_id",
 
 def accepted(df: DataFrame, model: OrdinalModel | None, text: str = "text", at_least: int = KEEP_GRADE, chance: float = KEEP_FROM) -> DataFrame:
     """Rows of ``df`` whose text reaches the grade with at least that probability, all columns kept."""
-    columns = df.columns
+    columns, decision = df.columns, free(df, "_accepted")
     at = columns.index(text)
 
     def run(*row):
@@ -204,8 +205,8 @@ def accepted(df: DataFrame, model: OrdinalModel | None, text: str = "text", at_l
         good = bool((t or "").split()) if model is None else model.tails(features(t))[at_least - 1] >= chance
         return (*row, good)
 
-    marked = map_rows(df, run, df.select("*", F.lit(True).alias("_accepted")).schema)
-    return marked.filter("_accepted").select(*columns)
+    marked = map_rows(df, run, df.select("*", F.lit(True).alias(decision)).schema)
+    return marked.filter(F.col(decision)).select(*columns)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
