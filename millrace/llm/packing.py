@@ -1,8 +1,10 @@
 """Packing token sequences: repeat counts of length combinations by non-negative least squares.
 
-**Tokens.**  A document is its ids by a public tokenizer and an end id.  Long
-texts are encoded in parts, cut before a blank between two letters, where the
-tokenizer's words end anyway, so the ids are those of the whole text.
+**Tokens.**  A document is its ids by a public tokenizer and an end id.  No token
+of a byte-level vocabulary reaches from a character that is not white space over
+one that is, so a text is cut there, and each distinct cut (white space and what
+follows) is encoded once per task and remembered; the ids are those of the whole
+text.
 
 **Combinations.**  A document first gives whole windows.  What is left of it, 1
 to WINDOW - 1 ids, counts in a histogram of lengths.  Shallow combinations, all
@@ -20,7 +22,8 @@ are powers of two, which need no padding; so nothing is padded.
 combinations (at most :data:`COMBINATIONS`).  Ranks inside a length come from
 bucketed running totals over narrow rows, so a length that a third of all
 documents have is spread like any other; where a residual starts follows from
-its length and rank.  Ids are written once and meet their layout in one shuffle.
+its length and rank.  Ids are written once with digests of their windows; they move
+only to build the sequences themselves.
 
 A null text is an empty one and has the end id alone.  Every row is packed, also
 those of repeated or null keys; an empty table gives no rows.  Columns other than
@@ -29,10 +32,13 @@ key and text are not read.
 
 from __future__ import annotations
 
-import os
 import re
+import sys
+import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +47,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import table
 from millrace.operators.prefix import with_running_totals
-from millrace.session import materialize
+from millrace.session import broadcast_if_small, materialize
 
 WINDOW = 2048
 END = 1
@@ -49,25 +55,107 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Columns of the least-squares problem beyond the pairs; a bound of the driver's work, not of what is packed.
 COMBINATIONS = 20_000
 STEPS = 2_000
-#: Characters that are encoded at a time.
-PART = 1 << 16
+#: Characters of a text that are cut up at a time, and of distinct cuts that a task remembers.
+PART = 1 << 20
+REMEMBERED = 1 << 24
+BATCH_BYTES = 1 << 25
 ROWS_PER_BUCKET = 8192
 MAX_BUCKET_BITS = 16
-_BREAK = re.compile("[A-Za-z](?= [A-Za-z])")
+# Fixed value: Unicode white space, as byte-level tokenizers cut at it.
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# Fixed value: the library's letter for each byte: printable ones for themselves, the others from 256 on.
+_OTHERS = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+LIBRARY_LETTERS = {b: 256 + n for n, b in enumerate(_OTHERS)}
+LIBRARY_BLANK = chr(LIBRARY_LETTERS[32])
+#: A word of Latin letters, perhaps after a blank, and ASCII marks behind it.
+PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+CUT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+#: The same for texts without the four separators that Python alone takes for white space.
+QUICK_CUT = re.compile(r"\s*\S+|\s+")
+SEPARATORS = re.compile("[\x1c-\x1f]")
+_BORDER = re.compile(f"[^{SPACE}](?=[{SPACE}])")
 
 
 def parts(text: str, size: int = PART) -> Iterator[str]:
-    """A text in parts of about ``size`` characters, cut only where a new word starts for the tokenizer."""
+    """A text in parts of about ``size`` characters, cut only before white space."""
     at = 0
     while len(text) - at > size:
-        cut = _BREAK.search(text, at + size)
-        if cut is None:
+        border = _BORDER.search(text, at + size)
+        if border is None:
             break
-        yield text[at : cut.end()]
-        at = cut.end()
+        yield text[at : border.end()]
+        at = border.end()
     yield text[at:]
 
 
+class Cuts(dict):
+    """The ids of cuts as bytes, little-endian unsigned 32-bit numbers; unknown ones are encoded when they are asked for."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        if tokenizer.normalizer is not None or tokenizer.post_processor is not None:
+            raise ValueError("not a plain byte-level vocabulary")
+        # the library's two steps one by one: special tokens, which come before them, are text here
+        self.words_of = tokenizer.pre_tokenizer.pre_tokenize_str
+        self.merged = tokenizer.model.tokenize
+        self.words: dict[str, bytes] = {}
+        self.held = 0
+
+    def word(self, word: str, letters: str | None = None) -> bytes:
+        """Ids of a word, which the library knows by its own letters, one for each byte."""
+        found = self.words.get(word)
+        if found is None:
+            if letters is None:
+                letters = LIBRARY_BLANK + word[1:] if word[0] == " " else word
+                if not word.isascii():
+                    letters = word.encode().decode("latin-1").translate(LIBRARY_LETTERS)
+            found = self.words[word] = array("I", [t.id for t in self.merged(letters)]).tobytes()
+        return found
+
+    def __missing__(self, cut: str) -> bytes:
+        if self.held > REMEMBERED:
+            self.clear()
+            self.words.clear()
+            self.held = 0
+        if plain := PLAIN.fullmatch(cut):
+            # a word and marks: what the library cuts it into
+            ids = self.word(plain[1])
+            if plain[2]:
+                ids += self.word(plain[2])
+        else:
+            ids = b"".join([self.word(cut[start:end], w) for w, (start, end) in self.words_of(cut)])
+        self.held += len(cut)
+        self[cut] = ids
+        return ids
+
+
+class Encoder:
+    """Ids of texts as bytes."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        if array("I").itemsize != 4 or sys.byteorder != "little":
+            raise ValueError("this machine has other numbers")
+        self.cuts = Cuts(Tokenizer.from_file(path))
+
+    def ids(self, text: str) -> bytes:
+        cut = (CUT if SEPARATORS.search(text) else QUICK_CUT).findall
+        return b"".join([b"".join(map(self.cuts.__getitem__, cut(part))) for part in parts(text)])
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One encoder per worker process; what it remembers serves all its tasks."""
+    return Encoder(path)
+
+
+def digests(ids: bytes, window: int) -> list[int]:
+    """CRC-32 of every whole window and of the rest."""
+    step = 4 * window
+    return [zlib.crc32(ids[at : at + step]) for at in range(0, len(ids), step)]
+
+
 def vocabulary_path(name: str = VOCABULARY) -> str:
     """Where the public tokenizer files lie on this machine."""
     import public_tokenizers
@@ -75,8 +163,8 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return str(public_tokenizers.path(name))
 
 
-def encoded(df: DataFrame, key: str, text: str, path: str | None = None, end: int = END) -> DataFrame:
-    """(row, key, ids) per row; ids are little-endian unsigned 32-bit numbers, the last one is ``end``.
+def encoded(df: DataFrame, key: str, text: str, path: str | None = None, end: int = END, window: int = WINDOW) -> DataFrame:
+    """(row, key, n, ids, digests) per row: ids as little-endian unsigned 32-bit numbers, the last one being ``end``, and digests of windows.
 
     ``path`` is the tokenizer's file on the workers; without it the public one's.
     """
@@ -85,48 +173,25 @@ def encoded(df: DataFrame, key: str, text: str, path: str | None = None, end: in
     last = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
+        ids_of = encoder(path or vocabulary_path()).ids
 
-        tokenizer = Tokenizer.from_file(path or vocabulary_path())
-        tokenizer.encode_special_tokens = True  # a text that spells a special token is text
-        encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-
-        def finished(rows: list, keys: list, ids: list) -> pa.RecordBatch:
-            joined = [b"".join([*p, last]) for p in ids]
-            columns = [pa.array(rows, pa.int64()), pa.array(keys, key_type), pa.array(joined, pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=["row", "key", "ids"])
+        def finished(rows: list[tuple], key_type: pa.DataType) -> pa.RecordBatch:
+            kinds = (pa.int64(), key_type, pa.int64(), pa.binary(), pa.list_(pa.int64()))
+            columns = zip(*rows) if rows else [()] * len(kinds)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["row", "key", "n", "ids", "digests"])
 
         for batch in batches:
-            key_type = batch.schema.field("key").type
-            rows, keys, ids = [], [], []
-            waiting: list[tuple[int, str]] = []
-            size = held = 0
-
-            def flush() -> None:
-                for (at, _), found in zip(waiting, encode([t for _, t in waiting], add_special_tokens=False)):
-                    ids[at].append(np.array(found.ids, "<u4").tobytes())
-                waiting.clear()
-
+            rows, held = [], 0
             for number, name, whole in zip(*(batch.column(c) for c in range(3))):
-                rows.append(number.as_py())
-                keys.append(name.as_py())
-                ids.append([])
-                for part in parts(whole.as_py()):
-                    waiting.append((len(ids) - 1, part))
-                    size += len(part)
-                    held += len(part)
-                    if size > 4 * PART:
-                        flush()
-                        size = 0
-                if held > 256 * PART:  # long texts leave in small batches
-                    flush()
-                    yield finished(rows, keys, ids)
-                    rows, keys, ids, size, held = [], [], [], 0, 0
-            flush()
-            yield finished(rows, keys, ids)
-
-    return numbered.mapInArrow(run, f"row bigint, key {kind}, ids binary")
+                ids = ids_of(whole.as_py()) + last
+                rows.append((number.as_py(), name.as_py(), len(ids) // 4, ids, digests(ids, window)))
+                held += len(ids)
+                if held > BATCH_BYTES:  # long texts leave in small batches
+                    yield finished(rows, batch.column(1).type)
+                    rows, held = [], 0
+            yield finished(rows, batch.column(1).type)
+
+    return numbered.mapInArrow(run, f"row bigint, key {kind}, n bigint, ids binary, digests array<bigint>")
 
 
 def combinations(counts: np.ndarray, window: int = WINDOW, most: int = COMBINATIONS) -> list[tuple[int, ...]]:
@@ -276,13 +341,9 @@ def _pieces(plan: Layout, window: int) -> Column:
     return F.concat(full, last)
 
 
-def pack(ids: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(row, key, n, start, length, sequence_id, offset, part) per piece, of a written table of (row, key, ids).
-
-    ``part`` has the bytes of the piece's ids.
-    """
-    sized = ids.select("row", "key", F.floor(F.octet_length("ids") / 4).alias("n"))
-    sized = sized.withColumns({"r": F.col("n") % window, "windows": F.floor(F.col("n") / window)})
+def placed_pieces(ids: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(row, key, n, digests, pieces) per row of a written table of ids, from its lengths alone."""
+    sized = ids.select("row", "key", "n", "digests").withColumns({"r": F.col("n") % window, "windows": F.floor(F.col("n") / window)})
     histogram = sized.groupBy("r").agg(F.count("*").alias("rows"), F.sum("windows").alias("windows"))
     found = [tuple(r) for r in histogram.collect()]  # at most one row per length
     plan = layout(found, window)
@@ -298,10 +359,34 @@ def pack(ids: DataFrame, window: int = WINDOW) -> DataFrame:
     placed = ranked.join(F.broadcast(lengths), "r")
     own = (placed["r"] == slots["r"]) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("low") + F.col("rows"))
     placed = placed.join(F.broadcast(slots), own, "left").drop(slots["r"])
-    narrow = placed.select("row", "n", _pieces(plan, window).alias("pieces"))
+    return placed.select("row", "key", "n", "digests", _pieces(plan, window).alias("pieces"))
+
+
+def with_parts(placed: DataFrame, ids: DataFrame) -> DataFrame:
+    """(row, key, n, start, length, sequence_id, offset, part) per piece; ``part`` has the bytes of its ids."""
     # cut before the rows multiply, so that no piece carries the whole document
     cut = F.transform("pieces", lambda p: p.withField("part", F.substring(F.col("ids"), (p["start"] * 4 + 1).cast("int"), (p["length"] * 4).cast("int"))))
-    return ids.join(narrow, "row").select("row", "key", "n", F.inline(cut))
+    return ids.select("row", "ids").join(placed, "row").select("row", "key", "n", F.inline(cut))
+
+
+def pack(ids: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Pieces with their ids, of a written table of :func:`encoded`; every document moves once."""
+    return with_parts(placed_pieces(ids, window), ids)
+
+
+def piece_digests(ids: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(key, n, start, length, sequence_id, offset, crc32) per piece.
+
+    Whole windows and whole remainders have their digests since they were
+    encoded; only documents that are cut elsewhere, at most one a sequence of
+    residuals, are read again.
+    """
+    placed = materialize(placed_pieces(ids, window))
+    whole = F.size("pieces") == F.size("digests")
+    known = F.transform("pieces", lambda p, i: p.withField("crc32", F.get("digests", i)))
+    uncut = placed.filter(whole).select("key", "n", F.inline(known))
+    cut = with_parts(broadcast_if_small(placed.filter(~whole)), ids)
+    return uncut.unionByName(cut.select("key", "n", "start", "length", "sequence_id", "offset", F.crc32("part").alias("crc32")))
 
 
 def sequences(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -316,12 +401,6 @@ def sequences(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where every piece of every document lies, and a digest of its ids."""
     ids = materialize(encoded(table(spark, sf_dir, "documents"), "doc_id", "text"))
-    return pack(ids).select(
-        F.col("key").alias("doc_id"),
-        "start",
-        "length",
-        F.crc32("part").alias("ids_crc32"),
-        F.col("n").alias("doc_tokens"),
-        "sequence_id",
-        "offset",
+    return piece_digests(ids).select(
+        F.col("key").alias("doc_id"), "start", "length", F.col("crc32").alias("ids_crc32"), F.col("n").alias("doc_tokens"), "sequence_id", "offset"
     )

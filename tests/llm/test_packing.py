@@ -40,14 +40,27 @@ def check(pieces, want, window=packing.WINDOW):
     return padding
 
 
+def same_digests(ids, window=packing.WINDOW):
+    """Digests that were known when encoding equal those of the pieces."""
+    parts = sorted((p.key or 0, p.n, p.start, p.length, p.sequence_id, p.offset, zlib.crc32(bytes(p.part))) for p in packing.pack(ids, window).collect())
+    return parts == sorted((p.key or 0, p.n, p.start, p.length, p.sequence_id, p.offset, p.crc32) for p in packing.piece_digests(ids, window).collect())
+
+
 def rows_of(ids):
     return {r.row: np.frombuffer(bytes(r.ids), "<u4") for r in ids.collect()}
 
 
-def test_ids_are_those_of_the_whole_text(docs, odd, tokenizer):
-    rows = [*odd, (20, "a b " * 100_000), (21, "x" * 200_000), (22, "say <|endoftext|> here"), (23, "é 'd it's  \n\n  don 't 1 2 a b " * 5_000)]
+@pytest.mark.parametrize("part, remembered", [(1 << 20, 1 << 24), (50, 10)])
+def test_ids_are_those_of_the_whole_text(docs, odd, tokenizer, monkeypatch, part, remembered):
+    encoder = packing.Encoder(packing.vocabulary_path())
+    monkeypatch.setattr(packing, "REMEMBERED", remembered)
+    tokenizer.encode_special_tokens = True
+    monkeypatch.setattr(packing.parts, "__defaults__", (part,))
+    rows = [*odd, (24, "a\x1cb!\x1c ?\x85x\u2028\u3000 y  z\t\n é\n\n \n!"), (27, "word's it'll x' 's don't! été, ²x ªº «quote» _a_ a_b"), (25, " lead"), (26, "trail \n "), (20, "a b " * 100_000), (21, "x" * 200_000), (22, "say <|endoftext|> here"), (23, "é 'd it's  \n\n  don 't 1 2 a b " * 5_000)]
     got = packing.encoded(docs(rows), "doc_id", "text").collect()
     tokenizer.encode_special_tokens = True
+    for _, t in rows:
+        assert np.frombuffer(encoder.ids(t or ""), "<u4").tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids
     want = sorted((str(k), [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]) for k, t in rows)
     assert sorted((str(r.key), np.frombuffer(bytes(r.ids), "<u4").tolist()) for r in got) == want
 
@@ -55,9 +68,10 @@ def test_ids_are_those_of_the_whole_text(docs, odd, tokenizer):
 @pytest.mark.parametrize("window", [8, 64, 2048])
 def test_every_id_once(docs, odd, prose, window):
     df = docs([*odd, *[(100 + i, prose(i % 90, i)) for i in range(300)]])
-    ids = materialize(packing.encoded(df, "doc_id", "text"))
+    ids = materialize(packing.encoded(df, "doc_id", "text", window=window))
     pieces = packing.pack(ids, window).collect()
     assert check(pieces, rows_of(ids), window) == 0
+    assert same_digests(ids, window)
 
 
 def test_hot_length_and_buckets(docs, prose, monkeypatch):
