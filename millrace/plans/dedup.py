@@ -76,12 +76,12 @@ def ngram_sets(spark, sf_dir):
     )
 
 
-@query(f"WITH {GRAMS_SQL}, {HASH_SQL} SELECT doc_id, count(*) AS n_hashes, min(h) AS low, max(h) AS high FROM hashes GROUP BY doc_id")
+@query(f"""
+WITH {GRAMS_SQL}, {HASH_SQL} SELECT d.doc_id, count(h) AS n_hashes, min(h) AS low, max(h) AS high FROM documents d LEFT JOIN hashes USING (doc_id) GROUP BY d.doc_id""")
 def ngram_hashes(spark, sf_dir):
+    """Texts of fewer tokens than an n-gram has have no hashes."""
     d = table(spark, sf_dir, "documents").select("doc_id", dedup_tokens("text").alias("t"))
-    # The filter is on the token count: one on the hashes would be pushed below
-    # the split and repeat it for every n-gram.
-    h = d.filter(F.size("t") >= 5).select("doc_id", sha1_heads(ngram_set("t", 5)).alias("h"))
+    h = d.select("doc_id", sha1_heads(ngram_set("t", 5)).alias("h"))
     return h.select(
         "doc_id",
         F.size("h").cast("bigint").alias("n_hashes"),
@@ -90,8 +90,6 @@ def ngram_hashes(spark, sf_dir):
     )
 
 
-
-
 @query(f"WITH {signature_sql(SHORT_PERM)} SELECT doc_id, string_agg(CAST(s AS VARCHAR), ',' ORDER BY i) AS signature FROM sig GROUP BY doc_id")
 def minhash_signatures(spark, sf_dir):
     sigs = neardup.signatures(table(spark, sf_dir, "documents"), "doc_id", "text", SHORT_PERM)

@@ -40,6 +40,25 @@ def unified_roundtrip(spark, sf_dir):
     return spark.read.parquet(path).groupBy("source_dataset").agg(F.count("*").alias("records"))
 
 
+@query("""
+SELECT lang AS language, count(*) AS records, count(*) FILTER (doc_id % 2 = 0) AS with_code, CAST(0 AS BIGINT) AS with_ir,
+  CAST(sum(CASE WHEN doc_id % 3 = 0 THEN doc_id ELSE 0 END) AS BIGINT) AS est_tokens, CAST(6 AS BIGINT) AS n_columns FROM documents GROUP BY lang""")
+def unified_fill(spark, sf_dir):
+    """Absent columns come back as null, absent and null token counts as 0."""
+    path = _folder(spark, "filled")
+    d = table(spark, sf_dir, "documents")
+    rows = d.select(
+        F.when(F.col("doc_id") % 2 == 0, F.col("text")).alias("source_code"), F.col("lang").alias("language"),
+        F.when(F.col("doc_id") % 3 == 0, F.col("doc_id")).alias("est_tokens"), F.lit("x").alias("unknown"),
+    )
+    writers.write_unified(rows, path)
+    back = spark.read.parquet(path)
+    return back.groupBy("language").agg(
+        F.count("*").alias("records"), F.count("source_code").alias("with_code"), F.count("llvm_ir").alias("with_ir"),
+        F.sum(F.when(F.col("est_tokens").isNotNull(), F.col("est_tokens"))).alias("est_tokens"),
+    ).withColumn("n_columns", F.lit(len(back.columns)).cast("bigint"))
+
+
 @query(ORACLES["split_random"])
 def split_roundtrip(spark, sf_dir):
     path = _folder(spark, "splits")
