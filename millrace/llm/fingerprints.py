@@ -1,205 +1,243 @@
-"""Order MinHash fingerprints of documents.
+"""Order MinHash fingerprints of documents, in DataFrame operations only.
 
 A text becomes tokens: its runs of non-blank characters, long ones in pieces of
-:data:`PIECE`.  Every token starts a k-mer of two tokens (shorter at the end of
-the text), and equal k-mers of a text are numbered by occurrence.  Each of
-:data:`SKETCHES` hash functions, seeded on its own, gives every numbered k-mer a
-value, selects the :data:`TUPLE` smallest, puts them back into text order and
-hashes the tuple of their k-mers.  Moving or editing text changes k-mers, their
-numbers or their order, so the share of equal tuples follows edit distance rather
+:data:`PIECE`.  Every token starts a k-mer of :data:`K` tokens (shorter at the
+end of the text), and equal k-mers of a text are numbered by occurrence.  Each
+of :data:`SKETCHES` hash functions (the XXH64 of a numbered k-mer, seeded by the
+function) selects the two smallest of all numbered k-mers, puts them back into
+text order and hashes the pair.  Moving or editing text changes k-mers, their
+numbers or their order, so the share of equal pairs follows edit distance rather
 than set overlap alone (Marcais et al. 2019); its standard error is
 sqrt(p (1 - p) / SKETCHES).
 
-No k-mer is left out, and every function orders all of them by a mixed hash of
-its own.  A text's values are a matrix, functions by k-mers, built in blocks of
-:data:`BLOCK` k-mers inside Arrow batches, so memory does not grow with the text.
-Nothing is shuffled but the documents themselves, once, with their sketch, to
-stand beside their neighbour.  (In column expressions alone the same minima cost
-twice the limit of CPU time: every function visits every k-mer, and lambdas over
-arrays are interpreted.)
+**Numbering** happens inside the row: sorting packed numbers (key in the high
+bits, position in the low ones) groups equal k-mers, and a galloping search over
+the sorted row numbers them.
+
+**Minima.**  The numbered k-mers leave their row inside one generated stage, meet
+every function there, and those above a bound that about :data:`LIKELY` of a
+function's values pass are dropped on the spot: fewer than two pass less often
+than two 64-bit hashes collide, and such a function takes what there is.  The
+others go into an aggregate per text and function.  Plain minima give the second
+smallest exactly: the minimum over all, and for every bit of the position the
+minima of the k-mers with and without it.  The second smallest differs from the
+smallest in some bit, so it is the least of the minima on the other side, and the
+bits in which it does so are those in which its position differs.
+
+The texts are dealt into ranges of the key before, at most :data:`ROWS_PER_BUCKET`
+a range, and all aggregates keep to that partitioning: the documents are shuffled
+once, to stand beside their neighbour, and nothing else is.
 
 A null text is an empty one; all empty texts have one fingerprint.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
-
-import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_rows, table
+from millrace.functions.text import let
+from millrace.llm.common import table
 from millrace.operators.prefix import range_bounds, range_bucket
 
 PIECE = 8
+K = 2
 SKETCHES = 64
-TUPLE = 2
-#: K-mers of a block of the matrix: 64 functions take 2 MB.
-BLOCK = 4096
-ROWS_PER_BUCKET = 4096
-CHARS_PER_BUCKET = 1 << 24
-ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
-HALF = np.uint64(32)
-LARGEST = np.uint64((1 << 64) - 1)
-
-
-def mixed(values: np.ndarray) -> np.ndarray:
-    """A one-to-one mixing of 64-bit numbers in which every bit depends on all bits."""
-    values = (values ^ (values >> HALF)) * ODD[0]
-    values = (values ^ (values >> HALF)) * ODD[1]
-    return values ^ (values >> HALF)
-
-
-def seeds(count: int) -> np.ndarray:
-    return mixed(np.arange(1, count + 1, dtype=np.uint64) * ODD[2])
-
-
-class Sketcher:
-    """Sketches of texts; hashes of tokens are remembered while there are not too many."""
-
-    def __init__(self, count: int = SKETCHES, piece: int = PIECE, block: int = BLOCK):
-        self.seeds, self.block = seeds(count)[:, None], block
-        self.token = re.compile(rf"[^\x20\x09-\x0D]{{1,{piece}}}")
-        self.known: dict[str, int] = {}
-
-    def hashes(self, tokens: list[str]) -> np.ndarray:
-        known = self.known
-        if len(known) > 500_000:
-            known.clear()
-        for t in set(tokens).difference(known):
-            known[t] = xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"))
-        return np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
-
-    def kmers(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Per token the hash of its k-mer, and of the k-mer with its number among equal ones."""
-        first = self.hashes(self.token.findall(text))
-        then = np.zeros_like(first)
-        then[:-1] = first[1:]
-        kmers = mixed(first * ODD[2] + mixed(then))
-        order = np.argsort(kmers, kind="stable")
-        grouped = kmers[order]
-        starts = np.flatnonzero(np.r_[True, grouped[1:] != grouped[:-1]]) if len(kmers) else np.zeros(0, np.int64)
-        numbers = np.empty(len(kmers), np.uint64)
-        numbers[order] = np.arange(len(kmers)) - np.repeat(starts, np.diff(np.r_[starts, len(kmers)]))
-        return kmers, mixed(kmers + numbers * ODD[2])
-
-    def smallest(self, marks: np.ndarray) -> np.ndarray:
-        """Places of the :data:`TUPLE` smallest values of every function, in text order; -1 where there are fewer."""
-        rows = np.arange(len(self.seeds))
-        values = np.full((len(rows), TUPLE), LARGEST)
-        places = np.full((len(rows), TUPLE), -1, np.int64)
-        for at in range(0, len(marks), self.block):
-            drawn = mixed(marks[None, at : at + self.block] ^ self.seeds)
-            found, spots = [values], [places]
-            for _ in range(min(TUPLE, drawn.shape[1])):
-                low = drawn.argmin(axis=1)
-                found.append(drawn[rows, low][:, None])
-                spots.append(low[:, None] + at)
-                drawn[rows, low] = LARGEST
-            values, places = np.hstack(found), np.hstack(spots)
-            best = np.argsort(values, axis=1, kind="stable")[:, :TUPLE]
-            values, places = np.take_along_axis(values, best, 1), np.take_along_axis(places, best, 1)
-        return np.sort(places, axis=1)
-
-    def sketch(self, text: str | None) -> bytes:
-        """One 32-bit hash per function, big-endian."""
-        kmers, marks = self.kmers(text or "")
-        places = self.smallest(marks)
-        out = self.seeds[:, 0].copy()
-        for column in places.T:
-            there = column >= 0
-            out[there] = mixed(out[there] * ODD[0] + kmers[column[there]])
-        return (out >> HALF).astype(">u4").tobytes()
-
-
-def sketches(df: DataFrame, text: str, name: str, count: int = SKETCHES, piece: int = PIECE, keep: bool = True) -> DataFrame:
-    """``df`` with the sketch of ``text`` as binary column ``name``, and without the text unless ``keep``."""
-    df = df.select(text, *[c for c in df.columns if c != text])
-    sketcher: list[Sketcher] = []
-
-    def run(given, *row):
-        if not sketcher:
-            sketcher.append(Sketcher(count, piece))
-        return (*((given,) if keep else ()), *row, sketcher[0].sketch(given))
-
-    out = df if keep else df.drop(text)
-    return map_rows(df, run, out.select("*", F.lit(b"").alias(name)).schema)
+LIKELY = 40
+ROWS_PER_BUCKET = 1024
+CHARS_PER_BUCKET = 1 << 22
+MAX_BUCKETS = 65_536
+LOW = 0xFFFFFFFF
+
+
+def _call(name: str, *args: Column) -> Column:
+    return F.call_function(name, *args)
+
+
+def tokens(text: Column, piece: int = PIECE) -> Column:
+    return F.regexp_extract_all(text, F.lit(rf"[^\x20\x09-\x0D]{{1,{piece}}}"), F.lit(0))
+
+
+def _packed(key: Column, position: Column, mask: Column) -> Column:
+    """A number that sorts by the key's high bits and carries the position in its low ones."""
+    return key.bitwiseAND(F.bitwise_not(mask)).bitwiseOR(position.cast("bigint"))
+
+
+def _follows(rows: Column, index: Column, entry: Column, mask: Column, back: Column | None = None) -> Column:
+    """Whether the entry so many places before has the same key."""
+    earlier = F.get(rows, index - (F.lit(1) if back is None else back))
+    # they differ in position bits only; before the first entry there is null
+    return earlier.bitwiseXOR(entry).between(F.lit(0).cast("bigint"), mask)
+
+
+def _occurrence(rows: Column, index: Column, entry: Column, mask: Column, steps: Column) -> Column:
+    """Number of the entry among those of equal key, from 1; equal keys stand together in ``rows``."""
+    return 1 + F.aggregate(
+        steps, F.lit(0), lambda n, step: F.when(_follows(rows, index, entry, mask, n + step), n + step).otherwise(n)
+    )
+
+
+def numbered_kmers(text: Column, k: int = K, piece: int = PIECE) -> Column:
+    """Array of (mark, pos): the hash of every k-mer with its number among equal ones, and where it starts."""
+
+    def of_kmers(kmers: Column) -> Column:
+        bits = F.length(F.bin(F.size(kmers).cast("bigint")))
+        return let(bits, lambda bits: let(_call("shiftleft", F.lit(1).cast("bigint"), bits) - 1, lambda mask: of_mask(kmers, bits, mask)))
+
+    def of_mask(kmers: Column, bits: Column, mask: Column) -> Column:
+        # 2^(bits-1) .. 2, 1: the strides of the search for the first of a run
+        strides = F.transform(F.sequence(bits - 1, F.lit(0), F.lit(-1)), lambda b: _call("shiftleft", F.lit(1), b))
+        grouped = F.sort_array(F.transform(kmers, lambda h, i: _packed(h, i, mask)))
+
+        def numbered(rows: Column, steps: Column) -> Column:
+            def one(p: Column, i: Column) -> Column:
+                number = F.when(_follows(rows, i, p, mask), _occurrence(rows, i, p, mask, steps)).otherwise(F.lit(1))
+                at = p.bitwiseAND(mask).cast("int")
+                return F.struct(F.xxhash64(F.get(kmers, at), number).alias("mark"), at.alias("pos"))
+
+            return F.transform(rows, one)
+
+        return let(grouped, lambda rows: let(strides, lambda steps: numbered(rows, steps)))
+
+    def of_tokens(words: Column) -> Column:
+        kmers = F.transform(words, lambda w, i: F.xxhash64(w, *[F.get(words, i + n) for n in range(1, k)]))
+        return let(kmers, of_kmers)
+
+    return let(tokens(F.coalesce(text, F.lit("")), piece), of_tokens)
+
+
+def _pair_hash(bits: int) -> Column:
+    """The hash of a function's two smallest values in text order, from the minima of :func:`minima`."""
+
+    def has(b: int) -> Column:
+        return F.col("first_pos").bitwiseAND(F.lit(1 << b)) != 0
+
+    other = [F.when(has(b), F.col(f"without{b}")).otherwise(F.col(f"with{b}")) for b in range(bits)]
+    second = F.least(*other)
+    # at the highest bit in which the positions differ, the later one has a one
+    earlier = F.lit(False)
+    for b in range(bits):
+        earlier = F.when(other[b] == F.col("second"), has(b)).otherwise(earlier)
+    return second, earlier
+
+
+def minima(marks: DataFrame, keys: list[str], longest: int, count: int = SKETCHES) -> DataFrame:
+    """(keys, j, pair) per text and function; ``marks`` has (keys, marks), ``longest`` bounds the positions."""
+    bits = max(2, longest.bit_length())
+    n = F.size("marks")
+    bound = F.when(n > 2 * LIKELY, ((F.lit(2.0 * LIKELY) / n - 1.0) * 2.0**63).cast("bigint")).otherwise(F.lit((1 << 63) - 1))
+    each = marks.select(*keys, bound.alias("bound"), F.explode_outer("marks").alias("x")).select(*keys, "bound", "x.mark", "x.pos")
+    drawn = each.select(*keys, "bound", "mark", "pos", F.explode(F.array(*[F.lit(j) for j in range(1, count + 1)])).alias("j"))
+    value = F.when(F.col("mark").isNotNull(), F.xxhash64("j", "mark"))
+    # a text without k-mers keeps one row
+    passed = drawn.select(*keys, "j", "pos", "bound", value.alias("h")).filter((F.col("h") <= F.col("bound")) | (F.col("h").isNull() & (F.col("j") == 1)))
+    sides = []
+    for b in range(bits):
+        bit = F.col("pos").bitwiseAND(F.lit(1 << b))
+        sides += [F.min(F.when(bit == 0, F.col("h"))).alias(f"without{b}"), F.min(F.when(bit != 0, F.col("h"))).alias(f"with{b}")]
+    found = passed.groupBy(*keys, "j").agg(F.min("h").alias("first"), F.min_by("pos", "h").alias("first_pos"), *sides)
+    second, earlier = _pair_hash(bits)
+    sides_gone = found.withColumn("second", second).withColumn("earlier", earlier).select(*keys, "j", "first", "second", "earlier")
+    pair = (
+        F.when(F.col("first").isNull(), F.xxhash64("j"))
+        .when(F.col("second").isNull(), F.xxhash64("j", "first"))
+        .when(F.col("earlier"), F.xxhash64("j", "second", "first"))
+        .otherwise(F.xxhash64("j", "first", "second"))
+    )
+    return sides_gone.select(*keys, "j", pair.bitwiseAND(F.lit(LOW)).alias("pair"))
+
+
+def sketches(df: DataFrame, keys: list[str], texts: dict[str, Column], longest: int, count: int = SKETCHES) -> DataFrame:
+    """(keys, a sketch per text): arrays of ``count`` 32-bit numbers.
+
+    ``keys`` tell the rows of ``df`` apart; where ``df`` is partitioned by some of
+    them, no row moves.  A null text has no sketch.
+    """
+    named = F.array(*[F.struct(F.lit(n).alias("which"), text.alias("text")) for n, text in enumerate(texts.values())])
+    rows = df.select(*keys, F.explode(named).alias("_t")).filter("_t.text IS NOT NULL")
+    marked = rows.select(*keys, F.col("_t.which").alias("which"), numbered_kmers(F.col("_t.text")).alias("marks"))
+    pairs = minima(marked, [*keys, "which"], longest, count)
+    spread = [
+        F.max(F.when((F.col("which") == n) & (F.col("j") == j), F.col("pair"))).alias(f"p{n}_{j}")
+        for n in range(len(texts))
+        for j in range(1, count + 1)
+    ]
+    there = [F.count_if(F.col("which") == n).alias(f"there{n}") for n in range(len(texts))]
+    wide = pairs.groupBy(*keys).agg(*there, *spread)
+
+    def sketch(n: int) -> Column:
+        # functions that a text without k-mers has no row of
+        values = F.array(*[F.coalesce(F.col(f"p{n}_{j}"), F.xxhash64(F.lit(j)).bitwiseAND(F.lit(LOW))) for j in range(1, count + 1)])
+        return F.when(F.col(f"there{n}") > 0, values)
+
+    return wide.select(*keys, *[sketch(n).alias(name) for n, name in enumerate(texts)])
 
 
 def printed(sketch: Column | str) -> Column:
     """Eight hex digits per hash function."""
-    return F.lower(F.hex(sketch))
+    return F.array_join(F.transform(sketch, lambda h: F.lpad(F.lower(F.hex(h)), 8, "0")), "")
 
 
-def likeness(a: Column | str, b: Column | str, count: int = SKETCHES) -> Column:
+def likeness(a: Column | str, b: Column | str) -> Column:
     """Share of hash functions that agree."""
-    def part(c: Column | str, j: int) -> Column:
-        return F.substring(c, 4 * j + 1, 4)
-
-    return sum((part(a, j) == part(b, j)).cast("int") for j in range(count)) / F.lit(count)
+    equal = F.zip_with(a, b, lambda x, y: (x == y).cast("int"))
+    return F.aggregate(equal, F.lit(0), lambda n, e: n + e) / F.size(a)
 
 
-def beside_next(
-    df: DataFrame, key: str, text: str, derive: Callable[[DataFrame], DataFrame] | None = None, rows_per_bucket: int = ROWS_PER_BUCKET
-) -> DataFrame:
-    """(key, text, derived columns, next) per row.
-
-    ``next`` is a struct of the text and derived columns of the following row in
-    descending key order, after the last the first.  ``derive`` adds columns, once
-    per row, before the rows move.
+def beside_next(df: DataFrame, key: str, text: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """(bucket, place, extra, key, text, next_text): every row beside the following one in descending key order, after the last the first.
 
     The order is cut into ranges of keys; each row goes to its range once, and
-    the first row of every range also to the range before it, so no window
-    spans more than a range.  Null keys come last; ties are ordered by digest.
-    ``df`` is read three times: keys and lengths, first rows, all.
+    the first row of every range also to the range before it, as an extra row
+    without a successor, so no window spans more than a range.  Null keys come
+    last; ties are ordered by digest.  ``df`` is read three times: keys and
+    lengths, first rows, all.
     """
     bounds = range_bounds(
-        df, key, rows_per_bucket, weight=F.coalesce(F.char_length(text), F.lit(0)), weight_per_bucket=CHARS_PER_BUCKET
+        df, key, rows_per_bucket, MAX_BUCKETS, weight=F.coalesce(F.char_length(text), F.lit(0)), weight_per_bucket=CHARS_PER_BUCKET
     )
     bucket = F.when(F.col(key).isNull(), F.lit(-1)).otherwise(range_bucket(key, bounds))
-    marked = df.select(F.col(key), F.col(text), bucket.alias("_bucket"), F.xxhash64(text).alias("_tie"))
-    firsts = marked.groupBy("_bucket").agg(F.max(F.struct(key, "_tie")).alias("_first"))
+    marked = df.select(F.col(key).alias("key"), F.col(text).alias("text"), bucket.alias("bucket"), F.xxhash64(text).alias("tie"))
+    firsts = marked.groupBy("bucket").agg(F.max(F.struct("key", "tie")).alias("first"))
     # at most one row per range; the table of ranges is small by construction
-    around = Window.partitionBy(F.lit(0)).orderBy(F.col("_bucket").desc())
-    whole = Window.partitionBy(F.lit(0)).orderBy(F.col("_bucket").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    target = F.coalesce(F.lag("_bucket").over(around), F.last("_bucket").over(whole))
-    wanted = firsts.select(
-        F.col(f"_first.{key}").alias("_k"), F.col("_first._tie").alias("_t"), target.alias("_to")
-    )
+    around = Window.partitionBy(F.lit(0)).orderBy(F.col("bucket").desc())
+    whole = Window.partitionBy(F.lit(0)).orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    target = F.coalesce(F.lag("bucket").over(around), F.last("bucket").over(whole))
+    wanted = firsts.select(F.col("first.key").alias("k"), F.col("first.tie").alias("t"), target.alias("to"))
     heads = (
-        marked.join(F.broadcast(wanted), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_tie") == F.col("_t")))
-        .dropDuplicates(["_to"])
-        .select(key, text, F.col("_to").alias("_bucket"), "_tie", F.lit(True).alias("_extra"))
+        marked.join(F.broadcast(wanted), F.col("key").eqNullSafe(F.col("k")) & (F.col("tie") == F.col("t")))
+        .dropDuplicates(["to"])
+        .select("key", "text", F.col("to").alias("bucket"), "tie", F.lit(True).alias("extra"))
     )
-    both = marked.withColumn("_extra", F.lit(False)).unionByName(heads)
-    own = set(both.columns)
-    both = derive(both) if derive else both
-    columns = [text, *[c for c in both.columns if c not in own]]
-    order = Window.partitionBy("_bucket").orderBy("_extra", F.col(key).desc_nulls_last(), F.col("_tie").desc())
-    # column by column: a struct would be put together before the shuffle and carry the text twice
-    beside = both.withColumns({f"_next_{c}": F.lead(c).over(order) for c in columns}).filter(~F.col("_extra"))
-    return beside.select(key, *columns, F.struct(*[F.col(f"_next_{c}").alias(c) for c in columns]).alias("next"))
+    both = marked.withColumn("extra", F.lit(False)).unionByName(heads)
+    # a range or a few of them each, whatever the session's number of partitions
+    dealt = both.repartition(max(len(bounds.values) + 1, df.sparkSession.sparkContext.defaultParallelism), "bucket")
+    order = Window.partitionBy("bucket").orderBy("extra", F.col("key").desc_nulls_last(), F.col("tie").desc())
+    return dealt.withColumns({"next_text": F.lead("text").over(order), "place": F.row_number().over(order)}).drop("tie")
 
 
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and how alike they and the next document's are."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    longest = docs.agg(F.coalesce(F.max(F.char_length("text")), F.lit(0))).first()[0]
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half))
-    rows = beside_next(docs, "doc_id", "text", lambda both: sketches(both, "text", "sketch")).select(
-        "doc_id", n.cast("bigint").alias("n_chars"), "sketch", F.col("next.sketch").alias("next_sketch"), edited.alias("edited")
-    )
-    both = sketches(rows.withColumn("edited_sha256", F.sha2("edited", 256)), "edited", "edited_sketch", keep=False)
+    edited = F.when(~F.col("extra"), F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)))
+    rows = beside_next(docs, "doc_id", "text").select("bucket", "place", "extra", "key", "text", edited.alias("edited"))
+    # the digest as numbers, which an aggregate's keys hold in place
+    digest = F.sha2("edited", 256)
+    quarters = {f"d{i}": F.conv(F.substring(digest, 16 * i + 1, 16), 16, -10).cast("bigint") for i in range(4)}
+    keys = ["bucket", "place", "extra", "key", "n_chars", *quarters]
+    texts = {"own": F.col("text"), "new": F.col("edited")}
+    found = sketches(rows.withColumns({"n_chars": F.char_length("text").cast("bigint"), **quarters}), keys, texts, longest)
+    after = F.lead("own").over(Window.partitionBy("bucket").orderBy("place"))
+    both = found.withColumn("after", after).filter(~F.col("extra"))
     return both.select(
-        "doc_id",
+        F.col("key").alias("doc_id"),
         "n_chars",
-        "edited_sha256",
-        printed("sketch").alias("fingerprint"),
-        printed("edited_sketch").alias("edited_fingerprint"),
-        likeness("sketch", "edited_sketch").alias("near_edited"),
-        likeness("sketch", "next_sketch").alias("near_next"),
+        F.concat(*[F.lower(F.lpad(F.hex(d), 16, "0")) for d in quarters]).alias("edited_sha256"),
+        printed("own").alias("fingerprint"),
+        printed("new").alias("edited_fingerprint"),
+        likeness("own", "new").alias("near_edited"),
+        likeness("own", "after").alias("near_next"),
     )
