@@ -43,7 +43,7 @@ from millrace.operators.prefix import range_bounds, range_bucket
 PIECE = 8
 K = 2
 SKETCHES = 64
-LIKELY = 40
+LIKELY = 28
 ROWS_PER_BUCKET = 1024
 CHARS_PER_BUCKET = 1 << 22
 MAX_BUCKETS = 65_536
@@ -106,21 +106,6 @@ def numbered_kmers(text: Column, k: int = K, piece: int = PIECE) -> Column:
     return let(tokens(F.coalesce(text, F.lit("")), piece), of_tokens)
 
 
-def _pair_hash(bits: int) -> Column:
-    """The hash of a function's two smallest values in text order, from the minima of :func:`minima`."""
-
-    def has(b: int) -> Column:
-        return F.col("first_pos").bitwiseAND(F.lit(1 << b)) != 0
-
-    other = [F.when(has(b), F.col(f"without{b}")).otherwise(F.col(f"with{b}")) for b in range(bits)]
-    second = F.least(*other)
-    # at the highest bit in which the positions differ, the later one has a one
-    earlier = F.lit(False)
-    for b in range(bits):
-        earlier = F.when(other[b] == F.col("second"), has(b)).otherwise(earlier)
-    return second, earlier
-
-
 def minima(marks: DataFrame, keys: list[str], longest: int, count: int = SKETCHES) -> DataFrame:
     """(keys, j, pair) per text and function; ``marks`` has (keys, marks), ``longest`` bounds the positions."""
     bits = max(2, longest.bit_length())
@@ -136,15 +121,17 @@ def minima(marks: DataFrame, keys: list[str], longest: int, count: int = SKETCHE
         bit = F.col("pos").bitwiseAND(F.lit(1 << b))
         sides += [F.min(F.when(bit == 0, F.col("h"))).alias(f"without{b}"), F.min(F.when(bit != 0, F.col("h"))).alias(f"with{b}")]
     found = passed.groupBy(*keys, "j").agg(F.min("h").alias("first"), F.min_by("pos", "h").alias("first_pos"), *sides)
-    second, earlier = _pair_hash(bits)
-    sides_gone = found.withColumn("second", second).withColumn("earlier", earlier).select(*keys, "j", "first", "second", "earlier")
-    pair = (
-        F.when(F.col("first").isNull(), F.xxhash64("j"))
-        .when(F.col("second").isNull(), F.xxhash64("j", "first"))
-        .when(F.col("earlier"), F.xxhash64("j", "second", "first"))
-        .otherwise(F.xxhash64("j", "first", "second"))
-    )
-    return sides_gone.select(*keys, "j", pair.bitwiseAND(F.lit(LOW)).alias("pair"))
+    # what lies on the other side of the smallest in each bit
+    others = [F.when(F.col("first_pos").bitwiseAND(F.lit(1 << b)) == 0, F.col(f"with{b}")).otherwise(F.col(f"without{b}")) for b in range(bits)]
+    aside = found.select(*keys, "j", "first", "first_pos", *[o.alias(f"other{b}") for b, o in enumerate(others)])
+    known = aside.withColumn("second", F.least(*[F.col(f"other{b}") for b in range(bits)]))
+    # the bits in which its position differs
+    apart = sum((F.when(F.col(f"other{b}") == F.col("second"), F.lit(1 << b)).otherwise(F.lit(0)) for b in range(bits)), F.lit(0))
+    earlier = F.col("first_pos").bitwiseXOR(apart) < F.col("first_pos")
+    low = F.when(earlier, F.col("second")).otherwise(F.col("first"))
+    high = F.when(earlier, F.col("first")).otherwise(F.col("second"))
+    one = F.when(F.col("first").isNull(), F.xxhash64("j")).when(F.col("second").isNull(), F.xxhash64("j", "first"))
+    return known.select(*keys, "j", one.otherwise(F.xxhash64("j", low, high)).bitwiseAND(F.lit(LOW)).alias("pair"))
 
 
 def sketches(df: DataFrame, keys: list[str], texts: dict[str, Column], longest: int, count: int = SKETCHES) -> DataFrame:
