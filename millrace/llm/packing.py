@@ -55,9 +55,10 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Columns of the least-squares problem beyond the pairs; a bound of the driver's work, not of what is packed.
 COMBINATIONS = 20_000
 STEPS = 2_000
-#: Characters of a text that are cut up at a time, and of distinct cuts that a task remembers.
+#: Characters of a text that are cut up at a time.
 PART = 1 << 20
-REMEMBERED = 1 << 24
+#: Characters of distinct cuts after which a worker's memory becomes the old one, from which only what is asked for comes back.
+REMEMBERED = 1 << 21
 BATCH_BYTES = 1 << 25
 ROWS_PER_BUCKET = 8192
 MAX_BUCKET_BITS = 16
@@ -67,12 +68,12 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _OTHERS = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
 LIBRARY_LETTERS = {b: 256 + n for n, b in enumerate(_OTHERS)}
 LIBRARY_BLANK = chr(LIBRARY_LETTERS[32])
-#: A word of Latin letters, perhaps after a blank, and ASCII marks behind it.
-PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+#: A word of Latin letters, and ASCII marks behind it.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 CUT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-#: The same for texts without the four separators that Python alone takes for white space.
-QUICK_CUT = re.compile(r"\s*\S+|\s+")
-SEPARATORS = re.compile("[\x1c-\x1f]")
+#: White space beyond single blanks and line ends, in Python's wider sense.
+UNUSUAL = re.compile(r"[^\S \n]")
+NEIGHBOURS = ("  ", " \n", "\n ", "\n\n")
 _BORDER = re.compile(f"[^{SPACE}](?=[{SPACE}])")
 
 
@@ -89,59 +90,76 @@ def parts(text: str, size: int = PART) -> Iterator[str]:
 
 
 class Cuts(dict):
-    """The ids of cuts as bytes, little-endian unsigned 32-bit numbers; unknown ones are encoded when they are asked for."""
+    """Ids, as bytes, of ``prefix`` and the text asked for; unknown ones are encoded then.
 
-    def __init__(self, tokenizer):
+    Cuts that were not asked for since the memory was full are forgotten.
+    """
+
+    def __init__(self, prefix: str, tokenizer) -> None:
         super().__init__()
-        if tokenizer.normalizer is not None or tokenizer.post_processor is not None:
-            raise ValueError("not a plain byte-level vocabulary")
+        self.prefix = prefix
         # the library's two steps one by one: special tokens, which come before them, are text here
         self.words_of = tokenizer.pre_tokenizer.pre_tokenize_str
         self.merged = tokenizer.model.tokenize
-        self.words: dict[str, bytes] = {}
+        self.before = b"" if prefix in ("", " ") else self.general(prefix)
+        self.old: dict[str, bytes] = {}
         self.held = 0
 
-    def word(self, word: str, letters: str | None = None) -> bytes:
-        """Ids of a word, which the library knows by its own letters, one for each byte."""
-        found = self.words.get(word)
-        if found is None:
-            if letters is None:
-                letters = LIBRARY_BLANK + word[1:] if word[0] == " " else word
-                if not word.isascii():
-                    letters = word.encode().decode("latin-1").translate(LIBRARY_LETTERS)
-            found = self.words[word] = array("I", [t.id for t in self.merged(letters)]).tobytes()
-        return found
-
-    def __missing__(self, cut: str) -> bytes:
+    def word(self, letters: str) -> bytes:
+        """Ids of a word in the library's own letters, one for each byte."""
+        return array("I", [t.id for t in self.merged(letters)]).tobytes()
+
+    def general(self, cut: str) -> bytes:
+        return b"".join([self.word(w) for w, _ in self.words_of(cut)])
+
+    def encoded(self, text: str) -> bytes:
+        plain = PLAIN.fullmatch(text)
+        if plain is None:
+            return self.general(self.prefix + text)
+        if plain[2]:  # the library cuts between a word and marks
+            return self[plain[1]] + self.word(plain[2])
+        letters = text if text.isascii() else text.encode().decode("latin-1").translate(LIBRARY_LETTERS)
+        return self.before + self.word(LIBRARY_BLANK + letters if self.prefix == " " else letters)
+
+    def __missing__(self, text: str) -> bytes:
         if self.held > REMEMBERED:
+            self.old = dict(self)
             self.clear()
-            self.words.clear()
             self.held = 0
-        if plain := PLAIN.fullmatch(cut):
-            # a word and marks: what the library cuts it into
-            ids = self.word(plain[1])
-            if plain[2]:
-                ids += self.word(plain[2])
-        else:
-            ids = b"".join([self.word(cut[start:end], w) for w, (start, end) in self.words_of(cut)])
-        self.held += len(cut)
-        self[cut] = ids
+        found = self.old.pop(text, None)
+        ids = self.encoded(text) if found is None else found
+        self.held += len(text)
+        self[text] = ids
         return ids
 
 
 class Encoder:
-    """Ids of texts as bytes."""
+    """Ids of texts as bytes, little-endian unsigned 32-bit numbers."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         if array("I").itemsize != 4 or sys.byteorder != "little":
             raise ValueError("this machine has other numbers")
-        self.cuts = Cuts(Tokenizer.from_file(path))
+        tokenizer = Tokenizer.from_file(path)
+        if tokenizer.normalizer is not None or tokenizer.post_processor is not None:
+            raise ValueError(f"{path} is not a plain byte-level vocabulary")
+        self.after_blank, self.after_line, self.whole = (Cuts(prefix, tokenizer) for prefix in (" ", "\n", ""))
+
+    def part_ids(self, part: str) -> bytes:
+        if UNUSUAL.search(part) or any(pair in part for pair in NEIGHBOURS):
+            return b"".join(map(self.whole.__getitem__, CUT.findall(part)))
+        out = []
+        start, blank = self.whole, self.after_blank.__getitem__
+        for line in part.split("\n"):
+            first, *words = line.split(" ")
+            out.append(start[first])
+            out.extend(map(blank, words))
+            start = self.after_line
+        return b"".join(out)
 
     def ids(self, text: str) -> bytes:
-        cut = (CUT if SEPARATORS.search(text) else QUICK_CUT).findall
-        return b"".join([b"".join(map(self.cuts.__getitem__, cut(part))) for part in parts(text)])
+        return b"".join([self.part_ids(part) for part in parts(text)])
 
 
 @lru_cache(maxsize=2)
