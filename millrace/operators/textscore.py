@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.stem import nested_stems, stems
-from millrace.functions.text import col, strip, words
+from millrace.functions.text import col, let, strip, words
 
 MAX_ORDER = 4
 # Fixed value: smallest normal double, added inside the logarithms.
@@ -63,39 +63,28 @@ def _grams(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, F.transform(starts, gram)).otherwise(F.array().cast("array<string>"))
 
 
-def ngram_rows(df: DataFrame, key: str, tokens: str, orders: int = MAX_ORDER, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, n, gram) for every n-gram occurrence up to ``orders``."""
-    arrays = F.array(
-        *[F.struct(F.lit(n).alias("n"), _grams(F.col(tokens), n).alias("grams")) for n in range(1, orders + 1)]
-    )
-    per_order = df.select(key, *keep, F.explode(arrays).alias("_o"))
-    return per_order.select(key, *keep, F.col("_o.n").alias("n"), F.explode("_o.grams").alias("gram"))
+def _numbered(grams: Column) -> Column:
+    """Grams in order, each but the first of equal ones with its number, so that sets of them compare as multisets.
 
+    The separator is white space, which no word holds.
+    """
 
-def ngram_counts(df: DataFrame, key: str, tokens: str, orders: int = MAX_ORDER) -> DataFrame:
-    return ngram_rows(df, key, tokens, orders).groupBy(key, "n", "gram").agg(F.count("*").alias("cnt"))
+    def run(sorted_: Column, starts: Column, first: Column, j: Column) -> Column:
+        after = F.coalesce(F.get(starts, j + 1), F.size(sorted_))
+        more = F.transform(F.sequence(first + 1, after - 1), lambda i: F.concat_ws("\x1f", F.get(sorted_, first), (i - first).cast("string")))
+        return F.when(after == first + 1, F.array(F.get(sorted_, first))).otherwise(F.concat(F.array(F.get(sorted_, first)), more))
 
+    def numbered(sorted_: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(sorted_) - 1)
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(sorted_, i) != F.get(sorted_, i - 1)))
+        return let(starts, lambda found: F.flatten(F.transform(found, lambda first, j: run(sorted_, found, first, j))))
 
-def clipped_matches(
-    predictions: DataFrame, references: DataFrame, key: str, tokens: str, orders: int = MAX_ORDER
-) -> DataFrame:
-    """Per key and order the clipped matches.
+    return F.when(F.size(grams) > 0, let(F.sort_array(grams), numbered)).otherwise(grams)
 
-    A gram counts at most as often as in the reference that has it most.
-    ``references`` may hold several rows per key, told apart by ``ref_no``.
-    Both sides go to the key once; counting grams, taking the maximum over
-    references and clipping all happen inside that partitioning.
-    """
-    hyp = predictions.select(key, F.lit(-1).cast("bigint").alias("ref_no"), tokens)
-    ref = references.select(key, F.col("ref_no").cast("bigint").alias("ref_no"), tokens)
-    rows = ngram_rows(hyp.unionByName(ref).repartition(key), key, tokens, orders, keep=("ref_no",))
-    counted = rows.groupBy(key, "n", "gram", "ref_no").agg(F.count("*").alias("cnt"))
-    sides = counted.groupBy(key, "n", "gram").agg(
-        F.max(F.when(F.col("ref_no") < 0, F.col("cnt"))).alias("hyp"),
-        F.max(F.when(F.col("ref_no") >= 0, F.col("cnt"))).alias("ref"),
-    )
-    matched = F.sum(F.least("hyp", F.coalesce("ref", F.lit(0))))
-    return sides.filter("hyp IS NOT NULL").groupBy(key, "n").agg(matched.alias("matches"))
+
+def _shared(predicted: str, expected: str, n: int) -> Column:
+    """The n-grams of one array of words that the other has too, as often as both have them."""
+    return F.array_intersect(_numbered(_grams(F.col(predicted), n)), _numbered(_grams(F.col(expected), n)))
 
 
 def reference_length(lengths: Column, test_length: Column, rule: str = "shortest") -> Column:
@@ -136,20 +125,40 @@ def sentence_bleu(
 
     Of several predictions of a key the last one in ``order`` counts (without it,
     the last in text order).  Several references of a key are all references, in
-    the order of ``ref_no`` or of their texts.
+    the order of ``ref_no`` or of their texts.  Each reference meets the chosen
+    prediction in a row, and only the grams they share leave it.
     """
     chosen = F.max_by(text, order) if order else F.max(text)
-    hyp = predictions.groupBy(key).agg(chosen.alias("_t")).select(key, normalized_words(scored_text("_t")).alias("_w"))
+    hyp = predictions.groupBy(key).agg(chosen.alias("_t"))
     number = F.row_number().over(Window.partitionBy(key).orderBy(*([ref_no] if ref_no else []), text)) - 1
-    ref = references.select(key, number.alias("ref_no"), normalized_words(scored_text(text)).alias("_w"))
-    sized = ref.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ref_no", F.size("_w").cast("bigint").alias("len")))).alias("_refs"))
-    lengths = sized.select(key, F.transform("_refs", lambda x: x["len"]).alias("_lens"))
-    matches = clipped_matches(hyp, ref, key, "_w")
-    wide = matches.groupBy(key).agg(
-        *[F.sum(F.when(F.col("n") == n, F.col("matches"))).alias(f"_m{n}") for n in range(1, MAX_ORDER + 1)]
-    )
-    joined = hyp.select(key, F.size("_w").cast("bigint").alias("_len")).join(lengths, key).join(wide, key, "left")
-    return joined.select(key, _bleu(reference_length(F.col("_lens"), F.col("_len"), rule)))
+    ref = references.select(key, number.cast("bigint").alias("_no"), F.col(text).alias("_r"))
+    toks = hyp.join(ref, key).select(key, "_no", normalized_words(scored_text("_t")).alias("_p"), normalized_words(scored_text("_r")).alias("_e"))
+    length = F.size("_e").cast("bigint")
+
+    def shared(n: int) -> Column:
+        nothing = F.lit(None).cast("bigint")
+        return F.transform(_shared("_p", "_e", n), lambda g: F.struct(F.lit(n).alias("n"), nothing.alias("no"), nothing.alias("len"), g.alias("gram")))
+
+    # a record of order 0 carries the length of each reference
+    own = F.array(F.struct(F.lit(0).alias("n"), F.col("_no").alias("no"), length.alias("len"), F.lit("").alias("gram")))
+    records = F.concat(own, *[shared(n) for n in range(1, MAX_ORDER + 1)])
+    rows = toks.select(key, F.size("_p").cast("bigint").alias("_len"), F.explode(records).alias("_s")).select(key, "_len", "_s.*")
+    hits = [F.count_if(F.col("n") == n).alias(f"_m{n}") for n in range(1, MAX_ORDER + 1)]
+    sums = rows.distinct().groupBy(key, "_len").agg(*hits, _reference_length(rule).alias("_ref"))
+    return sums.select(key, _bleu(F.col("_ref")))
+
+
+def _reference_length(rule: str) -> Column:
+    """As :func:`reference_length`, as an aggregate over the records of order 0."""
+    own, length = F.col("n") == 0, F.col("len")
+    if rule == "shortest":
+        return F.min(length).cast("double")
+    if rule == "average":
+        return F.when(F.count_if(own) == F.count(length), F.sum(length) / F.count_if(own))
+    if rule == "closest":
+        gap = F.struct(F.abs(length - F.col("_len")).alias("gap"), F.col("no"), length.alias("len"))
+        return F.min(F.when(own, gap))["len"].cast("double")
+    raise ValueError(f"unknown reference length rule {rule!r}")
 
 
 def _bleu(ref_length: Column) -> Column:
@@ -160,23 +169,32 @@ def _bleu(ref_length: Column) -> Column:
 def pair_bleu(df: DataFrame, key: str, predicted: str, expected: str) -> DataFrame:
     """(key, bleu) for pairs that sit in one row each, ``key`` being unique.
 
-    Both sides' n-grams leave the row together and are counted and clipped where
-    they arrive: one shuffle and no join.
+    The n-grams of a pair are counted and clipped inside its row.  Only those of
+    a repeated key leave their rows, to be counted together with the pairs of
+    that key which have the same lengths.
     """
 
     def grams(side: int, words_of: str) -> list[Column]:
         return [F.struct(F.lit(side).alias("side"), F.lit(n).alias("n"), _grams(F.col(words_of), n).alias("grams")) for n in range(1, MAX_ORDER + 1)]
 
-    toks = df.select(key, normalized_words(scored_text(predicted)).alias("_p"), normalized_words(scored_text(expected)).alias("_e"))
+    alone = F.count("*").over(Window.partitionBy(key)) == 1
+    toks = df.select(key, F.col(predicted).alias("_p"), F.col(expected).alias("_e"), alone.alias("_alone"))
+    toks = toks.select(key, "_alone", normalized_words(scored_text("_p")).alias("_p"), normalized_words(scored_text("_e")).alias("_e"))
+    own = [f"_h{n}" for n in range(1, MAX_ORDER + 1)]
     # an empty gram of order 0 carries the lengths
     sizes = F.struct(F.lit(2).alias("side"), F.lit(0).alias("n"), F.array(F.lit("")).alias("grams"))
-    sides = toks.repartition(key).select(
-        key, F.size("_p").cast("bigint").alias("_len"), F.size("_e").cast("bigint").alias("_ref"), F.explode(F.array(sizes, *grams(0, "_p"), *grams(1, "_e"))).alias("_s")
+    sides = toks.select(
+        key,
+        F.size("_p").cast("bigint").alias("_len"),
+        F.size("_e").cast("bigint").alias("_ref"),
+        *[F.when(F.col("_alone"), F.size(_shared("_p", "_e", n))).alias(own[n - 1]) for n in range(1, MAX_ORDER + 1)],
+        F.explode(F.when(F.col("_alone"), F.array(sizes)).otherwise(F.array(sizes, *grams(0, "_p"), *grams(1, "_e")))).alias("_s"),
     )
-    rows = sides.select(key, "_len", "_ref", F.col("_s.side").alias("side"), F.col("_s.n").alias("n"), F.explode("_s.grams").alias("gram"))
-    counted = rows.groupBy(key, "_len", "_ref", "n", "gram").agg(F.count_if(F.col("side") == 0).alias("p"), F.count_if(F.col("side") == 1).alias("e"))
-    hits = [F.sum(F.when(F.col("n") == n, F.least("p", "e")).otherwise(0)).alias(f"_m{n}") for n in range(1, MAX_ORDER + 1)]
-    sums = counted.groupBy(key, "_len", "_ref").agg(*hits)
+    pair = [key, "_len", "_ref", *own]
+    rows = sides.select(*pair, F.col("_s.side").alias("side"), F.col("_s.n").alias("n"), F.explode("_s.grams").alias("gram"))
+    counted = rows.groupBy(*pair, "n", "gram").agg(F.count_if(F.col("side") == 0).alias("p"), F.count_if(F.col("side") == 1).alias("e"))
+    hits = [F.sum(F.when(F.col("n") == n, F.least("p", "e")).otherwise(0)) for n in range(1, MAX_ORDER + 1)]
+    sums = counted.groupBy(*pair).agg(*[F.coalesce(h, s).alias(f"_m{n}") for n, (h, s) in enumerate(zip(own, hits), 1)])
     return sums.select(key, _bleu(F.col("_ref").cast("double")))
 
 
