@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.batches import slices
 from millrace.functions.text import col
 
 
@@ -44,7 +45,7 @@ def _list_array(sequences: list[np.ndarray]) -> pa.Array:
 
 @F.arrow_udf(IDS)
 def _code_points(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for texts in batches:
+    for texts in slices(batches):
         yield _list_array([np.frombuffer((t or "").encode("utf-32-le"), dtype="<i4") for t in texts.to_pylist()])
 
 
@@ -68,7 +69,7 @@ def vocabulary_file(path: str, eos: int | None, pad: int | None = None) -> Encod
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        for texts in batches:
+        for texts in slices(batches):
             found = tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)
             yield _list_array([np.array(e.ids, dtype=np.int32) for e in found])
 

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.stem import nested_stems, stems
+from millrace.functions.batches import row_cuts
+from millrace.functions.stem import nested_stemmed_lists, nested_stems, stemmed_lists
 from millrace.functions.text import col, let, strip, words
 
 MAX_ORDER = 4
@@ -203,10 +204,9 @@ def corpus_bleu(sentence_scores: DataFrame) -> DataFrame:
     return sentence_scores.agg((F.avg("bleu") * 100.0).alias("bleu"), F.count("*").alias("sentences"))
 
 
-def rouge_words(text: Column | str, stemmed: bool = False) -> Column:
-    """Lower-cased runs of ASCII letters and digits; words of more than three letters as their stems if asked."""
-    found = F.regexp_extract_all(F.lower(col(text)), F.lit("([a-z0-9]+)"), 1)
-    return stems(found) if stemmed else found
+def rouge_words(text: Column | str) -> Column:
+    """Lower-cased runs of ASCII letters and digits."""
+    return F.regexp_extract_all(F.lower(col(text)), F.lit("([a-z0-9]+)"), 1)
 
 
 def f_measure(hits: Column, predicted: Column, expected: Column) -> Column:
@@ -216,7 +216,11 @@ def f_measure(hits: Column, predicted: Column, expected: Column) -> Column:
 
 def rouge_n(df: DataFrame, key: str, predicted: str, expected: str, n: int, stemmed: bool = False) -> DataFrame:
     """(key, f) for n-gram overlap; one shuffle of the pairs to their key."""
-    toks = df.repartition(key).select(key, rouge_words(predicted, stemmed).alias("_p"), rouge_words(expected, stemmed).alias("_e"))
+    toks = df.repartition(key).select(key, rouge_words(predicted).alias("_p"), rouge_words(expected).alias("_e"))
+    if stemmed:  # both sides in one function, so that a task needs one Python process
+        none = F.array().cast("array<string>")
+        toks = toks.select(key, nested_stems(F.array(F.coalesce("_p", none), F.coalesce("_e", none))).alias("_w"))
+        toks = toks.select(key, F.get("_w", F.lit(0)).alias("_p"), F.get("_w", F.lit(1)).alias("_e"))
     sides = F.array(
         F.struct(F.lit(0).alias("ref"), _grams(F.col("_p"), n).alias("g")), F.struct(F.lit(1).alias("ref"), _grams(F.col("_e"), n).alias("g"))
     )
@@ -245,10 +249,18 @@ def _lcs_length(a: list[str], b: list[str]) -> int:
     return len(a) - bin(row).count("1")
 
 
-@F.arrow_udf(T.LongType())
-def _lcs(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for left, right in pairs:
-        yield pa.array([_lcs_length(a or [], b or []) for a, b in zip(left.to_pylist(), right.to_pylist())], pa.int64())
+def _lcs(left: str, right: str, stemmed: bool) -> Column:
+    """Length of the longest common subsequence of two arrays of words, or of their stems."""
+
+    @F.arrow_udf(T.LongType())
+    def lengths(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for whole in pairs:
+            for start, rows in row_cuts(whole):
+                sides = [side.slice(start, rows) for side in whole]
+                sides = [(stemmed_lists(side) if stemmed else side).to_pylist() for side in sides]
+                yield pa.array([_lcs_length(a or [], b or []) for a, b in zip(*sides)], pa.int64())
+
+    return lengths(left, right)
 
 
 def _subsequence_places(expected: list[str], predicted: list[str]) -> set[int]:
@@ -313,19 +325,25 @@ def _union_hits(expected: list[list[str]], predicted: list[list[str]]) -> int:
     return hits
 
 
-@F.arrow_udf(T.LongType())
-def _summary_hits(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for expected, predicted in pairs:
-        yield pa.array(
-            [_union_hits(e or [], p or []) for e, p in zip(expected.to_pylist(), predicted.to_pylist())], pa.int64()
-        )
+def _summary_hits(expected: str, predicted: str, stemmed: bool) -> Column:
+    """:func:`_union_hits` of two arrays of sentences, each an array of words, or of their stems."""
+
+    @F.arrow_udf(T.LongType())
+    def hits(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for whole in pairs:
+            for start, rows in row_cuts(whole):
+                sides = [side.slice(start, rows) for side in whole]
+                sides = [(nested_stemmed_lists(side) if stemmed else side).to_pylist() for side in sides]
+                yield pa.array([_union_hits(e or [], p or []) for e, p in zip(*sides)], pa.int64())
+
+    return hits(expected, predicted)
 
 
 def rouge_l(df: DataFrame, key: str, predicted: str, expected: str, stemmed: bool = False) -> DataFrame:
     """(key, rougeL): F-measure over the longest common word subsequence."""
-    toks = df.select(key, rouge_words(predicted, stemmed).alias("_p"), rouge_words(expected, stemmed).alias("_e"))
-    hits = _lcs(F.col("_p"), F.col("_e"))
-    sized = toks.select(key, hits.alias("_h"), F.size("_p").alias("_np"), F.size("_e").alias("_ne"))
+    words_of = rouge_words if not stemmed else lambda c: F.coalesce(rouge_words(c), F.array().cast("array<string>"))
+    toks = df.select(key, words_of(predicted).alias("_p"), words_of(expected).alias("_e"))
+    sized = toks.select(key, _lcs("_p", "_e", stemmed).alias("_h"), F.size("_p").alias("_np"), F.size("_e").alias("_ne"))
     return sized.select(key, f_measure(F.col("_h"), F.col("_np"), F.col("_ne")).alias("rougeL"))
 
 
@@ -334,13 +352,13 @@ def rouge_lsum(df: DataFrame, key: str, predicted: str, expected: str, stemmed:
 
     def sentences(c: str) -> Column:
         found = F.transform(F.split(F.col(c), "\n"), lambda line: rouge_words(line))
-        return nested_stems(found) if stemmed else found
+        return F.coalesce(found, F.array().cast("array<array<string>>")) if stemmed else found
 
     def size(c: str) -> Column:
         return F.aggregate(c, F.lit(0), lambda a, s: a + F.size(s))
 
     toks = df.select(key, sentences(predicted).alias("_p"), sentences(expected).alias("_e"))
-    sized = toks.select(key, _summary_hits(F.col("_e"), F.col("_p")).alias("_h"), size("_p").alias("_np"), size("_e").alias("_ne"))
+    sized = toks.select(key, _summary_hits("_e", "_p", stemmed).alias("_h"), size("_p").alias("_np"), size("_e").alias("_ne"))
     return sized.select(key, f_measure(F.col("_h"), F.col("_np"), F.col("_ne")).alias("rougeLsum"))
 
 
