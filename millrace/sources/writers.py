@@ -11,6 +11,8 @@ from millrace.operators.prefix import range_bounds, range_bucket, with_running_t
 from millrace.sources.readers import UNIFIED_SCHEMA
 
 SHARD_RECORDS = 50_000
+# Records that one task writes into one folder of small shards.
+RUN_RECORDS = 20_000
 GROUP_RECORDS = 10_000
 PREDICTION_DELIMITER = "\n\n=====DELIMITER====\n\n"
 
@@ -21,7 +23,8 @@ def write_shards(df: DataFrame, path: str, records: int = SHARD_RECORDS, mode: s
     Without ``order`` a task writes what it has, in files of at most ``records``
     lines.  With a unique ``order`` every file but the last of its source has
     exactly ``records`` lines: rows are numbered by bucketed running totals, and
-    each shard, a folder of its own, is written by one task.
+    one task writes a run of consecutive shards of a source into a folder of
+    their own, so that folders are as few as runs.
     """
     columns = ("text", "source", "meta", "est_tokens")
     if order is None:
@@ -31,10 +34,22 @@ def write_shards(df: DataFrame, path: str, records: int = SHARD_RECORDS, mode: s
     narrow = df.select("source", order)
     bucket = range_bucket(order, range_bounds(narrow, order))
     numbered = with_running_totals(narrow, {"_number": F.lit(1)}, [order], bucket, ["source"])
-    placed = numbered.select(F.col(order).alias("_key"), F.col("_number"), F.floor(F.col("_number") / records).alias("_shard"))
+    placed = numbered.select(F.col(order).alias("_key"), F.col("_number"), F.floor(F.col("_number") / (records * shards_per_run(records))).alias("_run"))
     out = df.select(*columns, F.col(order).alias("_key")).join(placed, "_key").withColumn("_folder", F.col("source"))
-    dealt = out.repartition("_folder", "_shard").sortWithinPartitions("_folder", "_shard", "_number").drop("_key", "_number")
-    dealt.write.mode(mode).partitionBy("_folder", "_shard").json(path)
+    # a run holds whole shards in order, so the writer's cut after every ``records`` lines is theirs
+    dealt = out.repartition("_folder", "_run").sortWithinPartitions("_folder", "_run", "_number").drop("_key", "_number")
+    dealt.write.mode(mode).partitionBy("_folder", "_run").option("maxRecordsPerFile", records).json(path)
+
+
+def shards_per_run(records: int) -> int:
+    """Shards that one task writes into one folder."""
+    return max(1, RUN_RECORDS // records)
+
+
+def shard_number(file: Column, records: int = SHARD_RECORDS) -> Column:
+    """Number of a shard in its source, from the name of a file written in an order."""
+    run = F.regexp_extract(file, r"_run=([0-9]+)/", 1).cast("bigint")
+    return run * shards_per_run(records) + F.regexp_extract(file, r"c([0-9]+)\.json[^/]*$", 1).cast("bigint")
 
 
 def write_unified(df: DataFrame, path: str, records: int | None = None, mode: str = "errorifexists") -> None:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from millrace.operators import textscore
+from millrace.sources import readers, writers
 
 
 def generated_rows(spark, df):
@@ -45,3 +46,14 @@ def test_bleu_of_repeated_keys_and_references(spark):
     (row,) = textscore.sentence_bleu(df.filter("id = 2").select("id", F.col("p").alias("text")), refs, "id").collect()
     # all five words, three of four pairs, one of three triples, none of two quadruples
     assert abs(row.bleu - (1 * (4 / 5) * (2 / 4) * (1 / 3)) ** 0.25) < 1e-9
+
+
+def test_small_shards_share_folders(spark, tmp_path):
+    df = spark.range(1003).select(
+        F.concat(F.lit("t"), "id").alias("text"), F.lit("a").alias("source"), F.create_map(F.lit("k"), F.lit("v")).alias("meta"), F.col("id").alias("est_tokens"), "id"
+    )
+    writers.write_shards(df.repartition(5), str(tmp_path / "s"), 10, order="id")
+    files = sorted((tmp_path / "s").rglob("*.json"))
+    assert len(files) == 101 and len({f.parent for f in files}) == 1
+    back = readers.read_shards(spark, str(tmp_path / "s")).withColumn("shard", writers.shard_number(readers.shard_name(), 10))
+    assert all(r.shard == r.est_tokens // 10 for r in back.collect())
