@@ -5,13 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from millrace.functions.encoders import IDS, Encoder
+from millrace.functions.encoders import Encoder
 from millrace.functions.keys import order_hash, unit_hash
 from millrace.operators.budget import budget_cuts
 from millrace.operators.prefix import ROWS_PER_BUCKET, hash_bucket, range_bounds, range_bucket
@@ -27,42 +24,20 @@ def encode_documents(df: DataFrame, text: str, encoder: Encoder, keep: Sequence[
     return df.select(*keep, encoder.with_separator(text).alias("input_ids"))
 
 
-def _cut_at_borders(ids: pa.ListArray, start: pa.Array, block_size: int) -> pa.ListArray:
-    """Pieces of each sequence between block borders; only new offsets over the same values."""
-    offsets = ids.offsets.to_numpy().astype(np.int64)
-    begin = start.to_numpy(zero_copy_only=False)
-    lengths = np.diff(offsets)
-    first = begin // block_size
-    pieces = np.where(lengths > 0, (begin + lengths - 1) // block_size - first + 1, 0)
-    outer = np.concatenate([[0], np.cumsum(pieces)])
-    doc = np.repeat(np.arange(len(pieces)), pieces)
-    border = (first[doc] + np.arange(outer[-1]) - outer[doc]) * block_size
-    inner = np.maximum(border, begin[doc]) - begin[doc] + offsets[doc]
-    inner = np.concatenate([inner, offsets[-1:]])
-    cut = pa.ListArray.from_arrays(pa.array(inner, pa.int32()), ids.values)
-    return pa.ListArray.from_arrays(pa.array(outer, pa.int32()), cut)
-
-
 def _pieces(rows: DataFrame, unit: Sequence[str], block_size: int) -> DataFrame:
     """Cut each document where its span ``[start, start + n)`` crosses a block border.
 
-    The cut is made before the rows are multiplied, so a piece row carries its
-    piece and never its whole document.
+    Column expressions only: they keep the rows' partitioning, and the numbers of
+    the blocks are multiplied, of which each takes its piece.
     """
-
-    @F.arrow_udf(T.ArrayType(IDS))
-    def cut(ids: pa.Array, start: pa.Array) -> pa.Array:
-        return _cut_at_borders(ids, start, block_size)
-
-    listed = rows.select(*unit, "_start", cut("input_ids", "_start").alias("_cut"))
-    first = F.floor(F.col("_start") / block_size)
-    spread = listed.select(*unit, "_start", F.posexplode("_cut").alias("_i", "_ids"))
-    return spread.select(
-        *unit,
-        (first + F.col("_i")).alias("_block"),
-        F.greatest((first + F.col("_i")) * block_size, F.col("_start")).alias("_at"),
-        "_ids",
-    )
+    start, size = F.col("_start"), F.size("input_ids")
+    last = F.floor((start + size - 1) / block_size)
+    blocks = F.when(size > 0, F.sequence(F.floor(start / block_size), last))
+    spread = rows.select(*unit, "_start", "input_ids", F.explode(blocks).alias("_block"))
+    at = F.greatest(F.col("_block") * block_size, start)
+    length = F.least((F.col("_block") + 1) * block_size, start + size) - at
+    piece = F.slice("input_ids", (at - start + 1).cast("int"), length.cast("int"))
+    return spread.select(*unit, "_block", at.alias("_at"), piece.alias("_ids"))
 
 
 def _collect(pieces: DataFrame, keys: Sequence[str]) -> DataFrame:

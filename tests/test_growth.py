@@ -1,8 +1,12 @@
 """What grows with the input stays small: rows that leave a text, batches that Python holds, folders of shards."""
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from millrace.operators import textscore
+from millrace.functions import batches
+from millrace.operators import pack, textscore
 from millrace.sources import readers, writers
 
 
@@ -57,3 +61,26 @@ def test_small_shards_share_folders(spark, tmp_path):
     assert len(files) == 101 and len({f.parent for f in files}) == 1
     back = readers.read_shards(spark, str(tmp_path / "s")).withColumn("shard", writers.shard_number(readers.shard_name(), 10))
     assert all(r.shard == r.est_tokens // 10 for r in back.collect())
+
+
+def test_blocks_are_cut_without_python_and_ids_move_once(spark, tmp_path):
+    spark.range(40).select("id", F.transform(F.sequence(F.lit(1), F.col("id") * 3 % 50 + 1), lambda x: x.cast("int")).alias("input_ids")).write.parquet(str(tmp_path / "e"))
+    blocks = pack.pack_blocks(spark.read.parquet(str(tmp_path / "e")), "id", 16, rows_per_bucket=10)
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan
+    # ids to their buckets, and the pieces at the borders; no move of all pieces between
+    assert "hashpartitioning(_bucket" in plan and not re.search(r"hashpartitioning\(_bucket#\d+, _block", plan)
+
+
+def test_batches_are_cut_by_bytes():
+    texts = pa.array(["x" * 5, None, "é" * 10, "", "y" * 100, "z"])
+    for whole in (texts, texts.slice(1, 5), texts.slice(0, 0)):
+        cut = list(batches.slices([whole], 25))
+        assert [v for c in cut for v in c.to_pylist()] == whole.to_pylist()
+    assert [len(c) for c in batches.slices([texts], 25)] == [4, 1, 1]
+    lists = pa.array([[["ab", "c"], []], None, [], [["d" * 40]], [[None, "e"]]])
+    for whole in (lists, lists.slice(1), lists.slice(3, 1)):
+        assert [v for c in batches.slices([whole], 30) for v in c.to_pylist()] == whole.to_pylist()
+    assert len(list(batches.slices([lists], 30))) > 1
+    ids = pa.array([[1] * 1000] * 50, pa.list_(pa.int32()))
+    assert max(len(c) for c in batches.slices([ids], 1 << 15)) <= 4
