@@ -174,7 +174,7 @@ def exact_shards(spark, sf_dir):
     writers.write_shards(mixed_documents(spark, sf_dir), path, records=20, order="order_key")
     back = readers.read_shards(spark, path).withColumn("file", readers.shard_name())
     per_file = back.groupBy("source", "file").agg(F.count("*").alias("records"))
-    return per_file.select("source", writers.shard_number(F.col("file"), 20).alias("shard"), "records")
+    return per_file.select("source", writers.shard_number(F.col("file")).alias("shard"), "records")
 
 
 @query("""

@@ -24,7 +24,8 @@ def write_shards(df: DataFrame, path: str, records: int = SHARD_RECORDS, mode: s
     lines.  With a unique ``order`` every file but the last of its source has
     exactly ``records`` lines: rows are numbered by bucketed running totals, and
     one task writes a run of consecutive shards of a source into a folder of
-    their own, so that folders are as few as runs.
+    their own, named by the first of them, so that folders are as few as runs.
+    Where keys are null or repeat, shards differ in length and are a folder each.
     """
     columns = ("text", "source", "meta", "est_tokens")
     if order is None:
@@ -34,11 +35,15 @@ def write_shards(df: DataFrame, path: str, records: int = SHARD_RECORDS, mode: s
     narrow = df.select("source", order)
     bucket = range_bucket(order, range_bounds(narrow, order))
     numbered = with_running_totals(narrow, {"_number": F.lit(1)}, [order], bucket, ["source"])
-    placed = numbered.select(F.col(order).alias("_key"), F.col("_number"), F.floor(F.col("_number") / (records * shards_per_run(records))).alias("_run"))
+    uneven = narrow.groupBy(order).agg(F.count("*").alias("_rows")).filter(F.col(order).isNull() | (F.col("_rows") > 1))
+    run = shards_per_run(records) if uneven.isEmpty() else 1
+    first = F.floor(F.col("_number") / (records * run)) * run
+    placed = numbered.select(F.col(order).alias("_key"), F.col("_number"), first.alias("_shard"))
     out = df.select(*columns, F.col(order).alias("_key")).join(placed, "_key").withColumn("_folder", F.col("source"))
+    dealt = out.repartition("_folder", "_shard").sortWithinPartitions("_folder", "_shard", "_number").drop("_key", "_number")
+    writer = dealt.write.mode(mode).partitionBy("_folder", "_shard")
     # a run holds whole shards in order, so the writer's cut after every ``records`` lines is theirs
-    dealt = out.repartition("_folder", "_run").sortWithinPartitions("_folder", "_run", "_number").drop("_key", "_number")
-    dealt.write.mode(mode).partitionBy("_folder", "_run").option("maxRecordsPerFile", records).json(path)
+    (writer.option("maxRecordsPerFile", records) if run > 1 else writer).json(path)
 
 
 def shards_per_run(records: int) -> int:
@@ -46,10 +51,10 @@ def shards_per_run(records: int) -> int:
     return max(1, RUN_RECORDS // records)
 
 
-def shard_number(file: Column, records: int = SHARD_RECORDS) -> Column:
+def shard_number(file: Column) -> Column:
     """Number of a shard in its source, from the name of a file written in an order."""
-    run = F.regexp_extract(file, r"_run=([0-9]+)/", 1).cast("bigint")
-    return run * shards_per_run(records) + F.regexp_extract(file, r"c([0-9]+)\.json[^/]*$", 1).cast("bigint")
+    first = F.regexp_extract(file, r"_shard=([0-9]+)/", 1).cast("bigint")
+    return first + F.regexp_extract(file, r"c([0-9]+)\.json[^/]*$", 1).cast("bigint")
 
 
 def write_unified(df: DataFrame, path: str, records: int | None = None, mode: str = "errorifexists") -> None:

@@ -52,17 +52,28 @@ def test_bleu_of_repeated_keys_and_references(spark):
     assert abs(row.bleu - (1 * (4 / 5) * (2 / 4) * (1 / 3)) ** 0.25) < 1e-9
 
 
-def test_small_shards_share_folders(spark, tmp_path):
-    df = spark.range(1003).select(
-        F.concat(F.lit("t"), "id").alias("text"), F.lit("a").alias("source"), F.create_map(F.lit("k"), F.lit("v")).alias("meta"), F.col("id").alias("est_tokens"), "id"
-    )
+def test_small_shards_share_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "RUN_RECORDS", 300)
+    df = spark.range(2006).select(
+        F.concat(F.lit("t"), "id").alias("text"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("source"),
+        F.create_map(F.lit("k"), F.lit("v")).alias("meta"), F.floor(F.col("id") / 2).alias("est_tokens"), "id",
+    )
     writers.write_shards(df.repartition(5), str(tmp_path / "s"), 10, order="id")
     files = sorted((tmp_path / "s").rglob("*.json"))
-    assert len(files) == 101 and len({f.parent for f in files}) == 1
-    back = readers.read_shards(spark, str(tmp_path / "s")).withColumn("shard", writers.shard_number(readers.shard_name(), 10))
+    assert len(files) == 2 * 101 and len({f.parent for f in files}) == 2 * 4
+    back = readers.read_shards(spark, str(tmp_path / "s")).withColumn("shard", writers.shard_number(readers.shard_name()))
     assert all(r.shard == r.est_tokens // 10 for r in back.collect())
 
 
+def test_shards_of_repeated_and_null_keys(spark, tmp_path):
+    keys = [None, *range(11), 5]  # the null takes a number and goes; both rows of 5 take both its places
+    rows = [(f"t{i}", "a", {"k": "v"}, i, k) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "text string, source string, meta map<string,string>, est_tokens long, key long")
+    writers.write_shards(df, str(tmp_path / "s"), 4, order="key")
+    back = readers.read_shards(spark, str(tmp_path / "s")).groupBy(writers.shard_number(readers.shard_name()).alias("shard")).count()
+    assert {r.shard: r["count"] for r in back.collect()} == {0: 3, 1: 6, 2: 4, 3: 1}
+
+
 def test_blocks_are_cut_without_python_and_ids_move_once(spark, tmp_path):
     spark.range(40).select("id", F.transform(F.sequence(F.lit(1), F.col("id") * 3 % 50 + 1), lambda x: x.cast("int")).alias("input_ids")).write.parquet(str(tmp_path / "e"))
     blocks = pack.pack_blocks(spark.read.parquet(str(tmp_path / "e")), "id", 16, rows_per_bucket=10)
