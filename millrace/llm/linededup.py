@@ -35,7 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.functions.text import let
 from millrace.llm.common import free, table
-from millrace.session import materialize
+from millrace.session import materialize, shuffled
 
 MIN_CHARS = 20
 BROADCAST_LINES = 500_000
@@ -96,14 +96,13 @@ def candidates(firsts: DataFrame) -> DataFrame:
     """(place, kinds): lines that share a half with another line, and which."""
     keys = firsts.select(*PLACE, F.posexplode("halves").alias("kind", "half"))
     shared = keys.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
-    return keys.join(shared, "half").groupBy(*PLACE).agg(F.collect_set("kind").alias("kinds"))
+    return keys.join(shuffled(shared), "half").groupBy(*PLACE).agg(F.collect_set("kind").alias("kinds"))
 
 
 def line_texts(docs: DataFrame, found: DataFrame, bound: int = BROADCAST_LINES) -> DataFrame:
     """(place, kinds, line) for candidate places; up to ``bound`` of them are broadcast instead of shuffling texts."""
     wanted = found.groupBy("doc", "tie").agg(F.collect_list(F.struct("line_no", "kinds")).alias("wanted"))
-    if found.limit(bound + 1).count() <= bound:
-        wanted = F.broadcast(wanted)
+    wanted = F.broadcast(wanted) if found.limit(bound + 1).count() <= bound else shuffled(wanted)
     d, w = docs.alias("d"), wanted.alias("w")
     met = d.join(w, F.col("d.doc").eqNullSafe(F.col("w.doc")) & (F.col("d.tie") == F.col("w.tie")))
     rows = met.select("d.doc", "d.tie", lines_of("text").alias("lines"), F.explode("wanted").alias("x"))
@@ -191,7 +190,8 @@ def partners(found: DataFrame) -> DataFrame:
     lows = found.groupBy("key").agg(
         F.count("*").alias("n"), *[F.min(F.when(F.col("role") == r, place)).alias(f"low{r}") for r in (EQUAL, SHORT, LONG)]
     )
-    met = found.join(lows.filter("n > 1"), "key")
+    # a line has as many variants as characters; both sides look no larger than the texts
+    met = found.join(shuffled(lows.filter("n > 1")), "key")
     low = F.lit(None)
     for role, other in AGAINST.items():
         low = F.when(F.col("role") == role, F.col(f"low{other}")).otherwise(low)
@@ -201,7 +201,7 @@ def partners(found: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Places of lines whose partner is truly within one edit."""
-    lines = texts.select(F.struct(*PLACE).alias("p"), "line")
+    lines = shuffled(texts.select(F.struct(*PLACE).alias("p"), "line"))
     own = pairs.join(lines.select(F.col("p").alias("place"), F.col("line").alias("a")), "place")
     both = own.join(lines.select(F.col("p").alias("partner"), F.col("line").alias("b")), "partner")
     return both.filter(F.levenshtein("a", "b", 1) >= 0).select("place").distinct().select("place.*")

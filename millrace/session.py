@@ -85,6 +85,17 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     return df
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """Hint that the join with ``df`` moves both sides by key and broadcasts neither.
+
+    The planner takes the rows that leave a generator or an Arrow function to
+    be as many as went in, and a table to be as large as its compressed files.
+    Where one row becomes many it would broadcast what only looks small, and a
+    broadcast that was planned is not taken back when the real size is known.
+    """
+    return df.hint("merge")
+
+
 def join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join on equal keys where null equals null; the result has the left side's keys once."""
     named = right.withColumnsRenamed({k: f"_right_{k}" for k in on})

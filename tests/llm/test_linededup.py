@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from millrace.llm import linededup as ld
+from millrace.session import materialize
 
 
 def within_one(a, b):
@@ -87,3 +88,26 @@ def test_more_texts_than_the_broadcast_bound(docs, prose, monkeypatch):
     rows = corpus(prose)
     want = by_hand(rows)
     assert {r.doc_id: list(r.removed) for r in ld.removed_lines(docs(rows)).collect()} == {k: want.get((k, t), []) for k, t in rows}
+
+
+def broadcasts(df):
+    """The broadcasts that a run of ``df`` really made; its plan is settled by then."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0].count("BroadcastExchange")
+
+
+def test_what_grows_from_few_bytes_is_not_broadcast(spark, docs, prose):
+    # by the planner's sizes all of these look far below its broadcast threshold, however many variants a line has
+    given = materialize(ld._documents(docs(corpus(prose)), "doc_id", "text"))
+    firsts = materialize(ld.first_places(ld.eligible_lines(given)))
+    found = ld.candidates(firsts)
+    assert broadcasts(found) == 0
+    found = materialize(found)
+    assert broadcasts(ld.line_texts(given, found)) == 1
+    assert broadcasts(ld.line_texts(given, found, 3)) == 0
+    texts = materialize(ld.line_texts(given, found))
+    variants = ld.variants(texts)
+    assert variants.count() > 20 * texts.count()
+    pairs = ld.partners(variants)
+    assert broadcasts(pairs) == 0
+    assert broadcasts(ld.verified(pairs, texts)) == 0
