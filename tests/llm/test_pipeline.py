@@ -49,6 +49,24 @@ def test_lines_cut(stages):
     assert all(r.n_chars == len(r.text) for r in stages[2].collect())
 
 
+def test_no_line_variants_are_broadcast(spark, sf_dir, stages):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = corpus_pipeline.drop_repeated_lines(spark, stages[1], sf_dir)._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+    def made(node, sent=False):
+        """Python nodes, each with whether its rows are broadcast before they are shuffled."""
+        name = node.nodeName()
+        sent = name == "BroadcastExchange" or (sent and name != "Exchange")
+        own = [sent] if name == "MapInArrow" else []
+        return own + [x for i in range(node.children().size()) for x in made(node.children().apply(i), sent)]
+
+    found = made(plan)
+    assert found and not any(found)
+
+
 def test_one_of_each_group(stages):
     before = sorted(rows(stages[2]).items())
     names = components([k for k, _ in before], [fingerprint_by_hand(t) for _, t in before])
